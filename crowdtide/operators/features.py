@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdtide.functions import text as X
 from crowdtide.operators.scale import ordered_index, quantile_name, quantiles
+from crowdtide.scratch import materialize
 
 PCA_MAX_FEATURES = 65_535  # the covariance of the features must fit on the driver
 
@@ -94,10 +95,14 @@ def shorten_text(
 
 
 def auto_max_length(df: DataFrame, text_col: str = "text", p: float = 0.6, **sizes: int) -> DataFrame:
-    """One row: the quantile of the text lengths in characters."""
+    """One row: the quantile of the text lengths in characters.
+
+    It is rounded to nine places, as an interpolation error just below a whole number would
+    change a limit on counts.
+    """
     lengths = df.select(F.char_length(text_col).alias("length"))
     return quantiles(lengths, [], ["length"], [p], **sizes).select(
-        F.col(quantile_name("length", p)).alias("max_length")
+        F.round(quantile_name("length", p), 9).alias("max_length")
     )
 
 
@@ -148,7 +153,7 @@ def build_vocab(
 
 def index_vocab(vocab: DataFrame, first: int = 2) -> DataFrame:
     """Number the tokens from 2; 0 is padding and 1 an unknown token."""
-    return ordered_index(vocab, [F.col("freq").desc(), F.col("token")], "token_id", first)
+    return ordered_index(materialize(vocab, "vocab"), [-F.col("freq"), "token"], "token_id", first)
 
 
 def vectorize_text(

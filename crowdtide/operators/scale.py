@@ -16,6 +16,18 @@ from crowdtide.scratch import materialize
 HASH_BUCKETS_HEX = 4  # hex digits of the hash that name a bucket: 65,536 buckets
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Hash a scan with fewer splits than cores over all cores; larger scans stay as they are.
+
+    For tables of long texts, where the work per byte is far more than the shuffle. ``scan``
+    must be a plain scan, so that counting its splits runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
+
+
 def seeded_hash(id_col: Column, seed: int) -> Column:
     """Hash that orders rows at random, the same way in every run."""
     return F.md5(F.concat_ws("|", id_col.cast("string"), F.lit(str(seed))))
@@ -63,7 +75,7 @@ def running_totals(
     """Running sums over one global order, over range partitions.
 
     The sorted parts are written once, so the part numbers hold still while the part sums (one
-    row per partition) are turned into starting values. The order must have no ties.
+    row per partition) are turned into starting values. The order is rising and has no ties.
     """
     spark = df.sparkSession
     count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -92,7 +104,7 @@ def running_totals(
 
 
 def ordered_index(df: DataFrame, order: Sequence[str | Column], out: str, start: int = 0) -> DataFrame:
-    """Number rows from ``start`` along a global order that has no ties."""
+    """Number rows from ``start`` along a rising global order that has no ties."""
     numbered = running_totals(df, order, {"_seq": F.lit(1).cast("long")})
     return numbered.withColumn(out, F.col("_seq") - 1 + F.lit(start).cast("long")).drop("_seq")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crowdtide.functions.times import timestamp_to_epoch
+from crowdtide.operators.scale import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,7 +65,8 @@ def event_tweets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    docs = spread(table(spark, folder, "documents"), "doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), "text")
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:

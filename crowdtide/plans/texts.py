@@ -175,7 +175,7 @@ SQL = {
 short AS (SELECT id, string_agg(text, ' ' ORDER BY place) AS short FROM placed GROUP BY id)
 SELECT d.id, md5(coalesce(short, '')) AS text_md5, length(coalesce(short, '')) AS length
 FROM (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents) d LEFT JOIN short s ON d.id = s.id""",
-    "shorten_long_texts": f"""WITH q AS (SELECT quantile_cont(length(text), 0.6) AS m FROM documents),
+    "shorten_long_texts": f"""WITH q AS (SELECT round(quantile_cont(length(text), 0.6), 9) AS m FROM documents),
 linked AS (SELECT CAST(doc_id AS VARCHAR) AS id, length(text) >= m AS long, m,
   regexp_replace(text, 'http[\\p{{L}}\\p{{N}}_:/\\.\\=\\#\\?\\-\\$\\&]+', '[link]', 'g') AS t FROM documents, q),
 words AS (SELECT id, regexp_extract_all(t, '\\S+') AS u FROM linked WHERE long), {_SHORT_ITEMS},
@@ -203,16 +203,20 @@ j AS (SELECT id, string_agg(CAST(coalesce(tid, 1) AS VARCHAR), ' ' ORDER BY pos)
   FROM w LEFT JOIN v ON w.token = v.token GROUP BY id)
 SELECT std.id, coalesce(tokens, '') AS tokens FROM std LEFT JOIN j ON std.id = j.id""",
     "tokenize_word": f"WITH {_TOKENS} SELECT id, array_to_string(u, ' ') AS tokens FROM tokens",
-    "ngrams": f"""WITH {_TOKENS}, g AS (
-  SELECT id, unnest(list_transform(generate_series(1, len(u) - 1), lambda i: array_to_string(u[i:i + 1], ' '))) AS term FROM tokens
-  UNION ALL
-  SELECT id, unnest(list_transform(generate_series(1, len(u) - 2), lambda i: array_to_string(u[i:i + 2], ' '))) AS term FROM tokens)
+    "ngrams": f"""WITH {_TOKENS}, t AS (
+  SELECT id, generate_subscripts(u, 1) AS pos, unnest(u) AS a FROM tokens),
+n AS (SELECT id, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c FROM t WINDOW w AS (PARTITION BY id ORDER BY pos)),
+g AS (SELECT id, a || ' ' || b AS term FROM n WHERE b IS NOT NULL
+      UNION ALL SELECT id, a || ' ' || b || ' ' || c FROM n WHERE c IS NOT NULL)
 SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM g GROUP BY term""",
-    "char_ngrams": r"""WITH c AS (
-  SELECT string_split(regexp_replace(lower(text), '\s\s+', ' ', 'g'), '') AS u FROM documents),
-g AS (SELECT unnest(list_transform(generate_series(1, len(u) - k.n + 1),
-        lambda i: array_to_string(u[i:i + k.n - 1], ''))) AS term
-  FROM c, (SELECT unnest([3, 4, 5]) AS n) k)
+    "char_ngrams": r"""WITH s AS (
+  SELECT doc_id AS id, string_split(regexp_replace(lower(text), '\s\s+', ' ', 'g'), '') AS u FROM documents),
+t AS (SELECT id, generate_subscripts(u, 1) AS pos, unnest(u) AS a FROM s),
+n AS (SELECT a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c, lead(a, 3) OVER w AS d, lead(a, 4) OVER w AS e
+      FROM t WINDOW w AS (PARTITION BY id ORDER BY pos)),
+g AS (SELECT a || b || c AS term FROM n WHERE c IS NOT NULL
+      UNION ALL SELECT a || b || c || d FROM n WHERE d IS NOT NULL
+      UNION ALL SELECT a || b || c || d || e FROM n WHERE e IS NOT NULL)
 SELECT term, count(*) AS tf FROM g GROUP BY term""",
     "doc_freq": f"""WITH {_TOKENS}, t AS (SELECT DISTINCT id, unnest(u) AS term FROM tokens)
 SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 5""",
