@@ -24,7 +24,7 @@ FIT = "xmin long, gamma double, ks double, ntail long"
 
 def histogram_row(histogram: DataFrame) -> DataFrame:
     """(values, counts): the histogram(k, n) as two arrays in order of k."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("k").cast("long"), F.col("n").cast("long"))))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n"))))
     return histogram.agg(pairs.alias("p")).select(
         F.transform("p", lambda x: x["k"]).alias("values"),
         F.transform("p", lambda x: x["n"]).alias("counts"),

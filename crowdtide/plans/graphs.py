@@ -344,23 +344,73 @@ c AS (SELECT bin, lo, hi, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS n FROM b
       LEFT JOIN h ON h.k >= lo AND (h.k < hi OR (bin = 98 AND h.k = hi)) GROUP BY bin, lo, hi)"""
 
 
-def _pagerank_sql(graph: str, rounds: int, places: int) -> str:
+def _pagerank_ctes(rounds: int) -> str:
     """Fixed rounds, enough for the ranks to settle beyond the compared places."""
-    return f"""WITH RECURSIVE {graph},
-outs AS (SELECT source, sum(weight) AS w FROM edges GROUP BY 1),
-n AS (SELECT count(*) AS n FROM nodes),
-moves AS (SELECT e.source, e.target, e.weight / o.w AS share FROM edges e JOIN outs o ON e.source = o.source),
-r AS (
-  SELECT 0 AS round, id, 1.0::DOUBLE / n AS rank FROM nodes, n
+    return f"""outs AS MATERIALIZED (SELECT source, sum(weight) AS w FROM edges GROUP BY 1),
+num AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes),
+moves AS MATERIALIZED (
+  SELECT e.source, e.target, e.weight / o.w AS share FROM edges e JOIN outs o ON e.source = o.source),
+ranks AS (
+  SELECT 0 AS round, id, 1 / n AS x FROM nodes, num
   UNION ALL
-  SELECT round + 1, id, rank FROM (
-    SELECT max(p.round) AS round, v.id,
-           0.85 * coalesce(sum(CASE WHEN v.id = m.target THEN p.rank * m.share END), 0)
-           + 0.85 * max(d.lost) / max(n.n) + 0.15 / max(n.n) AS rank
-    FROM (SELECT * FROM r) p JOIN moves m ON p.id = m.source JOIN nodes v ON v.id = m.target,
-         n, (SELECT coalesce(sum(rank), 0) AS lost FROM r WHERE id NOT IN (SELECT source FROM outs)) d
-    GROUP BY v.id) WHERE round < {rounds})
-SELECT id, round(rank, {places}) AS "PageRank" FROM r WHERE round = {rounds}"""
+  SELECT max(g.round) + 1, g.id, 0.85 * (sum(g.got) + max(d.lost) / max(n)) + 0.15 / max(n)
+  FROM (SELECT r.round, m.target AS id, r.x * m.share AS got FROM ranks r JOIN moves m ON r.id = m.source
+        UNION ALL SELECT round, id, 0 FROM ranks) g,
+       (SELECT coalesce(sum(x), 0) AS lost FROM ranks WHERE id NOT IN (SELECT source FROM outs)) d, num
+  WHERE g.round < {rounds} GROUP BY g.id),
+pagerank AS (SELECT id, x AS "PageRank" FROM ranks WHERE round = {rounds})"""
+
+
+def _hits_ctes(rounds: int) -> str:
+    return f"""hubs AS (
+  SELECT 0 AS round, id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS h FROM nodes
+  UNION ALL
+  SELECT round, id, h / sum(h) OVER () FROM (
+    SELECT max(a.round) + 1 AS round, e.source AS id, sum(a.a * e.weight) AS h
+    FROM (SELECT max(p.round) AS round, f.target AS id, sum(p.h * f.weight) AS a
+          FROM hubs p JOIN edges f ON p.id = f.source GROUP BY f.target) a
+    JOIN edges e ON a.id = e.target WHERE a.round < {rounds} GROUP BY e.source)),
+hub AS (SELECT id, h FROM hubs WHERE round = {rounds}),
+auth AS (SELECT id, a / sum(a) OVER () AS a FROM (
+  SELECT e.target AS id, sum(h * weight) AS a FROM hub JOIN edges e ON id = e.source GROUP BY 1)),
+hits AS (SELECT nodes.id, coalesce(h, 0) AS "HubScore", coalesce(a, 0) AS "AuthorityScore"
+  FROM nodes LEFT JOIN hub ON nodes.id = hub.id LEFT JOIN auth ON nodes.id = auth.id)"""
+
+
+def _betweenness_ctes(doublings: int = 4, frac: float = 0.5) -> str:
+    """Distances by doubling the length of paths, then path counts and dependencies."""
+    ctes = [
+        "proper AS MATERIALIZED (SELECT source, target, weight AS w FROM edges WHERE source <> target)",
+        "d0 AS MATERIALIZED (SELECT source AS s, target AS v, w AS d FROM proper)",
+    ]
+    for i in range(doublings):
+        ctes.append(
+            f"""d{i + 1} AS MATERIALIZED (SELECT s, v, min(d) AS d FROM (
+  SELECT s, v, d FROM d{i} UNION ALL
+  SELECT a.s, b.v, a.d + b.d FROM d{i} a JOIN d{i} b ON a.v = b.s WHERE a.s <> b.v) GROUP BY 1, 2)"""
+        )
+    ctes.append(
+        f"""picked AS MATERIALIZED (SELECT id FROM nodes ORDER BY md5(id || '|42'), id
+  LIMIT (SELECT CAST(floor(count(*) * {frac}) AS BIGINT) FROM nodes)),
+dist AS MATERIALIZED (SELECT s, v, d FROM d{doublings} WHERE s IN (SELECT id FROM picked)
+  UNION ALL SELECT id, id, 0 FROM picked),
+dag AS MATERIALIZED (SELECT a.s, e.source AS u, e.target AS v FROM dist a JOIN proper e ON a.v = e.source
+  JOIN dist b ON b.s = a.s AND b.v = e.target AND b.d = a.d + e.w),
+walk AS (SELECT 0 AS hop, id AS s, id AS v, 1.0::DOUBLE AS x FROM picked
+  UNION ALL SELECT max(hop) + 1, w.s, g.v, sum(w.x) FROM walk w JOIN dag g ON w.s = g.s AND w.v = g.u
+  GROUP BY w.s, g.v),
+sigma AS MATERIALIZED (SELECT s, v, sum(x) AS n FROM walk GROUP BY 1, 2),
+shares AS MATERIALIZED (SELECT g.s, g.u, g.v, a.n / b.n AS share FROM dag g
+  JOIN sigma a ON a.s = g.s AND a.v = g.u JOIN sigma b ON b.s = g.s AND b.v = g.v),
+back AS (SELECT 0 AS hop, s, v, 1.0::DOUBLE AS x FROM sigma
+  UNION ALL SELECT max(hop) + 1, b.s, g.u, sum(b.x * g.share) FROM back b JOIN shares g ON b.s = g.s AND b.v = g.v
+  GROUP BY b.s, g.u),
+delta AS (SELECT v AS id, sum(x) AS x FROM back WHERE hop > 0 AND s <> v GROUP BY 1),
+size AS (SELECT CAST(count(*) AS DOUBLE) AS n, floor(count(*) * {frac}) AS k FROM nodes),
+between_ AS (SELECT nodes.id, coalesce(x, 0) * n / k / ((n - 1) * (n - 2)) AS "BetweennessCentrality"
+  FROM size, nodes LEFT JOIN delta ON nodes.id = delta.id)"""
+    )
+    return ",\n".join(ctes)
 
 
 SQL = {
@@ -393,7 +443,7 @@ FROM edges JOIN customer a ON source = CAST(a.c_custkey AS VARCHAR)
 JOIN customer b ON target = CAST(b.c_custkey AS VARCHAR) GROUP BY 1, 2""",
     "rename_nodes_last": f"""WITH {T.USER_GRAPH_SQL}
 SELECT a.c_mktsegment AS source, b.c_mktsegment AS target,
-       arg_max(weight, source || '/' || lpad(target, 9, ' ')) AS weight
+       arg_max(weight, place) AS weight
 FROM (SELECT *, row_number() OVER (ORDER BY source, target) AS place FROM edges)
 JOIN customer a ON source = CAST(a.c_custkey AS VARCHAR)
 JOIN customer b ON target = CAST(b.c_custkey AS VARCHAR) GROUP BY 1, 2""",
@@ -432,4 +482,20 @@ g AS (SELECT CAST(unnest(generate_series(0, 19)) AS INTEGER) AS bin),
 c AS (SELECT least(CAST(floor((value - lo) / w) AS INTEGER), 19) AS bin, count(*) AS n FROM events, s GROUP BY 1)
 SELECT g.bin, round(lo + g.bin * w, 6) AS lo, round(lo + (g.bin + 1) * w, 6) AS hi, coalesce(n, 0) AS n
 FROM s, g LEFT JOIN c ON g.bin = c.bin""",
+    "pagerank": f"""WITH RECURSIVE {T.USER_GRAPH_SQL}, {_pagerank_ctes(60)}
+SELECT id, round("PageRank", 8) AS "PageRank" FROM pagerank""",
+    "top_pagerank": f"""WITH RECURSIVE {T.USER_GRAPH_SQL}, {_pagerank_ctes(60)}
+SELECT id, round("PageRank", 8) AS "PageRank" FROM pagerank ORDER BY round("PageRank", 8) DESC, id LIMIT 10""",
+    "pagerank_nations": f"""WITH RECURSIVE {T.NATION_GRAPH_SQL}, {_pagerank_ctes(60)}
+SELECT id, round("PageRank", 6) AS "PageRank" FROM pagerank""",
+    "hits": f"""WITH RECURSIVE {T.USER_GRAPH_SQL}, {_hits_ctes(40)}
+SELECT id, round("HubScore", 6) AS "HubScore", round("AuthorityScore", 6) AS "AuthorityScore" FROM hits""",
+    "betweenness": f"""WITH RECURSIVE {T.USER_GRAPH_SQL}, {_betweenness_ctes()}
+SELECT id, round("BetweennessCentrality", 6) AS "BetweennessCentrality" FROM between_""",
+    "node_metrics": f"""WITH RECURSIVE {T.NATION_GRAPH_SQL}, {_pagerank_ctes(60)}, {_hits_ctes(40)},
+{_betweenness_ctes()}
+SELECT id, round("PageRank", 4) AS "PageRank", round("HubScore", 4) AS "HubScore",
+       round("AuthorityScore", 4) AS "AuthorityScore",
+       round("BetweennessCentrality", 4) AS "BetweennessCentrality"
+FROM pagerank JOIN hits USING (id) JOIN between_ USING (id)""",
 }

@@ -137,11 +137,11 @@ def user_graph(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-USER_GRAPH_SQL = """edges AS (
+USER_GRAPH_SQL = """edges AS MATERIALIZED (
   SELECT CAST(o_custkey AS VARCHAR) AS source, CAST(l_suppkey AS VARCHAR) AS target,
          count(*) AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
-nodes AS (SELECT source AS id FROM edges UNION SELECT target FROM edges)"""
+nodes AS MATERIALIZED (SELECT source AS id FROM edges UNION SELECT target FROM edges)"""
 
 
 def nation_graph(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,12 +167,12 @@ def nation_graph(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-NATION_GRAPH_SQL = """edges AS (
+NATION_GRAPH_SQL = """edges AS MATERIALIZED (
   SELECT CAST(c_nationkey AS VARCHAR) AS source, CAST(s_nationkey AS VARCHAR) AS target,
          count(*) AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-nodes AS (SELECT source AS id FROM edges UNION SELECT target FROM edges)"""
+nodes AS MATERIALIZED (SELECT source AS id FROM edges UNION SELECT target FROM edges)"""
 
 
 def mail(spark: SparkSession, folder: str) -> DataFrame:
