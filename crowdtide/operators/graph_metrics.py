@@ -25,28 +25,36 @@ class Links:
     def __init__(self, edges: DataFrame, end: str, piece: int = HUB_PIECE):
         self.end, other = end, "target" if end == "source" else "source"
         counts = edges.groupBy(end).agg(F.count(F.lit(1)).alias("_c"))
-        self.pieces = materialize(
-            counts.select(F.col(end).alias("id"), F.ceil(F.col("_c") / piece).cast("int").alias("_pieces"))
-            .filter("_pieces > 1"),
-            "hubs",
-        )
-        cut = (
-            edges.join(self.pieces, F.col(end) == F.col("id"), "left")
-            .withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(other), "_pieces"), F.lit(0)).cast("int"))
-            .drop("id", "_pieces")
+        hubs = counts.filter(F.col("_c") > piece).select(
+            F.col(end).alias("id"), F.ceil(F.col("_c") / piece).cast("int").alias("_pieces")
         )
+        hubs = materialize(hubs, "hubs")
+        self.hubs = None if hubs.isEmpty() else hubs
+        self.keys = [end]
+        if self.hubs is not None:
+            self.keys.append("_piece")
+            spot = F.coalesce(F.pmod(F.xxhash64(other), "_pieces"), F.lit(0)).cast("int")
+            edges = (
+                edges.join(self.hubs, F.col(end) == F.col("id"), "left")
+                .withColumn("_piece", spot)
+                .drop("id", "_pieces")
+            )
         parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.table = cut.repartition(parts, end, "_piece").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def join(self, state: DataFrame) -> DataFrame:
-        """Edges with the state(id, …) of their ``end``; hubs' state is copied per piece."""
-        copies = (
-            state.join(self.pieces, "id", "left")
-            .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)))
-            .drop("_pieces")
-            .withColumnRenamed("id", self.end)
-        )
-        return self.table.join(copies, [self.end, "_piece"]).drop("_piece")
+        self.table = edges.repartition(parts, *self.keys).persist(StorageLevel.MEMORY_AND_DISK)
+        self.table.count()  # a filled cache has a known partitioning, so rounds do not shuffle edges
+
+    def join(self, state: DataFrame, one_row_per_node: bool = True) -> DataFrame:
+        """Edges with the state(id, …) of their ``end``; hubs' state is copied per piece.
+
+        A state of one row per node is hashed within its partition, so edges are not sorted.
+        """
+        if self.hubs is not None:
+            piece = F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
+            state = state.join(self.hubs, "id", "left").withColumn("_piece", piece).drop("_pieces")
+        state = state.withColumnRenamed("id", self.end)
+        if one_row_per_node:
+            state = state.hint("shuffle_hash")
+        return self.table.join(state, self.keys).drop("_piece")
 
     def close(self) -> None:
         self.table.unpersist()
@@ -72,108 +80,101 @@ def pagerank(
     """(id, PageRank) of a weighted graph; nodes without out-edges spread their rank evenly.
 
     Rounds end when the ranks change by less than ``nodes · tol`` in sum. Every round writes
-    its ranks, one row per node, so plans stay short and lost executors cost one round.
+    its ranks, one row per node, so plans stay short and lost executors cost one round; the
+    change and the rank of nodes without out-edges are summed while writing.
     """
     spark = edges.sparkSession
     rounds = Rounds(spark, "pagerank")
-    out = edges.groupBy("source").agg(F.sum("weight").alias("_out"))
-    nodes = materialize(
-        nodes_of(edges).join(out.withColumnRenamed("source", "id"), "id", "left"), "nodes"
+    out = edges.groupBy(F.col("source").alias("id")).agg(F.sum("weight").alias("_out"))
+    nodes, size = Rounds(spark, "nodes").write(
+        nodes_of(edges).join(out, "id", "left"),
+        n=F.count(F.lit(1)),
+        lost=F.count_if(F.col("_out").isNull()),
     )
-    n = nodes.count()
+    n = size["n"]
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("PageRank"))
     links = Links(edges, "source", piece)
-    ranks = nodes.select("id", "_out", F.lit(1.0 / n).alias("rank"), F.lit(1.0).alias("_delta"))
-    done, delta = 0, math.inf
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    lost, delta, done = size["lost"] / n, math.inf, 0
     try:
         while done < max_rounds and delta >= n * tol:
-            ranks = rounds.write(_pagerank_round(links, ranks, n, alpha))
-            delta = ranks.agg(F.sum("_delta")).first()[0]
+            ranks, seen = rounds.write(
+                _pagerank_round(links, ranks, lost, n, alpha),
+                delta=F.sum("_delta"),
+                lost=F.sum(F.when(F.col("_out").isNull(), F.col("rank")).otherwise(0.0)),
+            )
+            lost, delta = seen["lost"], seen["delta"]
             done += 1
     finally:
         links.close()
     return ranks.select("id", F.col("rank").alias("PageRank"))
 
 
-def _pagerank_round(links: Links, ranks: DataFrame, n: int, alpha: float) -> DataFrame:
+def _pagerank_round(links: Links, ranks: DataFrame, lost: float, n: int, alpha: float) -> DataFrame:
     share = ranks.filter("_out IS NOT NULL").select("id", (F.col("rank") / F.col("_out")).alias("_share"))
     received = (
         links.join(share)
         .groupBy(F.col("target").alias("_to"))
         .agg(F.sum(F.col("_share") * F.col("weight")).alias("_in"))
     )
-    dangling = ranks.agg(F.sum(F.when(F.col("_out").isNull(), F.col("rank")).otherwise(0.0))).scalar()
-    base = F.lit((1 - alpha) / n) + F.lit(alpha / n) * dangling
-    rank = F.lit(alpha) * F.coalesce("_in", F.lit(0.0)) + base
+    rank = alpha * F.coalesce("_in", F.lit(0.0)) + F.lit((1 - alpha + alpha * lost) / n)
     return ranks.join(received, F.col("id") == F.col("_to"), "left").select(
         "id", "_out", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("_delta")
     )
 
 
 def hits(edges: DataFrame, tol: float = 1e-6, max_rounds: int = 100, piece: int = HUB_PIECE) -> DataFrame:
-    """(id, HubScore, AuthorityScore), each summing to 1, by weighted power rounds."""
+    """(id, HubScore, AuthorityScore), each summing to 1, by weighted power rounds.
+
+    A round goes from hub scores over authorities to new hub scores in one plan; only the
+    nodes that can be hubs, those with out-edges, are kept between rounds.
+    """
     spark = edges.sparkSession
     rounds = Rounds(spark, "hits")
-    nodes = materialize(nodes_of(edges), "nodes")
-    n = nodes.count()
-    if n == 0:
-        return nodes.select("id", F.lit(0.0).alias("HubScore"), F.lit(0.0).alias("AuthorityScore"))
+    hubs, size = Rounds(spark, "nodes").write(edges.select(F.col("source").alias("id")).distinct(), n=F.count(F.lit(1)))
+    if size["n"] == 0:
+        return hubs.select("id", F.lit(0.0).alias("HubScore"), F.lit(0.0).alias("AuthorityScore"))
+    n = nodes_of(edges).count()
     by_source, by_target = Links(edges, "source", piece), Links(edges, "target", piece)
-    hubs = nodes.select("id", F.lit(1.0 / n).alias("h"))
+    # The first round starts from 1/n at all nodes; those without out-edges add nothing.
+    hubs = hubs.withColumn("h", F.lit(1.0 / n))
     done, delta = 0, math.inf
     try:
         while done < max_rounds and delta >= tol:
-            authorities = _unit_sum(
-                by_source.join(hubs)
-                .groupBy(F.col("target").alias("id"))
-                .agg(F.sum(F.col("h") * F.col("weight")).alias("a")),
-                "a",
-            )
-            fresh = _unit_sum(
-                by_target.join(authorities)
+            raw = (
+                by_target.join(_authorities(by_source, hubs))
                 .groupBy(F.col("source").alias("id"))
-                .agg(F.sum(F.col("a") * F.col("weight")).alias("h")),
-                "h",
-            )
-            # A full outer join keeps nodes that are only hubs or only authorities.
-            both = hubs.withColumnRenamed("h", "_old").join(fresh, "id", "full_outer")
-            hubs = rounds.write(
-                both.select(
-                    "id",
-                    F.coalesce("h", F.lit(0.0)).alias("h"),
-                    F.abs(F.coalesce("h", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))).alias("_delta"),
-                )
+                .agg(F.sum(F.col("a") * F.col("weight")).alias("_raw"))
             )
-            delta = hubs.agg(F.sum("_delta")).first()[0]
-            hubs = hubs.select("id", "h")
+            both = hubs.select("id", F.col("h").alias("_old")).join(raw, "id")
+            table, seen = rounds.write(both, total=F.sum("_raw"))
+            fresh = F.col("_raw") / seen["total"]
+            delta = table.agg(F.sum(F.abs(fresh - F.col("_old")))).first()[0]
+            if done == 0:  # nodes that are no hubs fall from 1/n to 0
+                delta += (n - size["n"]) / n
+            hubs = table.select("id", fresh.alias("h"))
             done += 1
-        final = materialize(
-            _unit_sum(
-                by_source.join(hubs)
-                .groupBy(F.col("target").alias("id"))
-                .agg(F.sum(F.col("h") * F.col("weight")).alias("a")),
-                "a",
-            ),
-            "authorities",
+        authorities, seen = Rounds(spark, "authorities").write(
+            _authorities(by_source, hubs), total=F.sum("a")
         )
     finally:
         by_source.close()
         by_target.close()
-    return (
-        nodes.join(hubs, "id", "left")
-        .join(final, "id", "left")
-        .select(
-            "id",
-            F.coalesce("h", F.lit(0.0)).alias("HubScore"),
-            F.coalesce("a", F.lit(0.0)).alias("AuthorityScore"),
-        )
+    scores = hubs.join(authorities, "id", "full_outer")
+    return scores.select(
+        "id",
+        F.coalesce("h", F.lit(0.0)).alias("HubScore"),
+        F.coalesce(F.col("a") / seen["total"], F.lit(0.0)).alias("AuthorityScore"),
     )
 
 
-def _unit_sum(df: DataFrame, col: str) -> DataFrame:
-    total = df.agg(F.sum(col)).scalar()
-    return df.withColumn(col, F.col(col) / total)
+def _authorities(by_source: Links, hubs: DataFrame) -> DataFrame:
+    return (
+        by_source.join(hubs)
+        .groupBy(F.col("target").alias("id"))
+        .agg(F.sum(F.col("h") * F.col("weight")).alias("a"))
+    )
 
 
 def betweenness(
@@ -226,30 +227,32 @@ def betweenness(
 def _dependencies(links: Links, start: DataFrame) -> DataFrame:
     """(id, delta): dependency of the sources in ``start(s)`` on every node, summed."""
     spark = start.sparkSession
-    zero = F.lit(0).cast("long")
     # Distances: relax the edges of improved nodes until nothing improves.
     rounds = Rounds(spark, "distances")
-    best = rounds.write(start.select("s", F.col("s").alias("id"), zero.alias("dist"), F.lit(True).alias("_new")))
-    while not best.filter("_new").isEmpty():
+    best = start.select("s", F.col("s").alias("id"), F.lit(0).cast("long").alias("dist"), F.lit(True).alias("_new"))
+    improved = 1
+    while improved:
         frontier = best.filter("_new").select("s", "id", "dist")
         reached = (
-            links.join(frontier)
+            links.join(frontier, one_row_per_node=False)
             .groupBy("s", F.col("target").alias("id"))
             .agg(F.min(F.col("dist") + F.col("weight")).alias("_found"))
         )
         both = best.drop("_new").join(reached, ["s", "id"], "full_outer")
         better = F.col("_found").isNotNull() & (F.col("dist").isNull() | (F.col("_found") < F.col("dist")))
-        best = rounds.write(
+        best, seen = rounds.write(
             both.select(
                 "s", "id", F.when(better, F.col("_found")).otherwise(F.col("dist")).alias("dist"),
                 better.alias("_new"),
-            )
+            ),
+            improved=F.count_if(F.col("_new")),
         )
+        improved = seen["improved"]
     best = best.select("s", "id", "dist")
     # Edges on shortest paths, per source.
     ends = best.select("s", F.col("id").alias("target"), F.col("dist").alias("_end"))
     dag = materialize(
-        links.join(best)
+        links.join(best, one_row_per_node=False)
         .withColumn("_end", F.col("dist") + F.col("weight"))
         .join(ends, ["s", "target", "_end"])
         .select("s", F.col("source").alias("u"), F.col("target").alias("v")),
@@ -283,20 +286,18 @@ def _walk(state: DataFrame, paths: DataFrame, at: str, to: str, value: Column, f
     """Move values along ``paths`` round by round; all arrivals, with the start if ``first``."""
     steps = [state] if first else []
     while True:
-        state = materialize(
+        moved = (
             state.join(paths, ["s", at])
             .withColumn("_x", value)
             .groupBy("s", F.col(to).alias("_to"))
             .agg(F.sum("_x").alias("x"))
-            .select("s", F.col("_to").alias(at), "x"),
-            "walk",
+            .select("s", F.col("_to").alias(at), "x")
         )
-        if state.isEmpty():
+        state, seen = Rounds(state.sparkSession, "walk").write(moved, rows=F.count(F.lit(1)))
+        if not seen["rows"]:
             break
         steps.append(state)
-    if not steps:
-        return state
-    total = steps[0]
+    total = steps[0] if steps else state
     for step in steps[1:]:
         total = total.unionByName(step)
     return total

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crowdtide.plans import analysis, graphs, posts, texts
+from crowdtide.plans import analysis, graphs, learning, posts, texts
 
-FAMILIES = (posts, analysis, texts, graphs)
+FAMILIES = (posts, analysis, texts, learning, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
