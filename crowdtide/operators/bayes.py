@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from crowdtide.scratch import materialize
+
 # --- multinomial and complement, on (id, term, w) with labels(id, target) -----------------
 
 
@@ -30,7 +32,7 @@ def _grid(sums: DataFrame, labels: DataFrame) -> DataFrame:
 
 def multinomial_fit(features: DataFrame, labels: DataFrame, alpha: float = 1.0) -> DataFrame:
     """(target, term, logp): smoothed log probability of every term in every class."""
-    sums = term_class_weights(features, labels)
+    sums = materialize(term_class_weights(features, labels), "weights")
     terms = sums.agg(F.count_distinct("term")).scalar()
     totals = sums.groupBy("target").agg(F.sum("w").alias("_all"))
     share = (F.col("w") + alpha) / (F.col("_all") + alpha * terms)
@@ -39,7 +41,7 @@ def multinomial_fit(features: DataFrame, labels: DataFrame, alpha: float = 1.0)
 
 def complement_fit(features: DataFrame, labels: DataFrame, alpha: float = 1.0) -> DataFrame:
     """(target, term, logp): minus the smoothed log probability outside the class."""
-    sums = term_class_weights(features, labels)
+    sums = materialize(term_class_weights(features, labels), "weights")
     terms = sums.agg(F.count_distinct("term")).scalar()
     everything = sums.agg(F.sum("w")).scalar()
     of_term = sums.groupBy("term").agg(F.sum("w").alias("_term"))
@@ -106,11 +108,12 @@ def gaussian_fit(df: DataFrame, target: str, col: str, var_smoothing: float = 4e
             F.max("n").alias("n"),
             F.array_sort(F.collect_list(F.struct("dim", "mean", "var"))).alias("m"),
         )
+        .withColumn("_spread", spread)
         .select(
             "target",
             F.ln(F.col("n") / n).alias("prior"),
             F.transform("m", lambda d: d["mean"]).alias("means"),
-            F.transform("m", lambda d: d["var"] + F.lit(var_smoothing) * spread).alias("vars"),
+            F.transform("m", lambda d: d["var"] + F.lit(var_smoothing) * F.col("_spread")).alias("vars"),
         )
     )
     return per_class.agg(

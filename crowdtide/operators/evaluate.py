@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from crowdtide.operators.scale import hash_rank, ordered_index, uniform
+from crowdtide.scratch import materialize
 
 # --- folds and splits ---------------------------------------------------------------------
 
@@ -14,11 +15,8 @@ from crowdtide.operators.scale import hash_rank, ordered_index, uniform
 def _class_sizes(df: DataFrame, target: str) -> DataFrame:
     """(target, _n, _before): size of each class and number of rows in smaller classes' labels."""
     before = W.orderBy("_t").rowsBetween(W.unboundedPreceding, -1)  # one row per class
-    return (
-        df.groupBy(F.col(target).alias("_t"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    )
+    sizes = materialize(df.groupBy(F.col(target).alias("_t")).agg(F.count(F.lit(1)).alias("_n")), "classes")
+    return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
 def stratified_kfold(

@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
     StandardScaler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from crowdtide.functions import text as X
 from crowdtide.operators.scale import ordered_index, quantile_name, quantiles
@@ -228,13 +228,14 @@ def tfidf_fit(df: DataFrame, min_df: int = 1, **options) -> DataFrame:
 
 def tfidf_transform(df: DataFrame, fitted: DataFrame, **options) -> DataFrame:
     """(id, term, tf, w) with rows of unit length; terms that were not fitted are dropped."""
-    raw = (
+    weighted = (
         term_counts(df, **options)
         .join(fitted.select("term", "idf"), "term")
         .select("id", "term", "tf", (F.col("tf") * F.col("idf")).alias("_w"))
     )
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, "id").select("id", "term", "tf", (F.col("_w") / F.col("_norm")).alias("w"))
+    # A window per text is bounded by the terms of one text and needs a single shuffle.
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("id")))
+    return weighted.select("id", "term", "tf", (F.col("_w") / norm).alias("w"))
 
 
 # --- TF-IDF and projection as ML stages ---------------------------------------------------

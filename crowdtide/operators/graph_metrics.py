@@ -181,15 +181,15 @@ def betweenness(
     edges: DataFrame,
     node_frac: float = 0.5,
     seed: int = 42,
-    batch: int = 512,
+    state_rows: int = 1_000_000_000,
     piece: int = HUB_PIECE,
 ) -> DataFrame:
     """(id, BetweennessCentrality) with weights as distances, from a seeded share of sources.
 
-    Sources run in batches of ``batch``; a batch holds one row per (source, reached node), so
-    its size is bounded by ``batch`` times the nodes. Within a batch all sources advance
-    together: distances by rounds of relaxation, then path counts forwards and dependencies
-    backwards along shortest-path edges.
+    Sources run in batches; a batch holds at most one row per (source, node), and its number
+    of sources keeps that under ``state_rows``. Within a batch all sources advance together:
+    distances by rounds of relaxation, then path counts forwards and dependencies backwards
+    along shortest-path edges.
     """
     spark = edges.sparkSession
     too_short = F.raise_error(F.lit("betweenness needs weights of at least 1")).cast("long")
@@ -203,24 +203,25 @@ def betweenness(
         return nodes.select("id", F.lit(0.0).alias("BetweennessCentrality"))
     sources = hash_rank(nodes, [], "id", seed, "_rank").filter(F.col("_rank") < k)
     # Batches by hash: even, and the number of a source needs no global order.
-    batches = math.ceil(k / batch)
+    batches = math.ceil(k / max(1, state_rows // n))
     sources = materialize(
         sources.select(F.col("id").alias("s"), F.pmod(F.xxhash64("id"), F.lit(batches)).alias("_b")),
         "sources",
     )
     links = Links(proper, "source", piece)
-    total = None
+    total, sums = None, Rounds(spark, "dependencies")
     try:
         for number in range(batches):
             start = sources.filter(F.col("_b") == number).select("s")
-            part = materialize(_dependencies(links, start), "dependencies")
-            total = part if total is None else total.unionByName(part)
+            part = _dependencies(links, start)
+            if total is not None:
+                part = part.unionByName(total).groupBy("id").agg(F.sum("delta").alias("delta"))
+            total, _ = sums.write(part)
     finally:
         links.close()
     scale = n / k / ((n - 1) * (n - 2))
-    sums = total.groupBy("id").agg(F.sum("delta").alias("_sum"))
-    return nodes.join(sums, "id", "left").select(
-        "id", (F.coalesce("_sum", F.lit(0.0)) * scale).alias("BetweennessCentrality")
+    return nodes.join(total, "id", "left").select(
+        "id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("BetweennessCentrality")
     )
 
 

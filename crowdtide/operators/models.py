@@ -82,7 +82,7 @@ def gradient_boosting(
         featureSubsetStrategy=str(max_features), maxDepth=max_depth, seed=seed,
         featuresCol=FEATURES, labelCol=TARGET,
     )
-    return OneVsRest(classifier=boosted, featuresCol=FEATURES, labelCol=TARGET).fit(train)
+    return OneVsRest(classifier=boosted, parallelism=4, featuresCol=FEATURES, labelCol=TARGET).fit(train)
 
 
 # --- support vectors with a radial kernel -------------------------------------------------
@@ -133,7 +133,7 @@ def svm(
         regParam=1.0 / (C * n), maxIter=max_iter, featuresCol="_fourier", labelCol=TARGET,
         standardization=False,
     )
-    model.inner = OneVsRest(classifier=machine, featuresCol="_fourier", labelCol=TARGET).fit(
+    model.inner = OneVsRest(classifier=machine, parallelism=4, featuresCol="_fourier", labelCol=TARGET).fit(
         model.features(train)
     )
     return model

@@ -46,26 +46,27 @@ def hash_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, out: s
     the position is the rows in smaller buckets plus the position within the bucket.
     """
     keys = list(keys)
-    marked = df.withColumn("_h", seeded_hash(F.col(id_col), seed)).withColumn(
-        "_b", F.conv(F.substring("_h", 1, HASH_BUCKETS_HEX), 16, 10).cast("int")
+    marked = df.withColumn("_hr_hash", seeded_hash(F.col(id_col), seed)).withColumn(
+        "_hr_bucket", F.conv(F.substring("_hr_hash", 1, HASH_BUCKETS_HEX), 16, 10).cast("int")
     )
-    sizes = marked.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_b").alias("_k_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+    sizes = marked.groupBy(*keys, "_hr_bucket").agg(F.count(F.lit(1)).alias("_hr_n"))
+    before = W.partitionBy(*keys).orderBy("_hr_bucket").rowsBetween(W.unboundedPreceding, -1)
+    # Written, so that its size is known: a small table is broadcast and the rows stay in place.
+    starts = materialize(sizes, "sizes").select(
+        *[F.col(k).alias(f"_hr_k_{k}") for k in keys],
+        F.col("_hr_bucket").alias("_hr_key"),
+        F.coalesce(F.sum("_hr_n").over(before), F.lit(0)).alias("_hr_start"),
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_k_b")]
+    same = [F.col(k).eqNullSafe(F.col(f"_hr_k_{k}")) for k in keys] + [F.col("_hr_bucket") == F.col("_hr_key")]
     condition = same[0]
     for part in same[1:]:
         condition = condition & part
-    within = W.partitionBy(*keys, "_b").orderBy("_h", id_col)
+    within = W.partitionBy(*keys, "_hr_bucket").orderBy("_hr_hash", id_col)
     return (
-        marked.withColumn("_r", F.row_number().over(within))
+        marked.withColumn("_hr_within", F.row_number().over(within))
         .join(starts, condition)
-        .withColumn(out, (F.col("_start") + F.col("_r") - 1).cast("long"))
-        .drop("_h", "_b", "_r", "_start", "_k_b", *[f"_k_{k}" for k in keys])
+        .withColumn(out, (F.col("_hr_start") + F.col("_hr_within") - 1).cast("long"))
+        .drop("_hr_hash", "_hr_bucket", "_hr_within", "_hr_start", "_hr_key", *[f"_hr_k_{k}" for k in keys])
     )
 
 
@@ -91,7 +92,7 @@ def running_totals(
         parts.repartitionByRange(count, *order_cols).withColumn("_p", F.spark_partition_id()),
         "ranges",
     )
-    sums = parts.groupBy("_p").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
+    sums = materialize(parts.groupBy("_p").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names]), "sums")
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     starts = sums.select(
         "_p", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in names]
@@ -131,8 +132,11 @@ def quantiles(
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= in_memory_values:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(c, float(p)).alias(quantile_name(c, p)) for c in cols for p in probs]
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        found = df.groupBy(*keys).agg(*[F.percentile(c, wanted).alias(f"_q_{c}") for c in cols])
+        return found.select(
+            *keys,
+            *[F.col(f"_q_{c}")[i].alias(quantile_name(c, p)) for c in cols for i, p in enumerate(probs)],
         )
     return _quantiles_by_parts(df, keys, list(cols), list(probs), in_memory_values, splits)
 
