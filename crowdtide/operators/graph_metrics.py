@@ -81,7 +81,7 @@ def pagerank(
 
     Rounds end when the ranks change by less than ``nodes · tol`` in sum. Every round writes
     its ranks, one row per node, so plans stay short and lost executors cost one round; the
-    change and the rank of nodes without out-edges are summed while writing.
+    change and the rank of nodes without out-edges are read off that table.
     """
     spark = edges.sparkSession
     rounds = Rounds(spark, "pagerank")

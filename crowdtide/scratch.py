@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -48,20 +48,17 @@ class Rounds:
         self._base = new_folder(spark, label)
         self._paths: list[str] = []
 
-    def write(self, df: DataFrame, **totals: Column) -> tuple[DataFrame, dict]:
-        """Write ``df``; also return aggregates over it, taken while it is written."""
+    def write(self, df: DataFrame, **totals: Column) -> tuple[DataFrame, Row | None]:
+        """Write ``df``; also return one row of aggregates over the written table."""
         path = f"{self._base}/{len(self._paths)}"
-        schema, found = df.schema, {}
-        if totals:
-            seen = Observation()
-            df.observe(seen, *[c.alias(n) for n, c in totals.items()]).write.parquet(path)
-            found = seen.get
-        else:
-            df.write.parquet(path)
+        schema = df.schema
+        df.write.parquet(path)
         self._paths.append(path)
         if len(self._paths) > 2:
             self._remove(self._paths[-3])
-        return self._spark.read.schema(schema).parquet(path), found
+        table = self._spark.read.schema(schema).parquet(path)
+        found = table.agg(*[c.alias(n) for n, c in totals.items()]).first() if totals else None
+        return table, found
 
     def _remove(self, path: str) -> None:
         jvm = self._spark._jvm
