@@ -90,9 +90,14 @@ def extract_mentions(text: Column) -> Column:
 
 
 def _grams(units: Column, n: int, glue: str) -> Column:
-    starts = F.sequence(F.lit(1), F.size(units) - n + 1)
-    joined = F.transform(starts, lambda i: F.array_join(F.slice(units, i, n), glue))
-    return F.when(F.size(units) >= n, joined).otherwise(F.array().cast("array<string>"))
+    def gram(first: Column, i: Column) -> Column:
+        parts = [first]
+        for j in range(1, n):
+            parts += ([F.lit(glue)] if glue else []) + [F.get(units, i + j)]
+        return F.concat(*parts)
+
+    grams = F.transform(F.slice(units, 1, F.size(units) - n + 1), gram)
+    return F.when(F.size(units) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def ngrams(tokens: Column, lo: int, hi: int) -> Column:

@@ -253,11 +253,15 @@ def _terms_sql(text_col: str, ngram_range: tuple[int, int], analyzer: str, links
         split, glue = f"filter(split({flat}, ''), c -> c != '')", ""
     else:
         raise ValueError(f"unknown analyzer {analyzer!r}")
-    grams = ", ".join(
-        f"if(size(_units) >= {n}, transform(sequence(1, size(_units) - {n - 1}), "
-        f"i -> array_join(slice(_units, i, {n}), '{glue}')), cast(array() as array<string>))"
-        for n in range(lo, hi + 1)
-    )
+
+    def gram(n: int) -> str:
+        joined = ", ".join(["c", *[f"'{glue}', get(_units, i + {j})" for j in range(1, n)]])
+        return (
+            f"if(size(_units) >= {n}, transform(slice(_units, 1, size(_units) - {n - 1}), "
+            f"(c, i) -> concat({joined})), cast(array() as array<string>))"
+        )
+
+    grams = ", ".join(gram(n) for n in range(lo, hi + 1))
     return [
         f"SELECT *, {split} AS _units FROM __THIS__",
         f"SELECT *, concat({grams}) AS _terms FROM __THIS__",

@@ -37,7 +37,8 @@ def _posts(docs: DataFrame) -> DataFrame:
 
 
 def reddit(spark: SparkSession, folder: str) -> DataFrame:
-    return _posts(table(spark, folder, "documents").filter("lang = 'en'"))
+    docs = spread(table(spark, folder, "documents"), "doc_id")
+    return _posts(docs.filter("lang = 'en'"))
 
 
 def all_posts(spark: SparkSession, folder: str) -> DataFrame:
