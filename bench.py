@@ -7,6 +7,7 @@ import os
 import time
 
 from crowdtide.plans import registry
+from crowdtide.scratch import clear
 from crowdtide.session import build_session
 
 HEADLINE = (
@@ -51,6 +52,7 @@ def main() -> None:
         begun = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begun, 3)
+    clear(spark)
     total = round(sum(seconds.values()), 3)
     sf = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline queries", "value": total, "unit": "sec", "queries": seconds, "sf": sf}))

@@ -46,7 +46,7 @@ def mention_edges(tweets: DataFrame, users: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("weight"))
     )
     is_long = F.char_length("name") > MAX_USER_NAME
-    lookup = users.select(F.lower("Username").alias("_key"), F.col("id").alias("_id"))
+    lookup = users.groupBy(F.lower("Username").alias("_key")).agg(F.min("id").alias("_id"))
     found = named.withColumn("_key", F.when(~is_long, F.lower("name"))).join(lookup, "_key", "left")
     target = F.when(is_long, F.col("name")).otherwise(F.col("_id").cast("string"))
     return (

@@ -306,6 +306,7 @@ def _walk(state: DataFrame, paths: DataFrame, at: str, to: str, value: Column, f
 
 def node_metrics(edges: DataFrame, node_frac: float = 0.5, seed: int = 42) -> DataFrame:
     """PageRank, hub, authority and betweenness scores by node."""
+    edges = materialize(edges, "edges")
     return (
         pagerank(edges)
         .join(hits(edges), "id")

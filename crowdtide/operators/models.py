@@ -7,6 +7,7 @@ model whose ``transform`` adds ``prediction``.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -25,7 +26,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtide.operators.evaluate import bootstrap_resample, metric_table, stratified_kfold
 from crowdtide.operators.features import text_features
@@ -33,6 +34,7 @@ from crowdtide.operators.sentiment import argmax_class
 from crowdtide.scratch import materialize
 
 FEATURES, TARGET = "features", "target"
+TREES_PER_PLAN = 25  # voting trees in one plan
 
 
 # --- library learners ---------------------------------------------------------------------
@@ -154,12 +156,14 @@ class BoostedTrees:
     def transform(self, df: DataFrame) -> DataFrame:
         totals = F.array(*[F.lit(0.0)] * self.classes)
         scored = df.withColumn("_votes", totals)
-        for tree, vote in zip(self.trees, self.votes):
+        for number, (tree, vote) in enumerate(zip(self.trees, self.votes), start=1):
             voted = tree.transform(scored)
             scored = voted.withColumn(
                 "_votes",
                 F.transform("_votes", lambda v, i: v + F.when(i == F.col("prediction"), vote).otherwise(0.0)),
             ).drop("prediction", "rawPrediction", "probability")
+            if number % TREES_PER_PLAN == 0:
+                scored = materialize(scored, "votes")
         return scored.withColumn("prediction", argmax_class(F.col("_votes")).cast("double")).drop("_votes")
 
 
@@ -353,10 +357,50 @@ def best_fold_model(fold_metrics: DataFrame, models: Sequence[Any], metric: str
     return models[best]
 
 
-def save_pipeline(features: PipelineModel, model: Any, path: str) -> None:
-    """Store fitted features and a Spark model together, so they are loaded together."""
-    PipelineModel([*features.stages, model]).write().overwrite().save(path)
+@dataclass
+class FittedClassifier:
+    """Fitted features and a model of any kind, applied together."""
+
+    features: PipelineModel | None
+    model: Any
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.features.transform(df) if self.features else df)
+
 
+def save_pipeline(spark: SparkSession, features: PipelineModel | None, model: Any, path: str) -> None:
+    """Store fitted features and model together.
 
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    Every Spark model goes to a folder of its own; what holds them together is one JSON row.
+    """
+    if isinstance(model, FourierSvmModel):
+        parts = [model.inner]
+        about = {"seed": model.weights_seed, "components": model.components, "gamma": model.gamma}
+    elif isinstance(model, BoostedTrees):
+        parts, about = model.trees, {"votes": model.votes, "errors": model.errors, "classes": model.classes}
+    elif isinstance(model, NetworkEnsemble):
+        parts, about = model.members, {}
+    else:
+        parts, about = [model], {}
+    about |= {"kind": type(model).__name__, "parts": len(parts), "features": features is not None}
+    if features is not None:
+        features.write().overwrite().save(f"{path}/features")
+    for i, part in enumerate(parts):
+        PipelineModel([part]).write().overwrite().save(f"{path}/part{i}")
+    row = spark.createDataFrame([(json.dumps(about),)], "value string")
+    row.write.mode("overwrite").text(f"{path}/about")
+
+
+def load_pipeline(spark: SparkSession, path: str) -> FittedClassifier:
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    parts = [PipelineModel.load(f"{path}/part{i}").stages[0] for i in range(about["parts"])]
+    if about["kind"] == "FourierSvmModel":
+        model: Any = FourierSvmModel(parts[0], about["seed"], about["components"], about["gamma"])
+    elif about["kind"] == "BoostedTrees":
+        model = BoostedTrees(parts, about["votes"], about["errors"], about["classes"])
+    elif about["kind"] == "NetworkEnsemble":
+        model = NetworkEnsemble(parts)
+    else:
+        model = parts[0]
+    features = PipelineModel.load(f"{path}/features") if about["features"] else None
+    return FittedClassifier(features, model)

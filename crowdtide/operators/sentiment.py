@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdtide.operators.datasets import REDDIT, TWEET
@@ -38,7 +38,7 @@ def label_name(label: Column) -> Column:
     return chain.otherwise(F.raise_error(wrong).cast("string"))
 
 
-def predict_all(model: PipelineModel, posts: DataFrame, out: str = "sentiment") -> DataFrame:
+def predict_all(model: Transformer, posts: DataFrame, out: str = "sentiment") -> DataFrame:
     """Posts with the model's sentiment name; a row-wise transform, no join."""
     scored = model.transform(posts)
     return scored.select(*posts.columns, label_name(F.col("prediction")).alias(out))

@@ -177,8 +177,8 @@ def text_model(spark: SparkSession, folder: str) -> DataFrame:
     features = X.text_features(docs, min_df=5, ngram_range=(1, 1))
     model = M.naive_bayes_multinomial(features.transform(docs))
     path = new_folder(spark, "model")
-    M.save_pipeline(features, model, path)
-    return predict_all(M.load_pipeline(path), T.documents(spark, folder)).select("id", "sentiment")
+    M.save_pipeline(spark, features, model, path)
+    return predict_all(M.load_pipeline(spark, path), T.documents(spark, folder)).select("id", "sentiment")
 
 
 def cross_validate(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crowdtide.functions import text as X
 from crowdtide.functions.times import epoch_to_timestamp, parse_date
@@ -14,7 +14,12 @@ from crowdtide.sources import posts as P
 from crowdtide.sources.messages import header_field, header_lines, read_messages
 from crowdtide.sources.schemas import POST_COLUMNS
 
-FILES = 32  # objects per written test folder
+PER_OBJECT = 1000  # entries per written JSON object
+
+
+def _object_of(id_col: str) -> Column:
+    """Number of the JSON object that holds an entry: ids are numbers in one run."""
+    return F.floor(F.col(id_col).cast("long") / PER_OBJECT)
 
 
 def _post_structs(posts: DataFrame) -> DataFrame:
@@ -29,7 +34,7 @@ def read_posts_by_id(spark: SparkSession, folder: str) -> DataFrame:
     """Posts written as objects keyed by id, one object per line, and read back."""
     path = new_folder(spark, "posts")
     entries = _post_structs(T.all_posts(spark, folder))
-    objects = entries.groupBy(F.pmod(F.xxhash64("id"), F.lit(FILES)).alias("_f")).agg(
+    objects = entries.groupBy(_object_of("id")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "post")))).alias("value")
     )
     objects.select("value").write.text(path)
@@ -43,7 +48,7 @@ def read_columnar_json(spark: SparkSession, folder: str) -> DataFrame:
     """Posts written as column-oriented objects and read back."""
     path = new_folder(spark, "columns")
     columns = {"UserID": "string", "Content": "string", "ID": "string", "LikeCount": "long"}
-    rows = T.event_tweets(spark, folder).withColumn("_f", F.pmod(F.xxhash64("ID"), F.lit(FILES)))
+    rows = T.event_tweets(spark, folder).withColumn("_f", _object_of("ID"))
     entry = F.struct(F.col("ID").alias("k"), *columns)
     lists = rows.groupBy("_f").agg(F.collect_list(entry).alias("r"))
     maps = lists.select(
@@ -57,7 +62,7 @@ def read_columnar_json(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_annotations(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "annotations")
-    notes = T.annotations(spark, folder).withColumn("_f", F.pmod(F.xxhash64("id"), F.lit(FILES)))
+    notes = T.annotations(spark, folder).withColumn("_f", _object_of("id"))
     objects = notes.groupBy("_f").agg(
         F.collect_list(F.when(~F.col("is_irrelevant"), F.struct("id", "target"))).alias("flat"),
         F.collect_list(F.when(F.col("is_irrelevant"), F.struct("id", F.lit(1).alias("one")))).alias("irr"),

@@ -27,9 +27,23 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+def _job_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/crowdtide/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a folder that does not exist yet."""
-    return f"{scratch_root(spark)}/crowdtide/{label}-{uuid.uuid4().hex}"
+    return f"{_job_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove everything this application wrote; frames built on it can no longer be read."""
+    _remove(spark, _job_folder(spark))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -55,12 +69,7 @@ class Rounds:
         df.write.parquet(path)
         self._paths.append(path)
         if len(self._paths) > 2:
-            self._remove(self._paths[-3])
+            _remove(self._spark, self._paths[-3])
         table = self._spark.read.schema(schema).parquet(path)
         found = table.agg(*[c.alias(n) for n, c in totals.items()]).first() if totals else None
         return table, found
-
-    def _remove(self, path: str) -> None:
-        jvm = self._spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -62,6 +62,7 @@ def compare(spark, con, folder: str, name: str, query, sql: str | None):
 
 def main() -> None:
     import __spark_entry__ as entry
+    from crowdtide.scratch import clear
     from crowdtide.session import build_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
@@ -83,6 +84,7 @@ def main() -> None:
         print(f"{name:32s} {seconds:6.2f}s {rows:8d}  {state[:1700]}", flush=True)
         if problem:
             failed.append(name)
+    clear(spark)
     print("FAILED", failed)
 
 

@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
+    from crowdtide.scratch import clear
     from crowdtide.session import build_session
 
     session = build_session(
@@ -16,4 +17,5 @@ def spark():
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g",
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    clear(session)

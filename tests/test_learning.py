@@ -98,11 +98,15 @@ def test_gaussian_bayes(spark):
         (M.mlp_ensemble, {"n_models": 2, "layers": (6,), "epochs": 60}),
     ],
 )
-def test_learners_separate_blobs(spark, learner, options):
+def test_learners_separate_blobs_and_are_stored(spark, tmp_path, learner, options):
     rows = _blobs(spark).withColumn("features", array_to_vector("point"))
     model = learner(rows, **options)
     scored = model.transform(rows)
     assert E.accuracy(scored).first()[0] > 0.9
+    M.save_pipeline(spark, None, model, str(tmp_path / "m"))
+    stored = M.load_pipeline(spark, str(tmp_path / "m")).transform(rows)
+    answers = lambda df: sorted((r["id"], r["prediction"]) for r in df.select("id", "prediction").collect())
+    assert answers(stored) == answers(scored)
     if learner is M.adaboost:
         assert len(model.votes) > 1 and all(v > 0 for v in model.votes)
 
@@ -129,8 +133,8 @@ def test_cross_validation_and_storage(spark, tmp_path):
     rows = folds.collect()
     assert [r["fold"] for r in sorted(rows)] == [0, 1, 2] and all(r["Accuracy"] == 1.0 for r in rows)
     features, model = M.best_fold_model(folds, models)
-    M.save_pipeline(features, model, str(tmp_path / "m"))
-    loaded = M.load_pipeline(str(tmp_path / "m"))
+    M.save_pipeline(spark, features, model, str(tmp_path / "m"))
+    loaded = M.load_pipeline(spark, str(tmp_path / "m"))
     new = spark.createDataFrame([("good moon",), ("awful loss",)], "text string")
     assert [r["sentiment"] for r in N.predict_all(loaded, new).collect()] == ["positive", "negative"]
 
