@@ -50,7 +50,7 @@ def column_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_length_query(spark: SparkSession, folder: str) -> DataFrame:
-    return T.documents(spark, folder).select("id", text_length(F.col("text")).alias("length"))
+    return T.documents(spark, folder).select("id", text_length(F.col("text")).cast("long").alias("length"))
 
 
 def stack_metrics(spark: SparkSession, folder: str) -> DataFrame:

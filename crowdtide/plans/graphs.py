@@ -234,7 +234,7 @@ def _all_degrees(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_bin_histogram(spark: SparkSession, folder: str) -> DataFrame:
     bins = K.log_bin_histogram(_all_degrees(spark, folder))
-    return bins.select("bin", T.r6("lo").alias("lo"), T.r6("hi").alias("hi"), "n")
+    return bins.select(F.col("bin").cast("long").alias("bin"), T.r6("lo").alias("lo"), T.r6("hi").alias("hi"), "n")
 
 
 def log_bin_ccdf(spark: SparkSession, folder: str) -> DataFrame:

@@ -124,7 +124,7 @@ def header_fields(spark: SparkSession, folder: str) -> DataFrame:
         header_field(F.col("h"), "Message-ID").alias("message"),
         header_field(F.col("h"), "From").alias("sender"),
         header_field(F.col("h"), "X-To").isNotNull().alias("has_xto"),
-        F.size(F.split(F.coalesce(header_field(F.col("h"), "To"), F.lit("")), "@")).alias("parts"),
+        F.size(F.split(F.coalesce(header_field(F.col("h"), "To"), F.lit("")), "@")).cast("long").alias("parts"),
         header_field(F.col("h"), "Cc").alias("cc"),
     )
 
@@ -267,7 +267,7 @@ def drop_irrelevant(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def annotation_queue(spark: SparkSession, folder: str) -> DataFrame:
-    posts = T.documents(spark, folder).select("id", F.char_length("text").alias("chars"))
+    posts = T.documents(spark, folder).select("id", F.char_length("text").cast("long").alias("chars"))
     return D.annotation_queue(posts, T.annotations(spark, folder))
 
 
@@ -301,7 +301,7 @@ def annotation_progress_running(spark: SparkSession, folder: str) -> DataFrame:
 def highlight_terms(spark: SparkSession, folder: str) -> DataFrame:
     docs = T.documents(spark, folder)
     marked = X.highlight_terms(F.col("text"), ["the", "der", "les"], "<<MARK>>")
-    return docs.select("id", F.md5(marked).alias("text_md5"), (F.char_length(marked) - F.char_length("text")).alias("grown"))
+    return docs.select("id", F.md5(marked).alias("text_md5"), (F.char_length(marked) - F.char_length("text")).cast("long").alias("grown"))
 
 
 def sort_by_time(spark: SparkSession, folder: str) -> DataFrame:

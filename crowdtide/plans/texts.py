@@ -48,12 +48,12 @@ def extract_mentions(spark: SparkSession, folder: str) -> DataFrame:
 def shorten_text(spark: SparkSession, folder: str) -> DataFrame:
     docs = T.documents(spark, folder)
     short = W.shorten_text(docs, window=WINDOW, keywords=KEYWORDS)
-    return short.select("id", F.md5("short").alias("text_md5"), F.char_length("short").alias("length"))
+    return short.select("id", F.md5("short").alias("text_md5"), F.char_length("short").cast("long").alias("length"))
 
 
 def shorten_long_texts(spark: SparkSession, folder: str) -> DataFrame:
     short = W.shorten_long_texts(T.documents(spark, folder), window=WINDOW, keywords=KEYWORDS)
-    return short.select("id", F.md5("short").alias("text_md5"), F.char_length("short").alias("length"))
+    return short.select("id", F.md5("short").alias("text_md5"), F.char_length("short").cast("long").alias("length"))
 
 
 def auto_max_length(spark: SparkSession, folder: str) -> DataFrame:
