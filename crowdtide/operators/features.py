@@ -283,7 +283,9 @@ def text_features(
         SQLTransformer(statement=s) for s in _terms_sql(text_col, ngram_range, analyzer, replace_links)
     ]
     terms = PipelineModel(stages).transform(train)
-    counter = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=float(min_df)).fit(terms)
+    counter = CountVectorizer(
+        inputCol="_terms", outputCol="_tf", minDF=float(min_df), vocabSize=2**31 - 1
+    ).fit(terms)
     # The library's idf lacks the "+ 1" of the wanted weight, so the weights are set here.
     library_idf = IDF(inputCol="_tf", outputCol="_unused").fit(counter.transform(terms)).idf
     weights = Vectors.dense([float(v) + 1.0 for v in library_idf.toArray()])

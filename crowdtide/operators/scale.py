@@ -138,7 +138,11 @@ def quantiles(
             *keys,
             *[F.col(f"_q_{c}")[i].alias(quantile_name(c, p)) for c in cols for i, p in enumerate(probs)],
         )
-    return _quantiles_by_parts(df, keys, list(cols), list(probs), in_memory_values, splits)
+    found = _quantiles_by_parts(df, keys, list(cols), list(probs), in_memory_values, splits)
+    if not keys:
+        return found
+    # Groups without any value have no parts; they keep their row, with nulls.
+    return _null_safe_join(sizes.drop("_n"), found, keys, "left")
 
 
 def _quantiles_by_parts(
@@ -231,10 +235,10 @@ def _quantiles_by_parts(
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join that also matches null keys and keeps one copy of them."""
+def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join that also matches null keys and keeps the left copy of them."""
     renamed = right.select(*[F.col(c).alias(f"_j_{c}") if c in on else F.col(c) for c in right.columns])
     condition = F.lit(True)
     for c in on:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_j_{c}"))
-    return left.join(renamed, condition).drop(*[f"_j_{c}" for c in on])
+    return left.join(renamed, condition, how).drop(*[f"_j_{c}" for c in on])

@@ -113,6 +113,16 @@ def pca(spark: SparkSession, folder: str) -> DataFrame:
     return cells.groupBy("dim").agg(T.r6(F.avg("x")).alias("mean"), T.r6(F.var_samp("x")).alias("variance"))
 
 
+def pca_variance(spark: SparkSession, folder: str) -> DataFrame:
+    """All components together keep the variance of the vectors."""
+    vectors = T.table(spark, folder, "embeddings").select(
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("v")
+    )
+    projected = W.project(vectors, "v", "p", 64).transform(vectors)
+    cells = projected.select(F.posexplode(vector_to_array("p")).alias("dim", "x"))
+    return cells.groupBy("dim").agg(F.var_samp("x").alias("v")).agg(T.r6(F.sum("v")).alias("variance"))
+
+
 QUERIES = {
     "replace_links": replace_links,
     "replace_links_chars": replace_links_chars,
@@ -132,6 +142,7 @@ QUERIES = {
     "doc_freq": doc_freq,
     "tfidf": tfidf,
     "pca": pca,
+    "pca_variance": pca_variance,
 }
 
 _TOKENS = """tokens AS (
@@ -188,6 +199,10 @@ short AS (SELECT id, string_agg(text, ' ' ORDER BY place) AS short FROM kept GRO
 final AS (SELECT l.id, CASE WHEN long THEN coalesce(short, '') ELSE t END AS s
   FROM linked l LEFT JOIN short s ON l.id = s.id)
 SELECT id, md5(s) AS text_md5, length(s) AS length FROM final""",
+    "pca_variance": """WITH c AS (
+  SELECT generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+v AS (SELECT var_samp(x) AS v FROM c GROUP BY dim)
+SELECT round(sum(v), 6) AS variance FROM v""",
     "auto_max_length": "SELECT round(quantile_cont(length(text), 0.6), 6) AS max_length FROM documents",
     "build_vocab": r"""WITH w AS (SELECT unnest(regexp_extract_all(text, '\S+')) AS token FROM documents)
 SELECT token, count(*) AS freq FROM w GROUP BY token ORDER BY freq DESC, token LIMIT 1000""",

@@ -31,6 +31,14 @@ def test_quantiles_match_brute_force(spark, limit):
                 assert row[S.quantile_name(col, p)] == pytest.approx(np.quantile(values, p), abs=1e-9)
 
 
+@pytest.mark.parametrize("limit", [2, 1_000_000])
+def test_groups_without_values_keep_their_row(spark, limit):
+    rows = [("a", float(i)) for i in range(9)] + [("b", None)] * 3
+    df = spark.createDataFrame(rows, "key string, x double")
+    got = {r["key"]: r["x_q50"] for r in S.quantiles(df, ["key"], ["x"], [0.5], limit, splits=3).collect()}
+    assert got == {"a": 4.0, "b": None}
+
+
 @pytest.mark.parametrize("limit", [20, 1_000_000])
 def test_global_quantiles(spark, limit):
     df, rows = _skewed(spark)
