@@ -17,6 +17,7 @@ from crowdtide.operators.scale import hash_rank
 from crowdtide.scratch import Rounds, materialize
 
 HUB_PIECE = 100_000  # edges per piece of a hub
+STEPS_PER_SUM = 16  # tables of a walk that are kept apart
 
 
 class Links:
@@ -298,7 +299,13 @@ def _walk(state: DataFrame, paths: DataFrame, at: str, to: str, value: Column, f
         if not seen["rows"]:
             break
         steps.append(state)
-    total = steps[0] if steps else state
+        if len(steps) >= STEPS_PER_SUM:
+            steps = [materialize(_union(steps).groupBy("s", at).agg(F.sum("x").alias("x")), "walked")]
+    return _union(steps) if steps else state
+
+
+def _union(steps: list[DataFrame]) -> DataFrame:
+    total = steps[0]
     for step in steps[1:]:
         total = total.unionByName(step)
     return total

@@ -12,38 +12,42 @@ from crowdtide.sources.schemas import AUTHOR, POST_COLUMNS, TWEET_COLUMNS
 REMOVED = ("[removed]", "[deleted]")
 
 
+STRICT = {"mode": "FAILFAST"}  # a broken object fails the read instead of vanishing
+
+
 def _objects(spark: SparkSession, path: str, layout: str) -> DataFrame:
     """JSON texts that are objects, one per row in column ``value``.
 
-    ``file``: each file is one object. ``lines``: each line is one object. ``indented``: each
-    file is one object written with four-space indents whose values are objects; such a file is
-    split at the end of each entry, so one large file is still read by many tasks.
+    ``file``: each file is one object. ``lines``: each line is one object.
     """
-    if layout == "file":
-        return spark.read.text(path, wholetext=True)
-    if layout == "lines":
-        return spark.read.text(path)
-    if layout == "indented":
-        entry = F.regexp_replace(F.col("value"), r"^\{\s*\n|\n    \}\s*\}\s*$", "")
-        return (
-            spark.read.text(path, lineSep="\n    },\n")
-            .filter(~F.col("value").rlike(r"^\s*\{?\s*\}?\s*$"))
-            .select(F.concat(F.lit("{"), entry, F.lit("}}")).alias("value"))
-        )
-    raise ValueError(f"unknown layout {layout!r}")
+    if layout not in ("file", "lines"):
+        raise ValueError(f"unknown layout {layout!r}")
+    texts = spark.read.text(path, wholetext=layout == "file")
+    return texts.filter(F.trim("value") != "")
+
+
+def _indented_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of objects written with four-space indents whose values are objects.
+
+    A file is split at the end of each entry, so one large file is still read by many tasks.
+    """
+    entry = F.regexp_replace(F.col("value"), r"^\{\s*\n|\n    \}\s*\}\s*$", "")
+    return (
+        spark.read.text(path, lineSep="\n    },\n")
+        .filter(~F.col("value").rlike(r"^\s*\{?\s*\}?\s*$"))
+        .select(F.concat(F.lit("{"), entry, F.lit("}}")).alias("value"))
+    )
 
 
 def read_posts_by_id(
     spark: SparkSession, path: str, columns: Mapping[str, str] = POST_COLUMNS, layout: str = "file"
 ) -> DataFrame:
-    """Object keyed by post id to one row per post."""
+    """Object keyed by post id to one row per post; layouts ``file``, ``lines``, ``indented``."""
     fields = ", ".join(f"{c}: {t}" for c, t in columns.items())
     entries = f"map<string, struct<{fields}>>"
-    return (
-        _objects(spark, path, layout)
-        .select(F.explode(F.from_json("value", entries)).alias("id", "_post"))
-        .select("id", "_post.*")
-    )
+    texts = _indented_entries(spark, path) if layout == "indented" else _objects(spark, path, layout)
+    rows = texts.select(F.explode(F.from_json("value", entries, STRICT)).alias("id", "_post"))
+    return rows.select("id", "_post.*")
 
 
 def read_columnar_json(
@@ -58,7 +62,7 @@ def read_columnar_json(
     Every column lists the same rows in the same order; anything else fails the read.
     """
     shape = ", ".join(f"{c} map<string,{t}>" for c, t in columns.items())
-    maps = _objects(spark, path, layout).select(F.from_json("value", shape).alias("_o")).select("_o.*")
+    maps = _objects(spark, path, layout).select(F.from_json("value", shape, STRICT).alias("_o")).select("_o.*")
     first = next(iter(columns))
     same_rows = F.lit(True)
     for c in columns:
@@ -83,13 +87,13 @@ def read_annotations(spark: SparkSession, path: str, layout: str = "file") -> Da
     """Label object with a nested ``irrelevant`` object to (id, target, is_irrelevant)."""
     flat = "map<string, string>"
     entries = _objects(spark, path, layout).select(
-        F.explode(F.from_json("value", flat)).alias("key", "value")
+        F.explode(F.from_json("value", flat, STRICT)).alias("key", "value")
     )
     is_nested = F.col("key") == "irrelevant"
     rows = F.when(
         is_nested,
         F.transform(
-            F.map_keys(F.from_json("value", flat)),
+            F.map_keys(F.from_json("value", flat, STRICT)),
             lambda k: F.struct(
                 k.alias("id"),
                 F.lit(None).cast("string").alias("target"),

@@ -97,6 +97,13 @@ def test_betweenness_matches_path_enumeration(spark):
     assert _scores(got, "BetweennessCentrality") == pytest.approx(_betweenness_plain(rows), abs=1e-9)
 
 
+def test_betweenness_of_a_long_line(spark, monkeypatch):
+    monkeypatch.setattr(K, "STEPS_PER_SUM", 2)
+    line = _edges(spark, [(f"n{i}", f"n{i + 1}", 1) for i in range(5)])
+    got = _scores(K.betweenness(line, node_frac=1.0), "BetweennessCentrality")
+    assert got == pytest.approx({f"n{i}": i * (5 - i) / 20 for i in range(6)})
+
+
 def test_betweenness_rejects_weights_below_one(spark):
     with pytest.raises(Exception, match="weights of at least 1"):
         K.betweenness(_edges(spark, [("a", "b", 0), ("b", "c", 1)]), 1.0).collect()

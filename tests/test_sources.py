@@ -56,6 +56,17 @@ def test_empty_objects(spark, tmp_path):
         assert P.read_posts_by_id(spark, str(path), layout=layout).count() == 0
 
 
+def test_broken_objects_fail(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text('{"x": "1", "y"')
+    with pytest.raises(Exception, match="MALFORMED"):
+        P.read_annotations(spark, str(path)).collect()
+    with pytest.raises(ValueError, match="layout"):
+        P.read_annotations(spark, str(path), layout="indented")
+    path.write_text('{"x": "1"}\n\n{"y": "0"}\n')
+    assert P.read_annotations(spark, str(path), layout="lines").count() == 2
+
+
 def test_columnar(spark, tmp_path):
     path = tmp_path / "twitter.json"
     columns = {"ID": {"0": 12345678901234567, "1": 5}, "Content": {"0": "a", "1": "b"}, "QuotedTweet": {"0": None, "1": 7}}
