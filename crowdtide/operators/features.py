@@ -209,9 +209,15 @@ def term_rows(
     return staged.select("id", F.explode(terms).alias("term"))
 
 
-def term_counts(df: DataFrame, **options) -> DataFrame:
-    """(id, term, tf); equal terms of a text meet on the map side."""
-    return term_rows(df, **options).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, text_col: str = "text", id_col: str = "id", **options) -> DataFrame:
+    """(id, term, tf) of texts with unique ids.
+
+    The texts are hashed by id before they are cut into terms, which moves far less than the
+    terms would, and the terms are then counted where they are.
+    """
+    texts = df.select(id_col, text_col).repartition(id_col)
+    rows = term_rows(texts, text_col, id_col, **options)
+    return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_freq(counts: DataFrame, min_df: int = 1) -> DataFrame:
