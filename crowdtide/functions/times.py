@@ -9,8 +9,9 @@ EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 def epoch_to_timestamp(seconds: Column) -> Column:
     """Seconds since 1970 (fractions kept) to a timestamp without zone."""
-    micros = F.round(seconds.cast("double") * 1e6).cast("long")
-    return F.timestamp_micros(micros).cast("timestamp_ntz")
+    exact = F.round(seconds.cast("double"), 6).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.expr(EPOCH) + F.make_dt_interval(zero, zero, zero, exact)
 
 
 def timestamp_to_epoch(moment: Column) -> Column:

@@ -17,6 +17,7 @@ from crowdtide.operators.scale import hash_rank
 from crowdtide.scratch import Rounds, materialize
 
 HUB_PIECE = 100_000  # edges per piece of a hub
+LEAST_PER_TASK = 20_000  # edges that are worth a task of their own
 STEPS_PER_SUM = 16  # tables of a walk that are kept apart
 
 
@@ -40,7 +41,8 @@ class Links:
                 .withColumn("_piece", spot)
                 .drop("id", "_pieces")
             )
-        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, min(most, math.ceil(edges.count() / LEAST_PER_TASK)))
         self.table = edges.repartition(parts, *self.keys).persist(StorageLevel.MEMORY_AND_DISK)
         self.table.count()  # a filled cache has a known partitioning, so rounds do not shuffle edges
 
