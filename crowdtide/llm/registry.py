@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from crowdtide.llm import simhash
+from crowdtide.llm import chat, kneser_ney, mtree, multi_index, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_multi_index": multi_index.op1_multi_index,
+    "op2_pii": pii.op2_pii,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_packing": packing.op5_packing,
+    "op6_kneser_ney": kneser_ney.op6_kneser_ney,
+    "op7_chat": chat.op7_chat,
+    "op8_mtree": mtree.op8_mtree,
+    "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op7_chat": chat.OP7_SQL, "op8_mtree": mtree.OP8_SQL}
