@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from crowdtide.llm import chat, kneser_ney, mtree, multi_index, packing, pii, quality, simhash, toxicity
+import corpus_pipeline
+from crowdtide.llm import (
+    chat,
+    kneser_ney,
+    mtree,
+    multi_index,
+    packing,
+    pii,
+    quality,
+    sentence_pieces,
+    simhash,
+    toxicity,
+)
 
 QUERIES = {
     "op1_multi_index": multi_index.op1_multi_index,
     "op2_pii": pii.op2_pii,
+    "op3_sentence_pieces": sentence_pieces.op3_sentence_pieces,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
     "op6_kneser_ney": kneser_ney.op6_kneser_ney,
@@ -14,6 +27,7 @@ QUERIES = {
     "op8_mtree": mtree.op8_mtree,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {"op7_chat": chat.OP7_SQL, "op8_mtree": mtree.OP8_SQL}

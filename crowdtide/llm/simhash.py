@@ -3,8 +3,8 @@
 A fingerprint's 64 bits are cut into 32 segments of two bits, and the count of ones per segment
 is its embedding. One changed bit changes one count by one, so the Manhattan distance of two
 embeddings never exceeds the Hamming distance of the fingerprints. The grid cells are the
-embeddings' coordinates on some of ``bits + 2`` blocks: points within Manhattan distance ``bits``
-differ in at most that many blocks and therefore share the cell of two equal blocks. Pairs that
+embeddings' coordinates on some of ``bits + shared`` blocks: points within Manhattan distance ``bits``
+differ in at most that many blocks and therefore share the cell of ``shared`` equal blocks. Pairs that
 share a cell are filtered by the Manhattan bound and then verified on the fingerprints.
 
 Only different fingerprints enter the join. Cells with more than ``cell`` of them make no pairs;
@@ -91,15 +91,16 @@ def _ball(fp: Column, radius: int) -> Column:
     return F.transform(F.lit(np.array(signed, np.int64)), lambda m: fp.bitwiseXOR(m))
 
 
-def links(distinct: DataFrame, bits: int = 2, cell: int = CELL) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 2, cell: int = CELL, shared: int = 2) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints within ``bits``, through chains.
 
     ``distinct`` has one row per fingerprint in ``fp``; ``bits`` is even. Links to the smallest
-    member around a shared point stand for the links within large cells.
+    member around a shared point stand for the links within large cells. More ``shared`` blocks
+    make smaller cells and more of them per fingerprint.
     """
     if bits % 2 or not 0 <= bits <= 8:
         raise ValueError("bits must be 0, 2, 4, 6 or 8")
-    masks = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).alias("m")) for i, m in enumerate(_masks(bits + 2, 2))])
+    masks = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).alias("m")) for i, m in enumerate(_masks(bits + shared, shared))])
     cells = distinct.select("fp", F.explode(masks).alias("g")).select(
         "fp", F.col("g.no").alias("no"), embedding(F.col("fp")).bitwiseAND(F.col("g.m")).alias("key")
     )
@@ -121,13 +122,15 @@ def links(distinct: DataFrame, bits: int = 2, cell: int = CELL) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def groups(fps: DataFrame, key: str = "doc_id", bits: int = 2, cell: int = CELL) -> DataFrame:
+def groups(
+    fps: DataFrame, key: str = "doc_id", bits: int = 2, cell: int = CELL, shared: int = 2
+) -> DataFrame:
     """``fps`` with ``component_id``: the smallest key reachable through links, itself included.
 
     A null key belongs to its group but is never its id; a group of null keys has a null id.
     """
     distinct = materialize(fps.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
-    found = components(links(distinct.select("fp"), bits, cell))
+    found = components(links(distinct.select("fp"), bits, cell, shared))
     labelled = distinct.join(found, distinct["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
@@ -147,6 +150,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     return groups(fps, "doc_id", bits)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Pipeline stage: of documents linked at four or fewer bits of five-word fingerprints, one stays.
+
+    Sixty of 64 equal bits are a similarity above 0.93. The smallest doc_id stays, null ids last;
+    of rows that repeat an id, the first in the table stays.
+    """
+    placed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    fps = materialize(fingerprints(placed, 5, ("doc_id", "row")), "fp")
+    named = groups(fps, "row", 4, 128, 3)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    kept = named.groupBy("component_id").agg(F.min(rank).alias("kept")).select(F.col("kept.row").alias("row"))
+    return placed.join(kept, "row", "left_semi").select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = near_duplicates(frames.table(spark, folder, "documents"))
