@@ -59,6 +59,15 @@ def map_columns(
     return df.mapInArrow(run, wanted)
 
 
+def numbered(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """The rows with all columns but ``own`` named c0, c1 and so on, and how to name them back.
+
+    Columns of any name can then stand beside those that an operator makes.
+    """
+    names = {c: c if c in own else f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 class Memo(dict):
     """A bounded table of computed values; it starts anew when full."""
 

@@ -140,7 +140,7 @@ class Tree:
 
 
 def _store(page: int, fan: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         points, ids = vectors.matrix(rows["x"]), rows["vec_id"].to_numpy(np.int64)
         none = b""
         made = [
@@ -157,7 +157,7 @@ def _store(page: int, fan: int):
 
 
 def _searched(k: int, top: float, dim: int):
-    def run(key, asked: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
+    def run(key, asked, pages):
         made = []
         if len(asked) and len(pages):
             tree = Tree(pages, dim)

@@ -135,7 +135,7 @@ def _visits(queries: DataFrame, books: Codebooks, counts: np.ndarray, salts: np.
 def _rerank(k: int, most: int = 256):
     """Per group, each query's k best rows of its cells by exact cosine."""
 
-    def run(key, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, asked, rows):
         made = []
         if len(asked) and len(rows):
             v, ids, cells = vectors.matrix(rows["v"]), rows["vec_id"].to_numpy(), rows["c2"].to_numpy()

@@ -146,7 +146,7 @@ def pack_documents(
     )
     encoded = frames.map_columns(placed, encode, "ids binary", ("doc_id", "grp"))
 
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def fill(key, rows):
         kind, rows = encoder(path).kind, rows.sort_values("doc_id", kind="stable")
         ids = [np.frombuffer(x, kind) for x in rows["ids"]]
         keys = [None if pd.isna(k) else int(k) for k in rows["doc_id"]]

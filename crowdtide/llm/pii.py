@@ -297,6 +297,21 @@ def _examples(seed: int, count: int) -> list[tuple[str, str]]:
     return made
 
 
+def made_up(count: int = 20) -> list[tuple[str, int, int, str]]:
+    """Stretches of every kind and, as often, of numbers that are nobody's data."""
+    rng = np.random.default_rng(4)
+    rows = [(f"the {s} of", 4, 4 + len(s), k) for k, s in _examples(3, count)]
+    for n in range(count):
+        plain = "".join(map(str, rng.integers(1, 10, 7 + n % 9)))
+        year, month, day = 1990 + n, 1 + n % 12, 1 + n % 28
+        for text in (
+            f"sum {plain} items", f"in {year} about {year * 37} of {year * 11}.{n % 10} units", f"on {year}-{month:02}-{day:02} at 10:{n + 10}:00",
+            f"version {n}.{n % 7}.{month} of {plain}.{n}", f"rows {plain} {plain[::-1]} {plain[1:]}",
+        ):
+            rows.append((text, 0, len(text), ""))
+    return rows
+
+
 def fit(contexts: list[tuple[str, int, int, str]], epochs: int = 8, rate: float = 0.15, seed: int = 5) -> Field:
     """Fit on stretches (text, start, end, kind); kind "" marks a stretch without personal data.
 
@@ -361,9 +376,7 @@ def train(docs: DataFrame, most: int = SAMPLE, longest: int = 20_000) -> Field:
         .orderBy(F.xxhash64("text"))
         .limit(most)
     )
-    made = [(f"the {s} of", 4, 4 + len(s), k) for k, s in _examples(3, 20)]
-    clear = [(f"in {y} about {y * 37} of {y * 11}.{y % 10} units", 0, 5, "") for y in range(1980, 2000)]
-    return fit(contexts([r["text"] for r in chosen.collect()]) + made + [(t, 0, len(t), "") for t, _, _, _ in clear])
+    return fit(contexts([r["text"] for r in chosen.collect()]) + made_up())
 
 
 # --- operator -----------------------------------------------------------------------------
@@ -412,10 +425,10 @@ def mask(docs: DataFrame, field: Field) -> DataFrame:
             masked.append(text if text is None else "".join(out) + text[at:])
         return {"masked": pa.array(masked, pa.string())}
 
-    names = docs.columns
-    made = frames.map_columns(docs, work, "masked string", tuple(names))
-    new = {"text": F.col("masked"), "n_chars": F.coalesce(F.length("masked").cast("long"), F.col("n_chars"))}
-    return made.select(*[new.get(n, F.col(n)).alias(n) for n in names])
+    rows, names = frames.numbered(docs, "text", "n_chars")
+    made = frames.map_columns(rows, work, "masked string", tuple(rows.columns))
+    length = F.coalesce(F.length("masked").cast("long"), F.col("n_chars"))
+    return made.withColumns({"text": F.col("masked"), "n_chars": length}).select(*names)
 
 
 def _is(kind: str):

@@ -162,4 +162,5 @@ def drop_poor(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: documents scoring under 0.5 go; the columns stay as they are."""
     labels = frames.table(spark, folder, "labels")
     model = train(docs, labels, ~frames.in_part(F.col("doc_id"), 3, 1))
-    return score(docs, model, tuple(docs.columns)).filter("score >= 0.5").select(*docs.columns)
+    rows, names = frames.numbered(docs, "text", "n_chars")
+    return score(rows, model, tuple(rows.columns)).filter("score >= 0.5").select(*names)

@@ -169,5 +169,5 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: documents scoring at least 0.7 go; the columns stay as they are."""
     labels = frames.table(spark, folder, "labels")
     model = train(docs, labels, ~frames.in_part(F.col("doc_id"), 3, 1))
-    scored = score(docs, model, tuple(docs.columns))
-    return scored.filter("score < 0.7").select(*docs.columns)
+    rows, names = frames.numbered(docs, "text")
+    return score(rows, model, tuple(rows.columns)).filter("score < 0.7").select(*names)
