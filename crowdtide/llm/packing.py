@@ -8,7 +8,6 @@ the largest free capacity below them.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 from zlib import crc32
 
@@ -21,7 +20,7 @@ from crowdtide.llm import frames
 
 CAPACITY = 1024
 GROUP = 8192
-_OPEN = re.compile(r"^ |\s |\s$")
+REMEMBERED = 1_200_000
 
 
 class Encoder:
@@ -32,24 +31,33 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._known = frames.Memo(lambda part: self._encode(" " + part), 600_000)
+        self._known = frames.Memo(self._after_space, REMEMBERED)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        """Ids as consecutive little-endian integers of ``kind``."""
-        first, *rest = text.split(" ")
-        if not _OPEN.search(text):
-            return self._encode(first) + b"".join(map(self._known.__getitem__, rest))
+    def _after_space(self, part: str) -> bytes | None:
+        """Ids of a space and a part; none if white space goes on, so that no cut is allowed."""
+        return None if not part or part[-1].isspace() else self._encode(" " + part)
+
+    def _with_white_space(self, parts: list[str]) -> bytes:
+        """Ids of a text with runs of white space, cut only at spaces after something else."""
         pieces, held = [], []
-        for part in (first, *rest):
+        for part in parts:
             held.append(part)
-            if part and not part[-1].isspace():  # else the white space goes on: no cut here
+            if part and not part[-1].isspace():
                 pieces.append(" ".join(held))
                 held = [""]
         return b"".join(map(self._encode, [*pieces, " ".join(held)]))
 
+    def __call__(self, text: str) -> bytes:
+        """Ids as consecutive little-endian integers of ``kind``."""
+        first, *rest = parts = text.split(" ")
+        ids = list(map(self._known.__getitem__, rest))
+        if None in ids or (rest and (not first or first[-1].isspace())):
+            return self._with_white_space(parts)
+        return self._encode(first) + b"".join(ids)
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
