@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 DIRECT_TERMS = 12
+EXACT = 2.0**52
 # Bernoulli numbers B2, B4, … B12 over their factorials.
 BERNOULLI = (
     1 / 6 / 2,
@@ -16,27 +17,40 @@ BERNOULLI = (
 )
 
 
-def hurwitz(s, a):
-    """Sum of ``(a + i) ** -s`` over i ≥ 0 (s > 1), by Euler–Maclaurin summation."""
+def scaled_hurwitz(s, a):
+    """Sum of ``((a + i) / a) ** -s`` over i ≥ 0 (s > 1), by Euler–Maclaurin summation.
+
+    It neither over- nor underflows, however large the exponent.
+    """
     s, a = np.broadcast_arrays(np.asarray(s, float), np.asarray(a, float))
     total = np.zeros(s.shape)
     for i in range(DIRECT_TERMS):
-        total += (a + i) ** -s
+        total += ((a + i) / a) ** -s
     end = a + DIRECT_TERMS
-    total += end ** (1 - s) / (s - 1) + 0.5 * end**-s
+    last = (end / a) ** -s
+    total += last * (end / (s - 1) + 0.5)
     rising = s.copy()
     for j, b in enumerate(BERNOULLI):
-        total += b * rising * end ** (-s - 2 * j - 1)
+        total += b * rising * last * end ** (-2.0 * j - 1)
         rising = rising * (s + 2 * j + 1) * (s + 2 * j + 2)
     return total
 
 
-def best_gamma(xmin, size, log_sum, low=1.0001, high=20.0, rounds=60):
-    """Exponents that maximise the likelihood of tails given by size and sum of ln x."""
+def hurwitz(s, a):
+    """Sum of ``(a + i) ** -s`` over i ≥ 0 (s > 1)."""
+    return np.asarray(a, float) ** -np.asarray(s, float) * scaled_hurwitz(s, a)
+
+
+def best_gamma(xmin, size, log_sum, low=1.0001, high=1000.0, rounds=70):
+    """Exponents that maximise the likelihood of tails given by size and sum of ln x.
+
+    Where the likelihood has no maximum between ``low`` and ``high``, as for a tail of one value,
+    the exponent is NaN: there is no fit.
+    """
     mean_log = np.asarray(log_sum, float) / np.asarray(size, float)
 
     def loss(g):
-        return np.log(hurwitz(g, xmin)) + g * mean_log
+        return np.log(scaled_hurwitz(g, xmin)) + g * (mean_log - np.log(xmin))
 
     shrink = (np.sqrt(5) - 1) / 2
     left = np.full(mean_log.shape, low)
@@ -47,7 +61,8 @@ def best_gamma(xmin, size, log_sum, low=1.0001, high=20.0, rounds=60):
         lower = loss(a) < loss(b)
         right = np.where(lower, b, right)
         left = np.where(lower, left, a)
-    return (left + right) / 2
+    found = (left + right) / 2
+    return np.where((found - low < 1e-4) | (high - found < 1e-4), np.nan, found)
 
 
 def tail_sizes(values, counts):
@@ -60,12 +75,17 @@ def ks_distance(values, counts, start, gamma):
     """Largest gap between data and model CDF over the tail ``values[start:]``."""
     x = values[start:]
     data = np.cumsum(counts[start:]) / counts[start:].sum()
-    model = 1 - hurwitz(gamma, x + 1) / hurwitz(gamma, x[0])
+    beyond = ((x + 1) / x[0]) ** -gamma * scaled_hurwitz(gamma, x + 1) / scaled_hurwitz(gamma, x[0])
+    model = 1 - beyond
     return float(np.abs(data - model).max())
 
 
 def draw(uniform, gamma, kmin):
-    """Power-law integers ≥ kmin: the k with P(X ≥ k+1) < 1 − u ≤ P(X ≥ k)."""
+    """Power-law integers ≥ kmin: the k with P(X ≥ k+1) < 1 − u ≤ P(X ≥ k).
+
+    Beyond 2**52, where doubles are no longer all integers, the leading term of the tail is
+    inverted instead; a draw beyond 64 bits is an error.
+    """
     u = np.asarray(uniform, float)
     target = (1 - u) * hurwitz(gamma, float(kmin))
     low = np.full(u.shape, float(kmin))
@@ -74,12 +94,18 @@ def draw(uniform, gamma, kmin):
     while open_rows.any():
         low = np.where(open_rows, high, low)
         high = np.where(open_rows, high * 2, high)
-        open_rows &= high < 2.0**52
+        open_rows &= high < EXACT
         open_rows &= hurwitz(gamma, high) >= target
+    far = (high >= EXACT) & (hurwitz(gamma, EXACT) >= target)
+    high = np.where(far, low + 1, high)
     while (high - low > 1).any():
         middle = np.floor((low + high) / 2)
         above = hurwitz(gamma, middle) >= target
         wide = high - low > 1
         low = np.where(wide & above, middle, low)
         high = np.where(wide & ~above, middle, high)
+    if far.any():
+        low[far] = ((gamma - 1) * target[far]) ** (-1 / (gamma - 1))
+        if not (low[far] < 2.0**63).all():
+            raise OverflowError("a draw lies beyond 64 bits; the exponent is too close to 1")
     return low.astype("int64")

@@ -62,17 +62,28 @@ def class_priors(labels: DataFrame) -> DataFrame:
     )
 
 
-def term_predict(features: DataFrame, fitted: DataFrame, priors: DataFrame | None = None) -> DataFrame:
-    """(id, prediction) for ids with a known term; equal scores go to the smaller class."""
+def term_predict(
+    features: DataFrame, fitted: DataFrame, priors: DataFrame | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """(id, prediction) for all of ``ids``; equal scores go to the smaller class.
+
+    Without ``ids``, those with a feature are meant. A text without a known term gets the class
+    with the largest prior, or the smallest class without priors.
+    """
+    if priors is None:
+        priors = fitted.select("target").distinct().withColumn("prior", F.lit(0.0))
     scores = (
         features.join(fitted, "term")
         .groupBy("id", "target")
         .agg(F.sum(F.col("w") * F.col("logp")).alias("score"))
+        .join(priors, "target")
+        .withColumn("score", F.col("score") + F.col("prior"))
     )
-    if priors is not None:
-        scores = scores.join(priors, "target").withColumn("score", F.col("score") + F.col("prior"))
     best = F.min(F.struct((-F.col("score")).alias("s"), "target"))
-    return scores.groupBy("id").agg(best["target"].alias("prediction"))
+    chosen = scores.groupBy("id").agg(best["target"].alias("prediction"))
+    usual = priors.agg(F.min(F.struct((-F.col("prior")).alias("s"), "target"))["target"]).scalar()
+    everyone = (features if ids is None else ids).select("id").distinct()
+    return everyone.join(chosen, "id", "left").select("id", F.coalesce("prediction", usual).alias("prediction"))
 
 
 # --- Gaussian, on array columns -----------------------------------------------------------

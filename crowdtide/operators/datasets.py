@@ -130,13 +130,15 @@ def annotation_progress(annotations: DataFrame) -> DataFrame:
 
 
 def annotation_progress_running(answers: DataFrame) -> DataFrame:
-    """The two totals after every answer, in order of ``answered_at`` and id."""
-    labelled = answers.filter(~F.col("answer").isin("3", "4"))
+    """The two totals after every answer, in order of ``answered_at`` and id.
+
+    Skipped and irrelevant posts leave the totals as they are.
+    """
     return running_totals(
-        labelled,
+        answers,
         ["answered_at", "id"],
         {
-            "annotated": F.lit(1).cast("long"),
+            "annotated": (~F.col("answer").isin("3", "4")).cast("long"),
             "negatives": (F.col("answer") == "0").cast("long"),
         },
     )

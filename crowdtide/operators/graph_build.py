@@ -47,12 +47,11 @@ def mention_edges(tweets: DataFrame, users: DataFrame) -> DataFrame:
     )
     is_long = F.char_length("name") > MAX_USER_NAME
     lookup = users.groupBy(F.lower("Username").alias("_key")).agg(F.min("id").alias("_id"))
-    found = named.withColumn("_key", F.when(~is_long, F.lower("name"))).join(lookup, "_key", "left")
-    target = F.when(is_long, F.col("name")).otherwise(F.col("_id").cast("string"))
-    return (
-        found.select(F.col("UserID").cast("string").alias("source"), target.alias("target"), "weight")
-        .filter(F.col("target").isNotNull())
-    )
+    found = named.filter(~is_long).withColumn("_key", F.lower("name")).join(lookup, "_key")
+    source = F.col("UserID").cast("string").alias("source")
+    known = found.select(source, F.col("_id").cast("string").alias("target"), "weight")
+    kept = named.filter(is_long).select(source, F.col("name").alias("target"), "weight")
+    return known.filter("target IS NOT NULL").unionByName(kept)
 
 
 def accumulate_weights(*pairs: DataFrame) -> DataFrame:

@@ -17,10 +17,14 @@ from crowdtide.operators.scale import hash_rank
 from crowdtide.scratch import Rounds, materialize
 
 HUB_PIECE = 100_000  # edges per piece of a hub
-LEAST_PER_TASK = 20_000  # edges that are worth a task of their own
+EDGES_PER_TASK = 100_000  # tasks grow in number with the edges, not in size
 STEPS_PER_SUM = 16  # tables of a walk that are kept apart
 
 
+class NotConvergedError(ArithmeticError):
+    """An iteration reached its last round before its scores settled."""
+
+
 class Links:
     """Edges hashed by (``end``, piece); pieces of a node hold about ``piece`` edges each."""
 
@@ -41,22 +45,17 @@ class Links:
                 .withColumn("_piece", spot)
                 .drop("id", "_pieces")
             )
-        most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(1, min(most, math.ceil(edges.count() / LEAST_PER_TASK)))
-        self.table = edges.repartition(parts, *self.keys).persist(StorageLevel.MEMORY_AND_DISK)
-        self.table.count()  # a filled cache has a known partitioning, so rounds do not shuffle edges
-
-    def join(self, state: DataFrame, one_row_per_node: bool = True) -> DataFrame:
-        """Edges with the state(id, …) of their ``end``; hubs' state is copied per piece.
+        parts = max(1, math.ceil(edges.count() / EDGES_PER_TASK))
+        ordered = edges.repartition(parts, *self.keys).sortWithinPartitions(*self.keys)
+        self.table = ordered.persist(StorageLevel.MEMORY_AND_DISK)
+        self.table.count()  # a filled cache has a known layout, so rounds neither shuffle nor sort edges
 
-        A state of one row per node is hashed within its partition, so edges are not sorted.
-        """
+    def join(self, state: DataFrame) -> DataFrame:
+        """Edges with the state(id, …) of their ``end``; hubs' state is copied per piece."""
         if self.hubs is not None:
             piece = F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
             state = state.join(self.hubs, "id", "left").withColumn("_piece", piece).drop("_pieces")
         state = state.withColumnRenamed("id", self.end)
-        if one_row_per_node:
-            state = state.hint("shuffle_hash")
         return self.table.join(state, self.keys).drop("_piece")
 
     def close(self) -> None:
@@ -82,7 +81,8 @@ def pagerank(
 ) -> DataFrame:
     """(id, PageRank) of a weighted graph; nodes without out-edges spread their rank evenly.
 
-    Rounds end when the ranks change by less than ``nodes · tol`` in sum. Every round writes
+    Rounds end when the ranks change by less than ``nodes · tol`` in sum; if ``max_rounds`` do not
+    get there, that is an error. Every round writes
     its ranks, one row per node, so plans stay short and lost executors cost one round; the
     change and the rank of nodes without out-edges are read off that table.
     """
@@ -111,6 +111,8 @@ def pagerank(
             done += 1
     finally:
         links.close()
+    if delta >= n * tol:
+        raise NotConvergedError(f"PageRank still changes by {delta} after {max_rounds} rounds")
     return ranks.select("id", F.col("rank").alias("PageRank"))
 
 
@@ -130,7 +132,8 @@ def _pagerank_round(links: Links, ranks: DataFrame, lost: float, n: int, alpha:
 def hits(edges: DataFrame, tol: float = 1e-6, max_rounds: int = 100, piece: int = HUB_PIECE) -> DataFrame:
     """(id, HubScore, AuthorityScore), each summing to 1, by weighted power rounds.
 
-    A round goes from hub scores over authorities to new hub scores in one plan; only the
+    Scores that still change by ``tol`` after ``max_rounds`` are an error. A round goes from
+    hub scores over authorities to new hub scores in one plan; only the
     nodes that can be hubs, those with out-edges, are kept between rounds.
     """
     spark = edges.sparkSession
@@ -158,6 +161,8 @@ def hits(edges: DataFrame, tol: float = 1e-6, max_rounds: int = 100, piece: int
                 delta += (n - size["n"]) / n
             hubs = table.select("id", fresh.alias("h"))
             done += 1
+        if delta >= tol:
+            raise NotConvergedError(f"hub scores still change by {delta} after {max_rounds} rounds")
         authorities, seen = Rounds(spark, "authorities").write(
             _authorities(by_source, hubs), total=F.sum("a")
         )
@@ -238,7 +243,7 @@ def _dependencies(links: Links, start: DataFrame) -> DataFrame:
     while improved:
         frontier = best.filter("_new").select("s", "id", "dist")
         reached = (
-            links.join(frontier, one_row_per_node=False)
+            links.join(frontier)
             .groupBy("s", F.col("target").alias("id"))
             .agg(F.min(F.col("dist") + F.col("weight")).alias("_found"))
         )
@@ -256,7 +261,7 @@ def _dependencies(links: Links, start: DataFrame) -> DataFrame:
     # Edges on shortest paths, per source.
     ends = best.select("s", F.col("id").alias("target"), F.col("dist").alias("_end"))
     dag = materialize(
-        links.join(best, one_row_per_node=False)
+        links.join(best)
         .withColumn("_end", F.col("dist") + F.col("weight"))
         .join(ends, ["s", "target", "_end"])
         .select("s", F.col("source").alias("u"), F.col("target").alias("v")),
@@ -288,7 +293,7 @@ def _dependencies(links: Links, start: DataFrame) -> DataFrame:
 
 def _walk(state: DataFrame, paths: DataFrame, at: str, to: str, value: Column, first: bool = True) -> DataFrame:
     """Move values along ``paths`` round by round; all arrivals, with the start if ``first``."""
-    steps = [state] if first else []
+    steps, table = [state] if first else [], Rounds(state.sparkSession, "walk", STEPS_PER_SUM + 1)
     while True:
         moved = (
             state.join(paths, ["s", at])
@@ -297,7 +302,7 @@ def _walk(state: DataFrame, paths: DataFrame, at: str, to: str, value: Column, f
             .agg(F.sum("_x").alias("x"))
             .select("s", F.col("_to").alias(at), "x")
         )
-        state, seen = Rounds(state.sparkSession, "walk").write(moved, rows=F.count(F.lit(1)))
+        state, seen = table.write(moved, rows=F.count(F.lit(1)))
         if not seen["rows"]:
             break
         steps.append(state)

@@ -35,6 +35,7 @@ from crowdtide.scratch import materialize
 
 FEATURES, TARGET = "features", "target"
 TREES_PER_PLAN = 25  # voting trees in one plan
+DEEPEST = 30  # the depth that Spark's trees can have
 
 
 # --- library learners ---------------------------------------------------------------------
@@ -58,10 +59,10 @@ def random_forest(
     min_samples_leaf: int = 2,
     criterion: str = "gini",
     max_features: float = 0.3,
-    max_depth: int = 10,
+    max_depth: int = DEEPEST,
     seed: int = 42,
 ):
-    """Forest of trees. Spark grows trees to a set depth and has no cost-complexity pruning."""
+    """Forest of trees, as deep as Spark grows them (30); it has no cost-complexity pruning."""
     return RandomForestClassifier(
         numTrees=n_estimators, minInstancesPerNode=min_samples_leaf, impurity=criterion,
         featureSubsetStrategy=str(max_features), maxDepth=max_depth, seed=seed,
@@ -173,7 +174,7 @@ def adaboost(
     min_samples_leaf: int = 2,
     learning_rate: float = 0.1,
     criterion: str = "gini",
-    max_depth: int = 3,
+    max_depth: int = DEEPEST,
     id_col: str = "id",
     seed: int = 42,
 ) -> BoostedTrees:
@@ -245,7 +246,7 @@ class NetworkEnsemble:
 
 def mlp_ensemble(
     train: DataFrame,
-    n_models: int = 5,
+    n_models: int = 10,
     layers: Sequence[int] = (64,),
     epochs: int = 100,
     frac: float = 1.0,

@@ -37,6 +37,8 @@ def _fit_candidates(values: np.ndarray, counts: np.ndarray, first: int, last: in
     picked = slice(first, last)
     gammas = best_gamma(values[picked], sizes[picked], log_sums[picked])
     for i, gamma in zip(range(first, last), gammas):
+        if np.isnan(gamma):  # no exponent fits this tail
+            continue
         yield int(values[i]), float(gamma), ks_distance(values, counts, i, gamma), int(sizes[i])
 
 
@@ -51,11 +53,20 @@ def _candidate_count(values: np.ndarray, xmax: int | None) -> int:
 def candidate_fits(histograms: DataFrame, xmax: int | None = None) -> DataFrame:
     """Fits of every candidate start of every row (…, values, counts).
 
-    The candidates of a row are cut into chunks that run in different tasks.
+    The candidates of a row are cut into chunks. A single histogram is written, and its chunk
+    numbers are spread over tasks that each get a copy; the rows of a bootstrap are spread already.
     """
     keys = [c for c in histograms.columns if c not in ("values", "counts")]
-    chunks = F.sequence(F.lit(0), F.floor((F.size("values") - 1) / CANDIDATES_PER_ROW).cast("int"))
-    rows = histograms.withColumn("chunk", F.explode(chunks))
+    chunks = F.floor((F.size("values") - 1) / CANDIDATES_PER_ROW).cast("int")
+    if keys:
+        rows = histograms.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks)))
+    else:
+        spark = histograms.sparkSession
+        histograms = materialize(histograms, "histogram")
+        count = (histograms.select(chunks.alias("last")).first()["last"] or 0) + 1
+        whole = histograms.select(F.struct("values", "counts").alias("h")).scalar()
+        rows = spark.range(0, count, 1, count).select(F.col("id").cast("int").alias("chunk"), whole.alias("h"))
+        rows = rows.select("chunk", "h.values", "h.counts")
     key_types = {n: t for n, t in histograms.dtypes}
     schema = ", ".join([*[f"`{k}` {key_types[k]}" for k in keys], FIT])
 
@@ -153,9 +164,9 @@ def bootstrap_pvalue(
     """(ks, p): share of synthetic data sets that fit no better than the data.
 
     A synthetic set draws each value from the data below xmin or from the fitted law, in the
-    proportion of the data, and is refitted with starts up to ``xmax``.
+    proportion of the data, and is refitted; both fits take starts up to ``xmax``.
     """
-    fitted = materialize(fit_power_law(degree_rows), "fit")
+    fitted = materialize(fit_power_law(degree_rows, xmax), "fit")
     xmin, gamma, observed = fitted.select("xmin", "gamma", "ks").first()  # one row of three numbers
 
     def synthesize(sim: int, values: np.ndarray, counts: np.ndarray):
@@ -184,11 +195,9 @@ def bootstrap_pvalue(
 def _draw_tail(rng, size: int, gamma: float, xmin: int, table: int = 65_536):
     """Histogram of ``size`` power-law draws.
 
-    Large samples draw the counts of the first ``table`` integers at once and only the few
-    values beyond them one by one, so work and memory do not grow with the sample.
+    The counts of the first ``table`` integers are drawn at once, whatever the size; values
+    beyond them are drawn one by one, a share of about ``table ** (1 - gamma)`` of the sample.
     """
-    if size <= table:
-        return np.unique(draw(rng.random(size), gamma, xmin), return_counts=True)
     head = np.arange(xmin, xmin + table)
     chances = head ** -float(gamma) / hurwitz(gamma, float(xmin))
     beyond = max(0.0, 1.0 - chances.sum())

@@ -22,14 +22,17 @@ def _volume_and_means(cols: Sequence[str]) -> list[Column]:
 
 
 def daily_stats(df: DataFrame, time_col: str, cols: Sequence[str], fill: bool = False) -> DataFrame:
-    """Rows and column means per calendar day, optionally with all days in between as zeros."""
-    stats = df.groupBy(day_of(time_col).alias("day")).agg(*_volume_and_means(cols))
+    """Rows and column means per calendar day, optionally with all days in between as zeros.
+
+    Rows without a time belong to no day.
+    """
+    stats = df.filter(F.col(time_col).isNotNull()).groupBy(day_of(time_col).alias("day")).agg(*_volume_and_means(cols))
     return fill_calendar(stats, "day") if fill else stats
 
 
 def monthly_stats(df: DataFrame, time_col: str, cols: Sequence[str]) -> DataFrame:
-    """Rows and column means per month, named by its first day."""
-    return df.groupBy(month_of(time_col).alias("month")).agg(*_volume_and_means(cols))
+    """Rows with a time, and column means, per month, named by its first day."""
+    return df.filter(F.col(time_col).isNotNull()).groupBy(month_of(time_col).alias("month")).agg(*_volume_and_means(cols))
 
 
 def daily_quantiles(

@@ -243,7 +243,7 @@ def log_bin_ccdf(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- power laws ---------------------------------------------------------------------------
 
-SIMS = 100
+SIMS = 1000
 
 
 def fit_power_law(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,7 +273,7 @@ def bootstrap_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fit_report(spark: SparkSession, folder: str) -> DataFrame:
-    return P.fit_report(materialize(T.user_graph(spark, folder), "edges"), n_sims=20)
+    return P.fit_report(materialize(T.user_graph(spark, folder), "edges"), n_sims=SIMS)
 
 
 QUERIES = {
@@ -415,33 +415,32 @@ between_ AS (SELECT nodes.id, coalesce(x, 0) * n / k / ((n - 1) * (n - 2)) AS "B
 
 
 def _zeta_sql(s: str, a: str) -> str:
-    """Hurwitz zeta: direct terms and the Euler–Maclaurin rest."""
+    """Hurwitz zeta times a to the power s: direct terms and the Euler–Maclaurin rest."""
     n = 15
-    direct = " + ".join(f"pow({a} + {i}, -({s}))" for i in range(n))
+    direct = " + ".join(f"pow(({a} + {i}) / {a}, -({s}))" for i in range(n))
     end = f"({a} + {n})"
-    rest = f"pow({end}, 1 - ({s})) / (({s}) - 1) + 0.5 * pow({end}, -({s}))"
-    first = f"({s}) / 12 * pow({end}, -({s}) - 1)"
-    second = f"({s}) * (({s}) + 1) * (({s}) + 2) / 720 * pow({end}, -({s}) - 3)"
-    third = f"({s}) * (({s}) + 1) * (({s}) + 2) * (({s}) + 3) * (({s}) + 4) / 30240 * pow({end}, -({s}) - 5)"
-    return f"({direct} + {rest} + {first} - {second} + {third})"
+    first = f"({s}) / 12 * pow({end}, -1)"
+    second = f"({s}) * (({s}) + 1) * (({s}) + 2) / 720 * pow({end}, -3)"
+    third = f"({s}) * (({s}) + 1) * (({s}) + 2) * (({s}) + 3) * (({s}) + 4) / 30240 * pow({end}, -5)"
+    return f"({direct} + pow({end} / {a}, -({s})) * ({end} / (({s}) - 1) + 0.5 + {first} - {second} + {third}))"
 
 
 _GOLDEN = 0.6180339887498949
 _POWER_LAW = f"""{_DEGREE.replace('WITH', 'WITH RECURSIVE', 1)},
 h AS MATERIALIZED (SELECT CAST(degree AS DOUBLE) AS k, count(*) AS n FROM a GROUP BY 1),
 c AS MATERIALIZED (
-  SELECT x.k AS xmin, sum(y.n) AS size, sum(y.n * ln(y.k)) / sum(y.n) AS m
+  SELECT x.k AS xmin, sum(y.n) AS size, sum(y.n * ln(y.k / x.k)) / sum(y.n) AS m
   FROM h x JOIN h y ON y.k >= x.k GROUP BY 1 HAVING count(*) > 1),
 g AS (
-  SELECT 0 AS step, xmin, size, m, 1.0001::DOUBLE AS lo, 20.0::DOUBLE AS hi FROM c
+  SELECT 0 AS step, xmin, size, m, 1.0001::DOUBLE AS lo, 1000.0::DOUBLE AS hi FROM c
   UNION ALL
   SELECT step + 1, xmin, size, m, CASE WHEN la < lb THEN lo ELSE pa END, CASE WHEN la < lb THEN pb ELSE hi END
   FROM (SELECT *, ln({_zeta_sql('pa', 'xmin')}) + pa * m AS la, ln({_zeta_sql('pb', 'xmin')}) + pb * m AS lb
-        FROM (SELECT *, hi - {_GOLDEN} * (hi - lo) AS pa, lo + {_GOLDEN} * (hi - lo) AS pb FROM g WHERE step < 60))),
-fits AS MATERIALIZED (SELECT xmin, size, (lo + hi) / 2 AS gamma FROM g WHERE step = 60),
+        FROM (SELECT *, hi - {_GOLDEN} * (hi - lo) AS pa, lo + {_GOLDEN} * (hi - lo) AS pb FROM g WHERE step < 70))),
+fits AS MATERIALIZED (SELECT xmin, size, (lo + hi) / 2 AS gamma FROM g WHERE step = 70 AND lo + hi > 2.0004 AND lo + hi < 1999.9998),
 gaps AS (
   SELECT f.xmin, f.size, gamma, abs(sum(h.n) OVER (PARTITION BY f.xmin ORDER BY h.k) / f.size
-    - (1 - {_zeta_sql('gamma', '(h.k + 1)')} / {_zeta_sql('gamma', 'f.xmin')})) AS gap
+    - (1 - pow((h.k + 1) / f.xmin, -gamma) * {_zeta_sql('gamma', '(h.k + 1)')} / {_zeta_sql('gamma', 'f.xmin')})) AS gap
   FROM fits f JOIN h ON h.k >= f.xmin),
 ks AS (SELECT xmin, max(size) AS ntail, max(gamma) AS gamma, max(gap) AS ks FROM gaps GROUP BY 1)
 SELECT CAST(xmin AS BIGINT) AS xmin, round(gamma, 4) AS gamma, round(ks, 6) AS ks, CAST(ntail AS BIGINT) AS ntail

@@ -125,7 +125,9 @@ def naive_bayes_multinomial(spark: SparkSession, folder: str) -> DataFrame:
 def naive_bayes_predict(spark: SparkSession, folder: str) -> DataFrame:
     counts, labels = _counts(spark, folder)
     fitted = B.multinomial_fit(counts, labels)
-    return B.term_predict(counts, fitted, B.class_priors(labels))
+    everyone = T.documents(spark, folder)
+    unseen = X.term_counts(everyone).withColumn("w", F.col("tf").cast("double"))
+    return B.term_predict(unseen, fitted, B.class_priors(labels), everyone.select("id"))
 
 
 def naive_bayes_complement(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +153,7 @@ def naive_bayes_gaussian(spark: SparkSession, folder: str) -> DataFrame:
     return B.gaussian_predict(vectors, fitted, "embedding").select("id", "prediction")
 
 
-# --- classifiers: accuracy on the rows they learned ---------------------------------------
+# --- classifiers --------------------------------------------------------------------------
 
 
 def _features(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,12 +163,26 @@ def _features(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers whose class is a step of their nation, with a margin, beside a balance that tells nothing."""
+    nation = F.col("c_nationkey")
+    late = nation >= 12
+    place = (nation + F.when(late, 12).otherwise(0)) / 36.0
+    return T.table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        late.cast("int").alias("target"),
+        F.pmod("c_custkey", F.lit(2)).alias("half"),
+        array_to_vector(F.array(place, F.col("c_acctbal").cast("double") / 10000)).alias("features"),
+    )
+
+
 def _fitted(learner, **options):
+    """Predictions for odd customers by a model learned from the even ones."""
+
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        rows = materialize(_features(spark, folder), "rows")
-        scored = learner(rows, **options).transform(rows)
-        scored = scored.select("target", F.col("prediction").cast("int").alias("prediction"))
-        return _plain_names(E.metric_table(scored))
+        rows = materialize(_steps(spark, folder), "rows")
+        scored = learner(rows.filter("half = 0").drop("half"), **options).transform(rows.filter("half = 1"))
+        return scored.select("id", F.col("prediction").cast("int").alias("prediction"))
 
     return query
 
@@ -234,12 +250,12 @@ QUERIES = {
     "naive_bayes_complement": naive_bayes_complement,
     "gaussian_moments": gaussian_moments,
     "naive_bayes_gaussian": naive_bayes_gaussian,
-    "svm": _fitted(M.svm, components=200, max_iter=30),
+    "svm": _fitted(M.svm),
     "svm_features": svm_features,
-    "random_forest": _fitted(M.random_forest, n_estimators=20, max_depth=6),
-    "adaboost": _fitted(M.adaboost, n_estimators=5, learning_rate=1.0),
-    "gradient_boosting": _fitted(M.gradient_boosting, n_estimators=3),
-    "mlp_ensemble": _fitted(M.mlp_ensemble, n_models=2, layers=(16,), epochs=30),
+    "random_forest": _fitted(M.random_forest),
+    "adaboost": _fitted(M.adaboost),
+    "gradient_boosting": _fitted(M.gradient_boosting),
+    "mlp_ensemble": _fitted(M.mlp_ensemble),
     "text_model": text_model,
     "cross_validate": cross_validate,
     "best_fold_model": best_fold,
@@ -293,12 +309,16 @@ grid AS (SELECT c.target, m.term, coalesce(s.w, 0) AS w, total, term_total
   FROM terms m JOIN classes c ON true LEFT JOIN sums s ON s.term = m.term AND s.target = c.target),
 v AS (SELECT count(*) AS v, sum(term_total) AS everything FROM terms)"""
 
+_STEPS = """SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_nationkey >= 12 THEN 1 ELSE 0 END AS prediction
+FROM customer WHERE c_custkey % 2 = 1"""
+
 _GAUSS = """cells AS (
   SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x
   FROM embeddings),
 moments AS (SELECT label AS target, dim, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM cells GROUP BY 1, 2)"""
 
 SQL = {
+    **dict.fromkeys(("svm", "random_forest", "adaboost", "gradient_boosting", "mlp_ensemble"), _STEPS),
     "stratified_kfold": f"""WITH {_PLACED}
 SELECT id, target, CAST((b + r) % 5 AS INTEGER) AS fold FROM placed""",
     "stratified_kfold_ordered": f"""WITH {_LABELS},
@@ -329,9 +349,13 @@ SELECT unnest(['MultinomialNB', 'SVC']) AS "Name", 'stand-in' AS "Decsription",
 SELECT target, term, round(ln((w + 1.0) / (total + v)), 6) AS logp FROM grid, v""",
     "naive_bayes_predict": f"""WITH {_TERMS}, fit AS (SELECT target, term, ln((w + 1.0) / (total + v)) AS logp FROM grid, v),
 prior AS (SELECT target, ln(count(*) / (SELECT count(*) FROM labelled)) AS prior FROM labelled GROUP BY 1),
-s AS (SELECT t.id, f.target, sum(logp) + max(prior) AS score
-  FROM t JOIN fit f ON t.term = f.term JOIN prior p ON p.target = f.target GROUP BY 1, 2)
-SELECT id, arg_max(target, score) AS prediction FROM s GROUP BY id""",
+words AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term
+  FROM documents),
+s AS (SELECT w.id, f.target, sum(logp) + max(prior) AS score
+  FROM words w JOIN fit f ON w.term = f.term JOIN prior p ON p.target = f.target GROUP BY 1, 2),
+best AS (SELECT id, arg_max(target, score) AS prediction FROM s GROUP BY id)
+SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(prediction, (SELECT arg_max(target, prior) FROM prior)) AS prediction
+FROM documents LEFT JOIN best ON best.id = CAST(doc_id AS VARCHAR)""",
     "naive_bayes_complement": f"""WITH {_TERMS}
 SELECT target, term, round(-ln((term_total - w + 0.1) / (everything - total + 0.1 * v)), 6) AS logp FROM grid, v""",
     "gaussian_moments": f"""WITH {_GAUSS}

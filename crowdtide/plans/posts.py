@@ -169,11 +169,13 @@ def filter_posts_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_posts(spark: SparkSession, folder: str) -> DataFrame:
-    orders = T.table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("ID"), F.col("o_orderdate").alias("Date"), F.col("o_orderpriority").alias("Content")
+    """Documents with one post a day from 2020 on."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.pmod("doc_id", F.lit(1000)).cast("int"))
+    docs = T.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("ID"), day.cast("timestamp_ntz").alias("Date"), F.col("text").alias("Content")
     )
-    found = P.search_posts(orders, "1996-03-01", "1998-09-15", "urgent|high")
-    return found.select("ID", "Content", F.to_date("Date").cast("string").alias("day"))
+    found = P.search_posts(docs, "2020-03-01", "2022-04-15", "license|idiot|nicht")
+    return found.select("ID", F.md5("Content").alias("text_md5"), F.to_date("Date").cast("string").alias("day"))
 
 
 def drop_removed(spark: SparkSession, folder: str) -> DataFrame:
@@ -239,8 +241,11 @@ def label_irrelevant(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_annotated(spark: SparkSession, folder: str) -> DataFrame:
-    reddit, reddit_notes, _, _ = _sides(spark, folder)
-    return D.label_annotated(reddit_notes, D.reddit_texts(reddit), D.REDDIT).withColumn("text", F.md5("text"))
+    reddit, reddit_notes, tweets, tweet_notes = _sides(spark, folder)
+    both = D.label_annotated(reddit_notes, D.reddit_texts(reddit), D.REDDIT).unionByName(
+        D.label_annotated(tweet_notes, D.tweet_texts(tweets), D.TWEET)
+    )
+    return both.withColumn("text", F.md5("text"))
 
 
 def train_dataset(spark: SparkSession, folder: str) -> DataFrame:
@@ -434,10 +439,10 @@ SELECT '<edge source="' || source || '" target="' || target || '"><data key="d1"
 SELECT id, created_utc, title AS subreddit FROM posts
 WHERE created_utc > 1704070000.0 AND created_utc < 1704110000.0 AND title = 'src3'
   AND num_comments < 12 AND regexp_matches(selftext, 'the|der|la', 'i')""",
-    "search_posts": """SELECT o_orderkey AS "ID", o_orderpriority AS "Content",
-       CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders
-WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1998-09-15'
-  AND regexp_matches(o_orderpriority, 'urgent|high', 'i')""",
+    "search_posts": """WITH p AS (
+  SELECT doc_id AS "ID", md5(text) AS text_md5, text, DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER) AS d FROM documents)
+SELECT "ID", text_md5, CAST(d AS VARCHAR) AS day FROM p
+WHERE d >= DATE '2020-03-01' AND d < DATE '2022-04-15' AND regexp_matches(text, 'license|idiot|nicht', 'i')""",
     "drop_removed": """WITH p AS (SELECT o_orderkey AS id,
   CASE WHEN o_orderstatus = 'F' THEN '[removed]' WHEN o_orderpriority LIKE '5%' THEN '[deleted]'
        WHEN o_orderpriority NOT LIKE '4%' THEN o_orderpriority END AS selftext FROM orders)
@@ -455,7 +460,7 @@ FROM posts""",
     "post_text": "SELECT p_partkey, p_name || ' ' || p_type AS text FROM part",
     "label_irrelevant": f"WITH {_LABELLED} SELECT md5(text) AS text, type, id, target FROM irr",
     "label_annotated": f"""WITH {_LABELLED}
-SELECT md5(text) AS text, type, id, target FROM ann WHERE type = 'reddit_post'""",
+SELECT md5(text) AS text, type, id, target FROM ann""",
     "train_dataset": f"WITH {_LABELLED} SELECT md5(text) AS text, type, id, target FROM ann",
     "alt_dataset": f"""WITH {_LABELLED}, u AS (SELECT * FROM irr UNION ALL SELECT * FROM ann)
 SELECT md5(text) AS text, type, id, target, block,
@@ -483,9 +488,9 @@ WHERE id NOT IN (SELECT id FROM notes)""",
 SELECT count(*) FILTER (WHERE NOT is_irrelevant) AS annotated,
        count(*) FILTER (WHERE NOT is_irrelevant AND target = '0') AS negatives FROM notes""",
     "annotation_progress_running": f"""WITH {_ANSWERS}
-SELECT answered_at, count(*) OVER w AS annotated,
+SELECT answered_at, CAST(sum(CASE WHEN answer IN ('3', '4') THEN 0 ELSE 1 END) OVER w AS BIGINT) AS annotated,
        CAST(sum(CASE WHEN answer = '0' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS negatives
-FROM answers WHERE answer NOT IN ('3', '4') WINDOW w AS (ORDER BY answered_at, id)""",
+FROM answers WINDOW w AS (ORDER BY answered_at, id)""",
     "highlight_terms": """SELECT CAST(doc_id AS VARCHAR) AS id,
        md5(regexp_replace(text, 'the|der|les', '<<MARK>>', 'gi')) AS text_md5,
        length(regexp_replace(text, 'the|der|les', '<<MARK>>', 'gi')) - length(text) AS grown

@@ -55,10 +55,11 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 class Rounds:
-    """Written tables of an iteration; a table is removed once two newer ones exist."""
+    """Written tables of an iteration; a table is removed once ``kept`` newer ones exist."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, kept: int = 2):
         self._spark = spark
+        self._kept = kept
         self._base = new_folder(spark, label)
         self._paths: list[str] = []
 
@@ -68,8 +69,8 @@ class Rounds:
         schema = df.schema
         df.write.parquet(path)
         self._paths.append(path)
-        if len(self._paths) > 2:
-            _remove(self._spark, self._paths[-3])
+        if len(self._paths) > self._kept:
+            _remove(self._spark, self._paths[-self._kept - 1])
         table = self._spark.read.schema(schema).parquet(path)
         found = table.agg(*[c.alias(n) for n, c in totals.items()]).first() if totals else None
         return table, found
