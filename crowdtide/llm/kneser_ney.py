@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crowdtide.llm import frames
 from crowdtide.scratch import new_folder
 
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 TOKENS_PER_SHARD = 4_000_000
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n<s>", b"\n</s>"))  # no word holds a newline
 _U8 = np.dtype("<u8")
@@ -41,7 +41,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _hash_memo() -> frames.Memo:
-    return frames.Memo(xxhash.xxh64_intdigest, 500_000)
+    return frames.Memo(xxhash.xxh64_intdigest, 400_000)
 
 
 def token_hashes(texts: list[bytes], known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
