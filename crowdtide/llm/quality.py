@@ -89,7 +89,7 @@ class Model:
         return float(self.offset + self.linear[index] @ values + pairs)
 
 
-def fit(data: Sample, epochs: int = 40, rate: float = 0.03, decay: float = 1e-7, seed: int = 11) -> Model:
+def fit(data: Sample, epochs: int = 40, rate: float = 0.03, decay: float = 1e-3, seed: int = 11) -> Model:
     """Logistic likelihood by Adam; without rows of both classes, the model is a constant."""
     rng = np.random.default_rng(seed)
     factors = rng.normal(0, 0.02, (SIZE, RANK))
