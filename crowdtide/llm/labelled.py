@@ -49,7 +49,8 @@ def sample(
     for c in (0, 1):
         if (y == c).any():
             weights[y == c] = totals[c] / (y == c).sum()
-    return Sample(list(found[list(columns)].itertuples(index=False, name=None)), y, weights / max(weights.mean(), 1e-9))
+    weights /= weights.mean() if len(weights) else 1.0
+    return Sample(list(found[list(columns)].itertuples(index=False, name=None)), y, weights)
 
 
 class Adam:
