@@ -1,7 +1,12 @@
-"""Incremental graph: a stream of posts adds edge weights, and stops and resumes by itself."""
+"""Incremental graph: a stream of posts adds edge weights, and stops and resumes by itself.
+
+The graph is a folder of weight tables, ``first=a/last=b`` for the sums of batches a to b. A batch
+adds a table of its own, and compaction replaces all tables by one.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,15 +24,15 @@ def update_graph(
 ) -> StreamingQuery:
     """Start a query that folds all landed posts of the stream into the graph under ``out``.
 
-    ``edges_of`` maps a batch of posts to edges. Each batch writes its weights to the folder of
-    its number, replacing what a broken attempt left there, and the stream's checkpoint records
+    ``edges_of`` maps a batch of posts to edges; files of posts are taken in the order they landed.
+    Each batch writes its weights to the folder of its number, replacing what a broken attempt left there, and the stream's checkpoint records
     the finished batches; a restart continues with posts that were not processed yet and no
     edge is counted twice.
     """
 
     def write_batch(batch: DataFrame, number: int) -> None:
         weights = accumulate_weights(edges_of(batch))
-        weights.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        weights.write.mode("overwrite").parquet(f"{out}/first={number}/last={number}")
 
     return (
         posts.writeStream.foreachBatch(write_batch)
@@ -37,11 +42,36 @@ def update_graph(
     )
 
 
+def _tables(spark: SparkSession, out: str) -> tuple[DataFrame, int]:
+    """Rows of the tables that count, and the last batch: a sum from 0 on replaces what it covers."""
+    rows = spark.read.schema(f"{EDGES}, first long, last long").parquet(out)
+    seen = rows.agg(F.max(F.when(F.col("first") == 0, F.col("last"))), F.max("last")).first()
+    summed, last = (-1 if n is None else n for n in seen)
+    counted = ((F.col("first") == 0) & (F.col("last") == summed)) | (F.col("first") > summed)
+    return rows.filter(counted), last
+
+
 def read_graph(spark: SparkSession, out: str) -> DataFrame:
     """Edge weights summed over all batches."""
-    return accumulate_weights(spark.read.schema(EDGES).parquet(out))
+    return accumulate_weights(_tables(spark, out)[0].select("source", "target", "weight"))
 
 
-def compact_graph(spark: SparkSession, out: str, target: str) -> None:
-    """Write the summed graph as a table of its own."""
-    read_graph(spark, out).select(F.col("source"), F.col("target"), F.col("weight")).write.parquet(target)
+def compact_graph(spark: SparkSession, out: str) -> None:
+    """Replace the tables of all finished batches by their sum.
+
+    The sum is written aside and renamed, and only then are the old tables removed; a reader
+    never counts a batch twice, and a broken attempt leaves the graph as it was. Not to be run
+    while a batch is written.
+    """
+    rows, last = _tables(spark, out)
+    if last < 1:
+        return
+    old = [r["first"] for r in rows.select("first").distinct().collect()]  # one number per batch since the last sum
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{out}/_sum-{uuid.uuid4().hex}"
+    accumulate_weights(rows.select("source", "target", "weight")).write.parquet(aside)
+    before = [s.getPath() for s in files.listStatus(path(f"{out}/first=0"))]
+    files.rename(path(aside), path(f"{out}/first=0/last={last}"))
+    for table in [*before, *(path(f"{out}/first={n}") for n in old if n > 0)]:
+        files.delete(table, True)

@@ -33,5 +33,14 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     update_graph(stream, edges_of, out, state).awaitTermination()
     whole = _graph(read_graph(spark, out))
     assert whole == _graph(accumulate_weights(edges_of(_posts(spark, 0, 80))))
-    compact_graph(spark, out, str(tmp_path / "compact"))
-    assert _graph(spark.read.parquet(str(tmp_path / "compact"))) == whole
+    tables = lambda: len(list((tmp_path / "out").glob("first=*/last=*")))
+    assert tables() > 3
+    compact_graph(spark, out)
+    assert tables() == 1 and _graph(read_graph(spark, out)) == whole
+
+    _posts(spark, 80, 95).write.mode("append").parquet(landed)
+    update_graph(stream, edges_of, out, state).awaitTermination()
+    assert tables() > 1
+    compact_graph(spark, out)
+    assert tables() == 1
+    assert _graph(read_graph(spark, out)) == _graph(accumulate_weights(edges_of(_posts(spark, 0, 95))))
