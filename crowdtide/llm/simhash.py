@@ -96,20 +96,20 @@ def links(distinct: DataFrame, bits: int = 2, cell: int = CELL, shared: int = 2)
 
     ``distinct`` has one row per fingerprint in ``fp``; ``bits`` is even. Links to the smallest
     member around a shared point stand for the links within large cells. More ``shared`` blocks
-    make smaller cells and more of them per fingerprint.
+    make smaller cells and more of them per fingerprint. A cell's key is the hash of its blocks and
+    counts; cells that share a hash would only be searched together.
     """
     if bits % 2 or not 0 <= bits <= 8:
         raise ValueError("bits must be 0, 2, 4, 6 or 8")
-    masks = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).alias("m")) for i, m in enumerate(_masks(bits + shared, shared))])
-    cells = distinct.select("fp", F.explode(masks).alias("g")).select(
-        "fp", F.col("g.no").alias("no"), embedding(F.col("fp")).bitwiseAND(F.col("g.m")).alias("key")
-    )
-    sizes = cells.groupBy("no", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(cells.join(sizes, ["no", "key"]), "cells")
-    small = members.filter(F.col("n") <= cell).select("no", "key", "fp")
+    masks = F.lit(np.array(_masks(bits + shared, shared), np.int64))
+    keys = F.transform(masks, lambda m: F.xxhash64(m, embedding(F.col("fp")).bitwiseAND(m)))
+    cells = distinct.select("fp", F.explode(keys).alias("key"))
+    sizes = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialize(cells.join(sizes, "key"), "cells")
+    small = members.filter(F.col("n") <= cell).select("key", "fp")
     left, right = small.withColumnRenamed("fp", "a"), small.withColumnRenamed("fp", "b")
     pairs = (
-        left.join(right, ["no", "key"])
+        left.join(right, "key")
         .filter("a < b")
         .filter(manhattan(embedding(F.col("a")), embedding(F.col("b"))) <= bits)
         .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
@@ -159,7 +159,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     rows, names = frames.numbered(docs, "doc_id", "text")
     placed = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     fps = materialize(fingerprints(placed, 5, ("doc_id", "row")), "fp")
-    named = groups(fps, "row", 4, 128, 3)
+    named = groups(fps, "row", 4, 128, 4)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     kept = named.groupBy("component_id").agg(F.min(rank).alias("kept")).select(F.col("kept.row").alias("row"))
     return placed.join(kept, "row", "left_semi").select(*names)

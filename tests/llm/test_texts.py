@@ -49,7 +49,7 @@ def test_fingerprints(spark, docs_of, saved):
     assert {i: r["component_id"] for i, r in got.items()} == brute_groups(want, 2)
 
 
-@pytest.mark.parametrize("bits,cell,shared", [(2, 32, 2), (2, 3, 2), (4, 16, 3), (4, 2, 3)])
+@pytest.mark.parametrize("bits,cell,shared", [(2, 32, 2), (2, 3, 2), (4, 16, 4), (4, 2, 3)])
 def test_groups_of_close_fingerprints(spark, bits, cell, shared):
     """Random centres with chains and balls around them; small cells force the shared points."""
     rng = np.random.default_rng(bits * 100 + cell)
