@@ -20,7 +20,7 @@ from crowdtide.llm import frames
 
 CAPACITY = 1024
 GROUP = 8192
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 
 
 class Encoder:
@@ -53,10 +53,12 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         """Ids as consecutive little-endian integers of ``kind``."""
         first, *rest = parts = text.split(" ")
-        ids = list(map(self._known.__getitem__, rest))
-        if None in ids or (rest and (not first or first[-1].isspace())):
+        if rest and (not first or first[-1].isspace()):
+            return self._with_white_space(parts)
+        try:
+            return self._encode(first) + b"".join(map(self._known.__getitem__, rest))
+        except TypeError:  # a part without ids
             return self._with_white_space(parts)
-        return self._encode(first) + b"".join(ids)
 
 
 @lru_cache(maxsize=1)
