@@ -9,6 +9,7 @@ the document's likelihood tells which sentences explain it. Scoring then names t
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -55,7 +56,7 @@ class Model:
         return float(self.weights[word_features(word)].sum())
 
 
-def _telling(feature, feature_word, entry_word, entry_doc, y) -> np.ndarray:
+def _telling(feature, feature_word, words, entry_word, entry_doc, y) -> np.ndarray:
     """Features met clearly more often in positive documents than chance has it.
 
     A feature's documents are those of its words, summed. Others would only let the fit explain
@@ -63,7 +64,6 @@ def _telling(feature, feature_word, entry_word, entry_doc, y) -> np.ndarray:
     """
     pairs = np.unique(entry_word.astype(np.int64) << 32 | entry_doc)
     word, toxic = pairs >> 32, y[pairs & 0xFFFFFFFF]
-    words = feature_word[-1] + 1
     all_docs = np.bincount(feature, np.bincount(word, minlength=words)[feature_word], BUCKETS)
     hits = np.bincount(feature, np.bincount(word, toxic, words)[feature_word], BUCKETS)
     share = y.mean()
@@ -80,29 +80,35 @@ def fit(data: Sample, epochs: int = 100, rate: float = 0.1, decay: float = 1e-4)
     if len(data) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), -40.0)
     numbers: dict[str, int] = {}
-    entry_word, entry_sentence, sentence_doc = [], [], []
+    entry_word, entry_sentence, sentence_doc = array("i"), array("i"), array("i")
     for doc, (text,) in enumerate(data.rows):
         for _, _, words in sentences(text or ""):
             entry_word.extend(numbers.setdefault(w, len(numbers)) for w in words)
             entry_sentence.extend([len(sentence_doc)] * len(words))
             sentence_doc.append(doc)
-    entry_word, entry_sentence, sentence_doc = map(np.asarray, (entry_word, entry_sentence, sentence_doc))
-    lists = [word_features(w) for w in numbers]
-    feature = np.fromiter((f for x in lists for f in x), np.int64)
-    feature_word = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    telling = _telling(feature, feature_word, entry_word, sentence_doc[entry_sentence], y)[feature]
+    feature, per_word = array("i"), array("i")
+    for word in numbers:
+        found = word_features(word)
+        feature.extend(found)
+        per_word.append(len(found))
+    entry_word, entry_sentence, sentence_doc, feature, per_word = (
+        np.frombuffer(x, np.int32) for x in (entry_word, entry_sentence, sentence_doc, feature, per_word)
+    )
+    words, feature_word = len(numbers), np.repeat(np.arange(len(numbers), dtype=np.int32), per_word)
+    del numbers
+    telling = _telling(feature, feature_word, words, entry_word, sentence_doc[entry_sentence], y)[feature]
     feature, feature_word = feature[telling], feature_word[telling]
     weights, bias = np.zeros(BUCKETS), BIAS
     steps, bias_steps = Adam(BUCKETS, rate), Adam((), rate)
     share = data.weights / data.weights.sum()
     for _ in range(epochs):
-        per_word = np.bincount(feature_word, weights[feature], len(lists))
+        per_word = np.bincount(feature_word, weights[feature], words)
         z = bias + np.bincount(entry_sentence, per_word[entry_word], len(sentence_doc))
         p = sigmoid(z)
         missed = np.exp(np.bincount(sentence_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
         pull = share * np.where(y == 1, -missed / np.maximum(1 - missed, 1e-9), 1.0)
         dz = pull[sentence_doc] * p
-        d_word = np.bincount(entry_word, dz[entry_sentence], len(lists))
+        d_word = np.bincount(entry_word, dz[entry_sentence], words)
         gradient = np.bincount(feature, d_word[feature_word], BUCKETS) + decay * weights
         weights -= steps.step(gradient)
         bias -= bias_steps.step(np.asarray(dz.sum()))
