@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -34,9 +37,12 @@ def map_columns(
 ) -> DataFrame:
     """Columns made by ``function`` from slices of at most ``rows`` rows, beside those kept.
 
-    ``function`` may be a class: it is then built once per task, so that models load once.
+    ``function`` may be a class: it is then built once per task, so that models load once. Arrow
+    batches are held to some thousand rows for the session, as texts can be long.
     """
     spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep]
     wanted = spark.createDataFrame([], ", ".join([*kept, schema])).schema
     names = wanted.names
