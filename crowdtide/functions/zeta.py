@@ -87,25 +87,30 @@ def draw(uniform, gamma, kmin):
     inverted instead; a draw beyond 64 bits is an error.
     """
     u = np.asarray(uniform, float)
-    target = (1 - u) * hurwitz(gamma, float(kmin))
-    low = np.full(u.shape, float(kmin))
+    kmin = float(kmin)
+
+    def tail(k):
+        return (k / kmin) ** -gamma * scaled_hurwitz(gamma, k)
+
+    target = (1 - u) * tail(kmin)
+    low = np.full(u.shape, kmin)
     high = low * 2
-    open_rows = hurwitz(gamma, high) >= target
+    open_rows = tail(high) >= target
     while open_rows.any():
         low = np.where(open_rows, high, low)
         high = np.where(open_rows, high * 2, high)
         open_rows &= high < EXACT
-        open_rows &= hurwitz(gamma, high) >= target
-    far = (high >= EXACT) & (hurwitz(gamma, EXACT) >= target)
+        open_rows &= tail(high) >= target
+    far = (high >= EXACT) & (tail(EXACT) >= target)
     high = np.where(far, low + 1, high)
     while (high - low > 1).any():
         middle = np.floor((low + high) / 2)
-        above = hurwitz(gamma, middle) >= target
+        above = tail(middle) >= target
         wide = high - low > 1
         low = np.where(wide & above, middle, low)
         high = np.where(wide & ~above, middle, high)
     if far.any():
-        low[far] = ((gamma - 1) * target[far]) ** (-1 / (gamma - 1))
+        low[far] = np.exp((gamma * np.log(kmin) - np.log((gamma - 1) * target[far])) / (gamma - 1))
         if not (low[far] < 2.0**63).all():
             raise OverflowError("a draw lies beyond 64 bits; the exponent is too close to 1")
     return low.astype("int64")

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtide.functions.zeta import best_gamma, draw, hurwitz, ks_distance, tail_sizes
+from crowdtide.functions.zeta import best_gamma, draw, ks_distance, scaled_hurwitz, tail_sizes
 from crowdtide.operators.graph_metrics import degree_histogram, degrees
 from crowdtide.operators.scale import uniform
 from crowdtide.scratch import materialize
@@ -199,7 +199,7 @@ def _draw_tail(rng, size: int, gamma: float, xmin: int, table: int = 65_536):
     beyond them are drawn one by one, a share of about ``table ** (1 - gamma)`` of the sample.
     """
     head = np.arange(xmin, xmin + table)
-    chances = head ** -float(gamma) / hurwitz(gamma, float(xmin))
+    chances = (head / xmin) ** -float(gamma) / scaled_hurwitz(gamma, float(xmin))
     beyond = max(0.0, 1.0 - chances.sum())
     drawn = rng.multinomial(size, np.append(chances, beyond) / (chances.sum() + beyond))
     values, counts = np.unique(draw(rng.random(drawn[-1]), gamma, xmin + table), return_counts=True)

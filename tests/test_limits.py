@@ -43,6 +43,15 @@ def test_draws_go_on_beyond_exact_doubles():
         zeta.draw(np.array([0.9999999]), 1.05, 1)
 
 
+def test_draws_with_large_exponents():
+    u = np.random.default_rng(3).random(1000)
+    got = zeta.draw(u, 300.0, 500)
+    tail = lambda k: (k / 500.0) ** -300.0 * zeta.scaled_hurwitz(300.0, k) / zeta.scaled_hurwitz(300.0, 500.0)
+    assert ((tail(got + 1.0) < 1 - u) & (1 - u <= tail(got.astype(float)) + 1e-12)).all()
+    values, counts = powerlaw._draw_tail(np.random.default_rng(4), 5000, 300.0, 500)
+    assert counts.sum() == 5000 and values.min() == 500
+
+
 def test_candidates_of_one_fit_run_in_several_tasks(spark):
     rows = spark.range(400).select(F.col("id").cast("string").alias("id"), (F.col("id") + 1).alias("degree"))
     fits = powerlaw.candidate_fits(powerlaw.histogram_row(graph_metrics.degree_histogram(rows)))
