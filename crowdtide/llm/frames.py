@@ -65,6 +65,20 @@ def map_columns(
     return df.mapInArrow(run, wanted)
 
 
+def hashed_sample(rows: DataFrame, key: Column, value: str, most: int) -> list:
+    """Values of at most ``most`` different keys, those of the smallest hashes.
+
+    A key that repeats gives its smallest value. Only hashes are compared over all rows, so what
+    reaches the driver is bounded however many rows and partitions there are.
+    """
+    hashed = rows.select(F.xxhash64(key, F.lit(5)).alias("h"), F.col(value).alias("v"))
+    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h").alias("last")).first()["last"]
+    if last is None:
+        return []
+    chosen = hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min("v").alias("v")).orderBy("h")
+    return [r["v"] for r in chosen.collect()]
+
+
 def numbered(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
     """The rows with all columns but ``own`` named c0, c1 and so on, and how to name them back.
 

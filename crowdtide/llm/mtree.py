@@ -211,8 +211,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     raised = rows.select("vec_id", F.concat("x", F.array(F.sqrt(F.greatest(F.lit(top) - norm, F.lit(0.0))))).alias("x"))
     pivot_count = min(MOST_PIVOTS, -(-count // BLOCK))
-    chosen = raised.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(pivot_count)
-    pivots = np.unique(vectors.matrix(chosen.toPandas()["x"]), axis=0)
+    chosen = frames.hashed_sample(raised, F.col("vec_id"), "x", pivot_count)
+    pivots = np.unique(np.array(chosen, np.float64), axis=0)
     placed = materialize(frames.map_columns(raised, _nearest(pivots), "block int, away double", ("vec_id", "x")), "blocks")
     blocks = {r["block"]: r for r in placed.groupBy("block").agg(F.count("x").alias("n"), F.max("away").alias("r")).collect()}
     salts = np.array([max(1, -(-blocks[b]["n"] // BLOCK)) if b in blocks else 1 for b in range(len(pivots))])

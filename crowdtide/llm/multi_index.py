@@ -62,8 +62,7 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 15, seed: int = 17) -> np.nd
 
 def train(rows: DataFrame, count: int, sample: int = SAMPLE) -> Codebooks:
     """Codebooks from at most ``sample`` rows chosen by hash of the id."""
-    chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(sample).toPandas()
-    points = unit(vectors.matrix(chosen["v"]))
+    points = unit(np.array(frames.hashed_sample(rows, F.col("vec_id"), "v", sample), np.float64))
     half = points.shape[1] // 2
     k = int(np.clip(round(count**0.5 / 2), 2, MOST_CENTROIDS))
     return Codebooks(k_means(points[:, :half], k), k_means(points[:, half:], k))

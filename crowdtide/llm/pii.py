@@ -370,13 +370,10 @@ def train(docs: DataFrame, most: int = SAMPLE, longest: int = 20_000) -> Field:
     The documents are chosen by hash among those with a digit or an at sign; made-up examples
     join them, so an empty table also gives a field.
     """
-    chosen = (
-        docs.select("text")
-        .filter(F.col("text").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike("[0-9@]"))
-        .orderBy(F.xxhash64("text"))
-        .limit(most)
+    short = docs.select("text").filter(
+        F.col("text").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike("[0-9@]")
     )
-    return fit(contexts([r["text"] for r in chosen.collect()]) + made_up())
+    return fit(contexts(frames.hashed_sample(short, F.col("text"), "text", most)) + made_up())
 
 
 # --- operator -----------------------------------------------------------------------------
