@@ -26,6 +26,8 @@ HEADLINE = (
     "naive_bayes_multinomial",
     "naive_bayes_gaussian",
     "stratified_kfold",
+    "random_forest",
+    "write_edgelist_csv",
     "accumulate_weights",
     "email_edges",
     "degrees_all",
