@@ -239,7 +239,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     known = [(b, pivots[b]) for b in range(len(pivots)) if b in blocks]
     numbers, centres, reach = np.array([b for b, _ in known]), np.array([c for _, c in known]), radii[[b for b, _ in known]]
 
-    def distances_to(batch: pa.RecordBatch) -> np.ndarray:
+    def distances_to(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         points = np.hstack([frames.float_rows(batch.column("x"), pivots.shape[1] - 1), np.zeros((len(batch), 1))])
         squares = (points * points).sum(1)[:, None] - 2 * points @ centres.T + (centres * centres).sum(1)
         return np.sqrt(np.maximum(squares, 0)), (points * points).sum(1)
