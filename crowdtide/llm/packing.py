@@ -8,6 +8,7 @@ the largest free capacity below them.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 from zlib import crc32
 
@@ -20,7 +21,44 @@ from crowdtide.llm import frames
 
 CAPACITY = 1024
 GROUP = 8192
-REMEMBERED = 800_000
+REMEMBERED = 300_000
+#: Fixed value: the pattern by which byte-level tokenizers cut texts before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def ranked(path: str):
+    """The tokenizer's merges as ranks for the faster library, or none where ids could differ.
+
+    Equal ids need plain byte-level BPE, cut by the common pattern, whose merges are numbered in
+    the order of their ids.
+    """
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges") or ()]
+    plain = (
+        model.get("type", "BPE") == "BPE" and pairs and not model.get("dropout") and not model.get("ignore_merges")
+        and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and whole.get("normalizer") is None and cut.get("type") == "ByteLevel"
+        and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    )
+    if not plain:
+        return None
+    vocabulary, letters = model["vocab"], _byte_letters()
+    made = [vocabulary[a + b] for a, b in pairs]
+    if made != sorted(set(made)) or len(vocabulary) != len(made) + 256 or made[0] != 256:
+        return None
+    import tiktoken
+
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
+    return tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
@@ -30,11 +68,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._ranked = ranked(path)
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._known = frames.Memo(self._after_space, REMEMBERED)
 
     def _encode(self, text: str) -> bytes:
-        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if self._ranked is None or any(t in text for t in self._added):
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self._ranked.encode_ordinary(text)
+        return np.asarray(ids, self.kind).tobytes()
 
     def _after_space(self, part: str) -> bytes | None:
         """Ids of a space and a part; none if white space goes on, so that no cut is allowed."""
