@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,6 +63,8 @@ def map_columns(
                     types = [to_arrow_type(wanted[n].dataType) for n in names]
                 arrays = [a.cast(t) if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(arrays, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        del work
+        give_back()
 
     return df.mapInArrow(run, wanted)
 
@@ -88,6 +92,16 @@ def numbered(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system, as workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Memo(dict):
     """A bounded table of computed values; it starts anew when full."""
 

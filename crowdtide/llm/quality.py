@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
 
     class Work:
         def __init__(self):
-            self.bucket = frames.Memo(_bucket).__getitem__
+            self.bucket = frames.Memo(_bucket, 200_000).__getitem__
 
         def __call__(self, batch: pa.RecordBatch) -> dict:
             lengths = batch.column("n_chars").to_pylist()

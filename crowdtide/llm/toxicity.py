@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
 
     class Work:
         def __init__(self):
-            self.word = frames.Memo(model.word)
+            self.word = frames.Memo(model.word, 200_000)
 
         def __call__(self, batch: pa.RecordBatch) -> dict:
             found = [_score(t or "", self.word, model.bias) for t in batch.column("text").to_pylist()]
