@@ -150,21 +150,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     return groups(fps, "doc_id", bits)
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pipeline stage: of documents linked at four or fewer bits of five-word fingerprints, one stays.
-
-    Sixty of 64 equal bits are a similarity above 0.93. The smallest doc_id stays, null ids last;
-    of rows that repeat an id, the first in the table stays.
-    """
-    rows, names = frames.numbered(docs, "doc_id", "text")
-    placed = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    fps = materialize(fingerprints(placed, 5, ("doc_id", "row")), "fp")
-    named = groups(fps, "row", 4, 128, 4)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    kept = named.groupBy("component_id").agg(F.min(rank).alias("kept")).select(F.col("kept.row").alias("row"))
-    return placed.join(kept, "row", "left_semi").select(*names)
-
-
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = near_duplicates(frames.table(spark, folder, "documents"))
