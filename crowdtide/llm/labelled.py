@@ -21,12 +21,14 @@ class Sample:
 
 
 def sample(
-    docs: DataFrame, labels: DataFrame, column: str, trained: Column | None, most: int, longest: int,
-    columns: tuple[str, ...] = ("text",),
+    docs: DataFrame, labels: DataFrame, column: str, trained: Column | None, most: int, longest: int | None,
+    columns: tuple[str, ...] = ("text",), characters: int | None = None,
 ) -> Sample:
     """At most ``most`` labelled documents, half of each class where there are enough.
 
-    ``trained`` tells which labels may be learned from; without it, all may. Documents above ``longest`` characters are not sampled. The choice is by hash of the id, so
+    ``trained`` tells which labels may be learned from; without it, all may. Documents above ``longest`` characters are not sampled, if it is given. With
+    ``characters``, a class has at most half as many in all; in the order of the choice, a document that does
+    not fit in what is left is passed over, whatever its length. The choice is by hash of the id, so
     it is the same on every run. Null ids and labels are ignored; a document labelled twice
     has its larger label.
     """
@@ -40,7 +42,11 @@ def sample(
     order = F.xxhash64("doc_id", F.lit(7))
     chosen = [known.filter(F.col("label") == c).orderBy(order).limit(most // 2) for c in (0, 1)]
     ids = chosen[0].union(chosen[1])
-    texts = docs.select("doc_id", *columns).filter(F.length(F.coalesce("text", F.lit(""))) <= longest)
+    if characters is not None:
+        ids = _fitting(docs, ids, order, characters // 2)
+    texts = docs.select("doc_id", *columns)
+    if longest is not None:
+        texts = texts.filter(F.length(F.coalesce("text", F.lit(""))) <= longest)
     # the ids are at most ``most`` rows by construction
     found = texts.join(F.broadcast(ids), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     found = found.drop_duplicates("doc_id")
@@ -53,6 +59,19 @@ def sample(
     return Sample(list(found[list(columns)].itertuples(index=False, name=None)), y, weights)
 
 
+def _fitting(docs: DataFrame, ids: DataFrame, order: Column, characters: int) -> DataFrame:
+    """The ids, class by class in order, whose texts fit into so many characters."""
+    length = F.max(F.length(F.coalesce("text", F.lit("")))).alias("n")
+    # the ids are at most ``most`` rows by construction
+    sizes = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(length)
+    left, kept = {0: characters, 1: characters}, []
+    for r in sizes.orderBy(order, "doc_id").collect():
+        if r["n"] <= left[r["label"]]:
+            left[r["label"]] -= r["n"]
+            kept.append((r["doc_id"], r["label"]))
+    return ids.sparkSession.createDataFrame(kept, ids.schema)
+
+
 class Adam:
     """Adam steps for one array."""
 

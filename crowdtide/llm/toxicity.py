@@ -2,7 +2,10 @@
 
 A document is a bag of sentences. A sentence's probability is logistic in its words, a word's
 weight is the sum over its hashed prefixes and itself, and the document's probability is
-the noisy-or of its sentences: ``1 - prod(1 - p)``. Only document labels are known; the gradient of
+the noisy-or of its sentences: ``1 - prod(1 - p)``. Faint sentences, of a probability up to ``FAINT`` or
+without a telling word, weigh together as at most ``TYPICAL`` ones, so that they say nothing of a document by their
+number: all of them leave a score below 0.23 for any length while a sentence without a
+telling word has at most ``FAINT``. Only document labels are known; the gradient of
 the document's likelihood tells which sentences explain it. Scoring then names those sentences.
 """
 
@@ -22,7 +25,9 @@ from crowdtide.llm.labelled import Adam, Sample, sample, sigmoid
 
 BUCKETS = 1 << 18
 SAMPLE = 8000
-LONGEST = 20_000
+CHARACTERS = 40_000_000
+FAINT = 0.002
+TYPICAL = 128
 OFFENDING = 0.5
 LEAST_DOCUMENTS = 6
 BIAS = -9.0
@@ -71,6 +76,13 @@ def _telling(feature, feature_word, words, entry_word, entry_doc, y) -> np.ndarr
     return (all_docs >= LEAST_DOCUMENTS) & (excess >= LEAST_EXCESS)
 
 
+def _shares(p: np.ndarray, least: float, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Weight of every sentence in its document's noisy-or; ``least`` is that of one without telling words."""
+    faint = p <= max(FAINT, least * (1 + 1e-9))
+    many = np.bincount(doc[faint], minlength=docs)
+    return np.where(faint, np.minimum(1.0, TYPICAL / np.maximum(many, 1))[doc], 1.0)
+
+
 def fit(data: Sample, epochs: int = 100, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Maximise the likelihood of document labels under noisy-or.
 
@@ -105,9 +117,10 @@ def fit(data: Sample, epochs: int = 100, rate: float = 0.1, decay: float = 1e-4)
         per_word = np.bincount(feature_word, weights[feature], words)
         z = bias + np.bincount(entry_sentence, per_word[entry_word], len(sentence_doc))
         p = sigmoid(z)
-        missed = np.exp(np.bincount(sentence_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
+        weight = _shares(p, sigmoid(bias), sentence_doc, len(y))
+        missed = np.exp(np.bincount(sentence_doc, weight * np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
         pull = share * np.where(y == 1, -missed / np.maximum(1 - missed, 1e-9), 1.0)
-        dz = pull[sentence_doc] * p
+        dz = pull[sentence_doc] * p * weight
         d_word = np.bincount(entry_word, dz[entry_sentence], words)
         gradient = np.bincount(feature, d_word[feature_word], BUCKETS) + decay * weights
         weights -= steps.step(gradient)
@@ -116,8 +129,8 @@ def fit(data: Sample, epochs: int = 100, rate: float = 0.1, decay: float = 1e-4)
 
 
 def train(docs: DataFrame, labels: DataFrame, trained: Column | None = None, most: int = SAMPLE) -> Model:
-    """Fit on at most ``most`` labelled documents of at most ``LONGEST`` characters."""
-    return fit(sample(docs, labels, "toxic", trained, most, LONGEST))
+    """Fit on at most ``most`` labelled documents of any length, ``CHARACTERS`` characters in all."""
+    return fit(sample(docs, labels, "toxic", trained, most, None, characters=CHARACTERS))
 
 
 def _score(text: str, word: frames.Memo, bias: float) -> tuple[float, list[tuple[int, int, float]], int]:
@@ -126,7 +139,8 @@ def _score(text: str, word: frames.Memo, bias: float) -> tuple[float, list[tuple
         return 0.0, [], 0
     z = np.fromiter((sum(map(word.__getitem__, s[2])) for s in spans), np.float64, len(spans)) + bias
     p = sigmoid(z)
-    score = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
+    weight = _shares(p, sigmoid(bias), np.zeros(len(p), np.int64), 1)
+    score = -np.expm1((weight * np.log1p(-np.minimum(p, 1 - 1e-12))).sum())
     return float(score), [(spans[i][0], spans[i][1], float(p[i])) for i in np.flatnonzero(p >= OFFENDING)], len(spans)
 
 

@@ -132,3 +132,35 @@ def test_tables_without_rows_or_labels(spark, docs_of, saved):
     for query in (toxicity.op4_toxicity, quality.op9_quality):
         assert query(spark, saved(documents=empty, labels=none)).count() == 0
         assert {round(r["score"], 9) for r in query(spark, saved(documents=some, labels=none)).collect()} <= {0.0, 0.5}
+
+
+def varied(n, seed=23):
+    """Clean sentences, each of its own words."""
+    rng = np.random.default_rng(seed)
+    return [prose(rng, 6).replace(".", "").capitalize() + "." for _ in range(n)]
+
+
+def test_long_clean_documents_score_by_their_words(spark, docs_of):
+    """Many clean sentences are no evidence; one toxic sentence among them is."""
+    rows, labels = corpus()
+    model = toxicity.train(docs_of(rows), spark.createDataFrame(labels, LABELS))
+    clean = varied(20_000)
+    toxic = [*clean[:9_000], "You zugrak bane torilum.", *clean[9_000:]]
+    one = toxicity._score(toxic[9_000], frames.Memo(model.word), model.bias)[0]
+    texts = docs_of([(1, " ".join(clean)), (2, " ".join(toxic)), (3, " ".join(clean[:10]))])
+    got = {r["doc_id"]: r for r in toxicity.score(texts, model, ("doc_id",)).collect()}
+    assert got[1]["score"] < 0.1 and got[3]["score"] < 0.1 and got[1]["n_sentences"] == 20_000
+    assert got[2]["score"] >= one > 0.7 and len(got[2]["offending"]) == 1
+    untrained = toxicity.Model(np.zeros(toxicity.BUCKETS), -8.0)
+    assert toxicity._score(" ".join(clean), frames.Memo(untrained.word), -8.0)[0] < 0.1
+
+
+def test_long_labelled_documents_are_in_the_sample(spark, docs_of):
+    rows = [(i, "some words. " * (4_000 if i % 3 == 0 else 5)) for i in range(60)]
+    docs, known = docs_of(rows), spark.createDataFrame([(i, 1, i % 2) for i in range(60)], LABELS)
+    data = sample(docs, known, "toxic", None, 8_000, None, characters=40_000_000)
+    assert sorted(t for (t,) in data.rows) == sorted(t for _, t in rows)
+    part = sample(docs, known, "toxic", None, 8_000, None, characters=400_000)
+    for label in (0, 1):
+        own = [len(t) for (t,), y in zip(part.rows, part.labels) if y == label]
+        assert sum(own) <= 200_000 and max(own) == 48_000 and min(own) == 60
