@@ -30,7 +30,8 @@ def sample(
     ``characters``, a class has at most half as many in all; in the order of the choice, a document that does
     not fit in what is left is passed over, whatever its length. The choice is by hash of the id, so
     it is the same on every run. Null ids and labels are ignored; a document labelled twice
-    has its larger label.
+    has its larger label, and of rows that repeat an id the smallest text is taken. An empty table gives an
+    empty sample.
     """
     known = (
         labels.filter(F.lit(True) if trained is None else trained)
@@ -47,9 +48,10 @@ def sample(
     texts = docs.select("doc_id", *columns)
     if longest is not None:
         texts = texts.filter(F.length(F.coalesce("text", F.lit(""))) <= longest)
-    # the ids are at most ``most`` rows by construction
-    found = texts.join(F.broadcast(ids), "doc_id").toPandas().sort_values("doc_id", kind="stable")
-    found = found.drop_duplicates("doc_id")
+    # the ids are at most ``most`` by construction, and an id that repeats becomes one row before it travels
+    own = F.min(F.struct(*columns)).alias("own")
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(own).select("doc_id", "label", "own.*")
+    found = found.toPandas().sort_values("doc_id", kind="stable")
     y = found["label"].to_numpy(np.float64)
     weights = np.ones(len(y))
     for c in (0, 1):

@@ -131,6 +131,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     """The kept columns with ``score``, the probability of label 1.
 
     Whole texts are read; a null text counts as empty and a null length has a bin of its own.
+    Repeated rows are scored each, and an empty table gives no rows.
     """
 
     class Work:

@@ -150,6 +150,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     return groups(fps, "doc_id", bits)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Pipeline stage: of each group of near duplicates, one document stays.
+
+    Groups are those of ``near_duplicates``. The smallest doc_id stays, null ids last; of rows that
+    repeat an id, the first in the table stays. Copies meet only as partial sums of their fingerprint.
+    """
+    rows, names = frames.numbered(docs, "doc_id", "text")
+    placed = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    own = fingerprints(placed, keep=("doc_id", "row"))
+    distinct = materialize(own.groupBy("fp").agg(F.min(rank).alias("best")), "fingerprints")
+    found = components(links(distinct.select("fp")))
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left")
+    kept = rooted.groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("best").alias("best"))
+    return placed.join(kept.select(F.col("best.row").alias("row")), "row", "left_semi").select(*names)
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = near_duplicates(frames.table(spark, folder, "documents"))

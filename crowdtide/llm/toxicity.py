@@ -148,7 +148,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     """The kept columns with ``score``, ``n_sentences`` and the ``offending`` sentences.
 
     Offending sentences have a probability of at least one half; start and end are code points.
-    Whole texts are read; null, empty and wordless texts score zero.
+    Whole texts are read; null, empty and wordless texts score zero. Repeated rows are scored each, and
+    an empty table gives no rows.
     """
 
     class Work:

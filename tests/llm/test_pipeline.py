@@ -63,3 +63,49 @@ def test_query_equals_sql(spark, name):
     con = C.database(SMALL)
     _, rows, problem = C.compare(spark, con, SMALL, name, registry.QUERIES[name], registry.SQL[name])
     assert problem is None and rows > 0
+
+
+def test_one_document_of_each_group(spark, docs_of):
+    """The stage against all pairs of fingerprints, with copies, null ids and repeated ids."""
+    import numpy as np
+
+    from crowdtide.llm import simhash
+
+    rng = np.random.default_rng(41)
+    rows = []
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 900, 200)]
+        rows.append((i, " ".join(words)))
+        for c in range(int(rng.integers(0, 4))):
+            own = list(words)
+            own[int(rng.integers(200))] = "other"
+            rows.append((100 + 10 * i + c, " ".join(own)))
+    rows += [(None, rows[0][1]), (None, "an own text of a null id"), (3000, rows[5][1].upper()), (rows[2][0], "a repeated id")]
+    rows += [(4000 + i, rows[7][1]) for i in range(300)] + [(5000, None), (5001, ""), (5002, " \n")]
+    prints = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    left, want = set(range(len(rows))), []
+    while left:
+        todo = [left.pop()]
+        group = set(todo)
+        while todo:
+            one = todo.pop()
+            close = {j for j in left if (prints[one] ^ prints[j]).bit_count() <= 2}
+            left -= close
+            group |= close
+            todo += close
+        want.append(min(group, key=lambda j: (rows[j][0] is None, rows[j][0] or 0, j)))
+    docs = docs_of(rows, ("row", "fp", "best")).coalesce(1)
+    kept = simhash.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr)
+    assert got == sorted([rows[j] for j in want], key=repr)
+    assert 60 <= len(want) < 160
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark, docs_of):
+    from crowdtide.llm.labelled import sample
+
+    docs = docs_of([(1, f"text {i % 700:03d}") for i in range(5000)] + [(2, "other")])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], LABELS)
+    found = sample(docs, labels, "toxic", None, 100, None)
+    assert sorted(r[0] for r in found.rows) == ["other", "text 000"]
