@@ -1,6 +1,6 @@
 """From raw documents to packed sequences in five stages.
 
-Toxic documents go, then poor ones, then all but one of each group of near copies; personal data
+Toxic documents go, then poor ones, then all but one of each group of near duplicates by SimHash; personal data
 in the rest is masked, and the texts are packed into sequences of token ids. Each stage reads what
 its predecessor wrote and returns the columns of ``documents``, but for the last.
 """
@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crowdtide.llm import near_copies, packing, pii, quality, toxicity
+from crowdtide.llm import packing, pii, quality, simhash, toxicity
 from crowdtide.scratch import materialize
 
 STAGES = [
     ("toxicity", toxicity.drop_toxic),
     ("quality", quality.drop_poor),
-    ("near_duplicates", near_copies.one_of_each_group),
+    ("near_duplicates", simhash.one_of_each_group),
     ("pii", pii.mask_documents),
     ("packing", packing.packed),
 ]
