@@ -7,12 +7,16 @@ row ``x`` is stored as ``(x, sqrt(M^2 - |x|^2))`` and a query as ``(q, 0)``; the
 Rows are dealt to their nearest of some pivots, and each block is stored as the pages of an M-tree:
 every page has a routing object, a covering radius and its distance to the parent's routing object,
 and leaves hold their rows with the distances to the routing object. A search takes pages from a
-heap by the smallest possible distance. The stored distances bound others by the triangle
-inequality, ``|d(q, parent) - d(parent, x)| <= d(q, x)``, so that most pages and rows beyond the
-k-th best are dismissed without computing a distance. Scores themselves are integers.
+heap by the smallest possible distance of any query that may still find something there, and works
+on a page for all these queries at once. The stored distances bound others by the triangle
+inequality, ``|d(q, parent) - d(parent, x)| <= d(q, x)``, so that pages and rows beyond the
+k-th best are dismissed without computing a distance.
+
+Scores are integers. Where products can pass the 53 bits of a double, doubles only choose the rows
+that could be among the best, rounding considered, and these are multiplied as 64-bit integers.
 
 A query first searches the block of its nearest pivot; the k-th best score found there then rules
-out whole blocks.
+out whole blocks. Blocks travel only to the chunks of queries that want them.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ PAGE = 128
 FAN = 16
 BLOCK = 4096
 MOST_PIVOTS = 1024
-LARGEST = float(1 << 23)
+EXACT, LONGEST = float(1 << 52), float(1 << 63)
 PAGES = (
     "block int, salt int, page int, parent int, radius double, apart double, centre binary, "
     "ids binary, points binary, distances binary"
@@ -85,8 +89,35 @@ def build(points: np.ndarray, page: int = PAGE, fan: int = FAN) -> list[Page]:
     return pages
 
 
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` to all of ``b``."""
+    squares = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+class Best:
+    """The k rows of largest score found so far of every query, ties to smaller ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.query, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        query, score, ids = (np.concatenate(x) for x in ((self.query, query), (self.score, score), (self.id, ids)))
+        order = np.lexsort((ids, ~score, query))  # ~ turns the order round without overflow
+        query, score, ids = query[order], score[order], ids[order]
+        begins = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(begins, np.diff(np.append(begins, len(query))))
+        kept = place < self.k
+        self.query, self.score, self.id = query[kept], score[kept], ids[kept]
+        last = place == self.k - 1
+        self.least[query[last]] = score[last]
+
+
 class Tree:
-    """Pages of a block ready for search."""
+    """Pages of a block ready for search; ``opened`` counts the pages that a search looked into."""
+
+    opened = 0
 
     def __init__(self, pages: pd.DataFrame, dim: int):
         pages = pages.sort_values("page")
@@ -102,41 +133,61 @@ class Tree:
                 children[p].append(n)
         self.children = [np.array(c, np.int64) for c in children]
 
-    def search(self, query: np.ndarray, own: int, k: int, limit: float, to_distance, slack: float) -> list:
-        """(score, id) of the k best rows within distance ``limit``, best first.
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, limits: np.ndarray, top: float) -> Best:
+        """The k best rows of every query within its distance limit.
 
-        ``to_distance`` turns a score into a distance; ``slack`` covers its rounding, so a page is
-        only dismissed when all its rows are surely farther than the k-th best.
+        ``queries`` have zero as last coordinate and ``own`` are their ids. A page or row is dismissed only
+        when it is surely farther than the k-th best, whatever the distances' rounding.
         """
-        best: list[tuple[float, int]] = []
-        root = float(_distances(self.centres[:1], query)[0])
-        heap = [(max(root - self.radius[0], 0.0), 0, root)]
+        lengths = (queries * queries).sum(1) + top
+        slack = 1e-6 * (1 + np.sqrt(lengths))
+        limits = limits + slack
+        best = Best(len(queries), k)
+        # above 53 bits, scores of doubles are near the true ones only
+        doubt = np.where((lengths - top) * top < EXACT * EXACT, 0.0, 1e-12 * np.sqrt(lengths - top) * top**0.5)
+        everyone = np.arange(len(queries))
+        away = _between(queries, self.centres[:1])[:, 0]
+        heap = [(0.0, 0, everyone, np.maximum(away - self.radius[0], 0.0), away)]
         while heap:
-            bound, page, distance = heapq.heappop(heap)
-            if bound > limit + slack:
-                break
+            _, page, asked, low, away = heapq.heappop(heap)
+            still = low <= limits[asked]
+            asked, away = asked[still], away[still]
+            if not len(asked):
+                continue
+            self.opened += 1
             inner = self.children[page]
             if len(inner):
-                possible = np.abs(distance - self.apart[inner]) - self.radius[inner]
-                inner = inner[possible <= limit + slack]
-                if not len(inner):
-                    continue
-                away = _distances(self.centres[inner], query)
-                low = np.maximum(away - self.radius[inner], 0.0)
-                for n in np.flatnonzero(low <= limit + slack):
-                    heapq.heappush(heap, (float(low[n]), int(inner[n]), float(away[n])))
+                possible = np.abs(away[:, None] - self.apart[inner]) - self.radius[inner] <= limits[asked][:, None]
+                some = np.flatnonzero(possible.any(1))
+                to_child = _between(queries[asked[some]], self.centres[inner])
+                lows = np.maximum(to_child - self.radius[inner], 0.0)
+                fits = possible[some] & (lows <= limits[asked[some]][:, None])
+                for n in np.flatnonzero(fits.any(0)):
+                    who = fits[:, n]
+                    heapq.heappush(heap, (float(lows[who, n].min()), int(inner[n]), asked[some][who], lows[who, n], to_child[who, n]))
                 continue
-            ids = self.ids[page]
-            near = np.flatnonzero((np.abs(distance - self.distances[page]) <= limit + slack) & (ids != own))
-            if not len(near):
+            near = np.abs(away[:, None] - self.distances[page]) <= limits[asked][:, None]
+            rows = np.flatnonzero(near.any(0))
+            if not len(rows):
                 continue
-            scores = self.points[page][near] @ query  # the query's last coordinate is zero
-            for n in vectors.top_of(scores, ids[near], k):
-                best.append((-float(scores[n]), int(ids[near[n]])))
-            best = sorted(best)[:k]
-            if len(best) == k:
-                limit = min(limit, to_distance(-best[-1][0]))
-        return [(-s, i) for s, i in best]
+            ids, points = self.ids[page][rows], self.points[page][rows]
+            scores = queries[asked] @ points.T  # the queries' last coordinate is zero
+            scores[~near[:, rows] | (ids == own[asked][:, None])] = -np.inf
+            least = np.maximum(best.least[asked], np.partition(scores, -k, 1)[:, -k] if len(rows) > k else -np.inf)
+            which, row = np.nonzero((scores >= (least - 2 * doubt[asked])[:, None]) & (scores > -np.inf))
+            if not len(which):
+                continue
+            if doubt.any():
+                if np.abs(scores[which, row]).max() >= LONGEST:
+                    raise OverflowError("a score does not fit 64 bits")
+                whole = (queries[asked[which], :-1].astype(np.int64) * points[row, :-1].astype(np.int64)).sum(1)
+            else:
+                whole = scores[which, row].astype(np.int64)
+            best.add(asked[which], whole, ids[row])
+            full = best.least[asked] > -np.inf
+            reached = np.sqrt(np.maximum(lengths[asked] - 2 * np.where(full, best.least[asked], 0.0), 0.0)) + slack[asked]
+            limits[asked] = np.where(full, np.minimum(limits[asked], reached), limits[asked])
+        return best
 
 
 def _store(page: int, fan: int):
@@ -158,20 +209,14 @@ def _store(page: int, fan: int):
 
 def _searched(k: int, top: float, dim: int):
     def run(key, asked, pages):
-        made = []
+        made = Best(0, k)
+        ids = asked["query_id"].to_numpy(np.int64)
         if len(asked) and len(pages):
-            tree = Tree(pages, dim)
-            for q, x, floor in zip(asked["query_id"], asked["x"], asked["floor"]):
-                query = np.append(np.asarray(x, np.float64), 0.0)
-                length = float(query @ query) + top
-
-                def to_distance(score: float) -> float:
-                    return max(length - 2 * score, 0.0) ** 0.5
-
-                limit = np.inf if pd.isna(floor) else to_distance(floor)
-                found = tree.search(query, int(q), k, limit, to_distance, 1e-6 * (1 + length**0.5))
-                made += [(q, i, int(s)) for s, i in found]
-        return pd.DataFrame(made, columns=["query_id", "vec_id", "score"])
+            queries = np.hstack([vectors.matrix(asked["x"]), np.zeros((len(asked), 1))])
+            lengths, floors = (queries * queries).sum(1) + top, asked["floor"].to_numpy(np.float64)
+            limits = np.where(np.isnan(floors), np.inf, np.sqrt(np.maximum(lengths - 2 * np.nan_to_num(floors), 0.0)))
+            made = Tree(pages, dim).search(queries, ids, k, limits, top)
+        return pd.DataFrame({"query_id": ids[made.query], "vec_id": made.id, "score": made.score})
 
     return run
 
@@ -198,10 +243,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query, ties to smaller ids.
 
     ``rows`` has (vec_id, x) and ``queries`` has (query_id, x), vectors of whole numbers of one
-    length and at most ``LARGEST`` in size, so that products are exact. A row is no candidate of
-    the query with its own id. Crowded blocks are salted into several trees, and queries are dealt
-    in chunks; the only things on the driver are at most ``MOST_PIVOTS`` pivots and their radii.
-    An empty table gives no rows.
+    length, given as doubles; scores that do not fit 64 bits are an error. A row is no candidate of the query with its own
+    id; repeated rows are candidates each. Crowded blocks are salted into several trees, and queries
+    are dealt in chunks; the only things on the driver are at most ``MOST_PIVOTS`` pivots and their
+    radii. An empty table gives no rows.
     """
     spark = rows.sparkSession
     norm = F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)
@@ -222,15 +267,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         placed.withColumn("salt", salt).groupBy("block", "salt").applyInPandas(_store(PAGE, FAN), PAGES), "pages"
     )
     asked = queries.count()
-    chunks = max(1, -(-asked // vectors.QUERIES_PER_TASK))
     queries = queries.withColumn("chunk", vectors.query_chunks(queries, asked))
-    dealt = pages.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     keys = ("block", "salt", "chunk")
 
     def hits(routed: DataFrame) -> DataFrame:
         salted = routed.withColumn(
             "salt", F.explode(F.sequence(F.lit(0), F.element_at(F.lit(salts), F.col("block") + 1).cast("int") - 1))
         )
+        wanted = materialize(salted.select(*keys).distinct(), "wanted")
+        dealt = pages.join(wanted, ["block", "salt"])
         found = salted.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(
             _searched(k, top, pivots.shape[1]), "query_id long, vec_id long, score long"
         )
@@ -268,10 +313,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def op8_mtree(spark: SparkSession, folder: str) -> DataFrame:
-    """Five largest inner products of every fiftieth vector, components as floor(256 x)."""
+    """Five largest inner products of every fiftieth vector, components as floor(256 x).
+
+    Vectors of another length than most have take no part.
+    """
     rows = vectors.usable(frames.table(spark, folder, "embeddings"))
     rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
-    rows = rows.filter(F.forall("v", lambda x: F.abs(x) <= LARGEST))
     queries = vectors.asked(rows, 50).withColumnRenamed("v", "x")
     return search(rows.withColumnRenamed("v", "x"), queries)
 
