@@ -4,6 +4,9 @@ Unit vectors are cut into two halves, each quantised by its own codebook; a row'
 of centroids. A query sorts the centroids of either half by distance and takes the pairs in order
 of the summed distance from a heap until the cells hold enough candidates. The candidates are
 reranked by the exact cosine of the original vectors.
+
+Different vectors are indexed, each with its members: the smallest ``k + 1`` ids that have it, as no
+other copy can be among a query's k best. Copies therefore never fill the cells that a query visits.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from crowdtide.llm import frames, vectors
 from crowdtide.scratch import materialize
@@ -22,7 +25,6 @@ from crowdtide.scratch import materialize
 MOST_CENTROIDS = 64
 SAMPLE = 8192
 SHARE = 0.45
-LEAST_CANDIDATES = 2048
 ROWS_PER_TASK = 4096
 
 
@@ -68,8 +70,18 @@ def train(rows: DataFrame, count: int, sample: int = SAMPLE) -> Codebooks:
     return Codebooks(k_means(points[:, :half], k), k_means(points[:, half:], k))
 
 
+def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
+    """(vec_id, v, members): every different vector, with at most ``most`` of its ids in order; ``vec_id`` is the first."""
+    hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
+    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
+    first = rows.select("vec_id", "v", *hashes).withColumn("place", place).filter(F.col("place") <= most)
+    return first.groupBy("h1", "h2").agg(
+        F.min("vec_id").alias("vec_id"), F.min("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("members")
+    ).drop("h1", "h2")
+
+
 def assign(rows: DataFrame, books: Codebooks) -> DataFrame:
-    """Adds ``c1`` and ``c2``, the nearest centroids of either half, to (vec_id, v)."""
+    """Adds ``c1`` and ``c2``, the nearest centroids of either half, to (vec_id, v, members)."""
 
     def work(batch: pa.RecordBatch) -> dict:
         v = batch.column("v")
@@ -77,7 +89,7 @@ def assign(rows: DataFrame, books: Codebooks) -> DataFrame:
         first, second = books.distances(points)
         return {"c1": pa.array(first.argmin(1)), "c2": pa.array(second.argmin(1))}
 
-    return frames.map_columns(rows, work, "c1 int, c2 int", ("vec_id", "v"))
+    return frames.map_columns(rows, work, "c1 int, c2 int", ("vec_id", "v", "members"))
 
 
 def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: int) -> list[tuple[int, int]]:
@@ -137,37 +149,39 @@ def _rerank(k: int, most: int = 256):
     def run(key, asked, rows):
         made = []
         if len(asked) and len(rows):
-            v, ids, cells = vectors.matrix(rows["v"]), rows["vec_id"].to_numpy(), rows["c2"].to_numpy()
+            v, cells, members = vectors.matrix(rows["v"]), rows["c2"].to_numpy(), rows["members"].to_numpy()
             norms = np.sqrt((v * v).sum(1))
             for begin in range(0, len(asked), most):
                 part = asked.iloc[begin : begin + most]
                 near = unit(vectors.matrix(part["v"])) @ (v / norms[:, None]).T
                 for n, (q, qv, visit) in enumerate(zip(part["query_id"], part["v"], part["cells"])):
-                    open_rows = np.isin(cells, visit) & (ids != q)
-                    places = np.flatnonzero(open_rows)
-                    if len(places) > k:  # all that could be among the k best, rounding considered
+                    places = np.flatnonzero(np.isin(cells, visit))
+                    if len(places) > k + 1:  # all that could be among the best beside the query's own, rounding considered
                         close = near[n, places]
-                        places = places[close >= np.partition(close, -k)[-k] - 1e-9]
+                        places = places[close >= np.partition(close, -k - 1)[-k - 1] - 1e-9]
                     w = np.asarray(qv, np.float64)
                     score = (v[places] * w).sum(1) / (norms[places] * np.sqrt((w * w).sum()))
-                    for p in vectors.top_of(score, ids[places], k):
-                        made.append((q, ids[places[p]], score[p]))
+                    ids = np.concatenate([np.zeros(0, np.int64), *members[places]])
+                    score = np.repeat(score, [len(members[p]) for p in places])[ids != q]
+                    ids = ids[ids != q]
+                    for p in vectors.top_of(score, ids, k):
+                        made.append((q, ids[p], score[p]))
         return pd.DataFrame(made, columns=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(
-    rows: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE, least: int = LEAST_CANDIDATES
-) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest candidates by cosine, ties to smaller ids.
 
     ``rows`` has (vec_id, v) and ``queries`` has (query_id, v), non-zero finite vectors of one
     length; a row is no candidate of the query with its own id. A query visits cells until they
-    hold ``share`` of all rows, or ``least`` if that is more; up to ``least`` rows the search is
-    exact. Every row is indexed. Rows under a crowded first centroid are salted over several tasks
-    and queries are dealt in chunks, so no task grows with the table.
+    hold ``share`` of all different vectors, and ``k + 1`` at least; a share of 1 makes the search
+    exact. Every row is indexed, at every size in the same way; of an id that repeats with one vector, up
+    to ``k + 1`` rows are. Rows under a crowded first centroid are salted over several tasks
+    and queries are dealt in chunks, so no task grows with the table. An empty table gives no rows.
     """
+    rows = materialize(distinct_vectors(rows, k + 1), "vectors")
     count = rows.count()
     if count == 0:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -179,12 +193,12 @@ def search(
     salts = np.maximum(1, -(-counts.sum(1) // ROWS_PER_TASK))
     asked = queries.count()
     chunked = queries.withColumn("chunk", vectors.query_chunks(queries, asked))
-    wanted = max(least, int(np.ceil(share * count)))
-    visits = _visits(chunked, books, counts, salts, wanted)
+    wanted = max(k + 1, int(np.ceil(share * count)))
+    visits = materialize(_visits(chunked, books, counts, salts, wanted), "visits")
     many = F.element_at(F.lit(salts), F.col("c1") + 1)
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-asked // vectors.QUERIES_PER_TASK)) - 1)))
-    dealt = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), many).cast("int")).withColumn("chunk", chunks)
     keys = ("c1", "salt", "chunk")
+    asked_for = materialize(visits.select(*keys).distinct(), "wanted")
+    dealt = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), many).cast("int")).join(asked_for, ["c1", "salt"])
     hits = visits.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(
         _rerank(k), "query_id long, vec_id long, score double"
     )
@@ -192,7 +206,7 @@ def search(
 
 
 def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Five nearest rows of every fiftieth vector."""
+    """Five nearest rows of every fiftieth vector; vectors of another length than most have take no part."""
     rows = vectors.usable(frames.table(spark, folder, "embeddings"))
     rows = rows.filter(F.exists("v", lambda x: x != 0))
     return search(rows, vectors.asked(rows, 50))
