@@ -42,7 +42,7 @@ SCALE = 2_000_000
 COVER = 80
 MOST = 2000
 #: Words that a task gathers before it writes transducers, and words of a prefix range.
-SHARD_WORDS, RANGE_WORDS = 3_000_000, 2_000_000
+SHARD_WORDS, RANGE_WORDS = 1_500_000, 1_500_000
 #: Fences are taken from about this many windows of each range.
 SAMPLED, SAMPLED_RANGES, MOST_SAMPLED = 200, 4, 200_000
 #: Parts looked up in one group.
@@ -65,7 +65,8 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
     columns = [padded[:n]]
     for d in range(1, DEPTH):
         columns.append(np.where(columns[-1] == 0, 0, padded[d : n + d]))
-    return np.stack(columns, axis=1)[ids != 0]
+    begins = ids != 0
+    return np.stack([c[begins] for c in columns], axis=1)
 
 
 class Shard:
@@ -222,6 +223,7 @@ def _united(fences: list[tuple], least: int):
                         (lang, n, " ".join(words[w - 1] for w in row), f)
                         for row, f in zip(rows.tolist(), weight.tolist()) if 0 < f < least
                     ]
+        frames.give_back()
         columns = list(zip(*made)) if made else [()] * 4
         kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["lang", "words", "phrase", "f"])

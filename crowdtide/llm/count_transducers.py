@@ -53,15 +53,20 @@ def sorted_windows(windows: np.ndarray, counts: np.ndarray | None = None) -> tup
     if not len(windows):
         return windows, np.zeros(0, np.int64)
     base = int(windows.max()) + 1
-    first = windows[:, 0].astype(np.int64) * base + windows[:, 1]
-    second = windows[:, 2].astype(np.int64) * base + windows[:, 3]
-    order = np.lexsort((second, first))
-    first, second = first[order], second[order]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 0) | (np.diff(second) != 0)]))
-    summed = np.add.reduceat(np.ones(len(order), np.int64) if counts is None else counts[order], starts)
-    a, b = np.divmod(first[starts], base)
-    c, d = np.divmod(second[starts], base)
-    return np.stack([a, b, c, d], axis=1).astype(np.int32), summed
+    halves = [windows[:, d].astype(np.int64) * base + windows[:, d + 1] for d in (0, 2)]
+    order = np.lexsort(halves[::-1])
+    halves = [h[order] for h in halves]
+    changed = np.ones(len(order), bool)
+    changed[1:] = (halves[0][1:] != halves[0][:-1]) | (halves[1][1:] != halves[1][:-1])
+    starts = np.flatnonzero(changed)
+    summed = np.add.reduceat(np.ones(len(order), np.int32) if counts is None else counts[order], starts, dtype=np.int64)
+    del order, changed
+    different = np.empty((len(starts), DEPTH), np.int32)
+    for d, half in zip((0, 2), halves):
+        half = half[starts]
+        different[:, d] = half // base
+        different[:, d + 1] = half % base
+    return different, summed
 
 
 class CountTransducer:
