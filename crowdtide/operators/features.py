@@ -1,28 +1,15 @@
-"""Text features: vocabulary, token ids, term counts, TF-IDF, shortening, projection."""
+"""Text features: vocabulary, token ids, term counts, TF-IDF in long form, shortening."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import (
-    IDF,
-    PCA,
-    CountVectorizer,
-    ElementwiseProduct,
-    Normalizer,
-    SQLTransformer,
-    StandardScaler,
-)
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from crowdtide.functions import text as X
-from crowdtide.operators.scale import ordered_index, quantile_name, quantiles
+from crowdtide.operators.scale import lookup, ordered_index, quantile_name, quantiles
 from crowdtide.scratch import materialize
 
-PCA_MAX_FEATURES = 65_535  # the covariance of the features must fit on the driver
-
 
 # --- shortening ---------------------------------------------------------------------------
 
@@ -234,80 +221,10 @@ def tfidf_fit(df: DataFrame, min_df: int = 1, **options) -> DataFrame:
 
 def tfidf_transform(df: DataFrame, fitted: DataFrame, **options) -> DataFrame:
     """(id, term, tf, w) with rows of unit length; terms that were not fitted are dropped."""
-    weighted = (
-        term_counts(df, **options)
-        .join(fitted.select("term", "idf"), "term")
-        .select("id", "term", "tf", (F.col("tf") * F.col("idf")).alias("_w"))
+    fitted = materialize(fitted.select("term", "df", "idf"), "fitted")
+    weighted = lookup(term_counts(df, **options), fitted, "term", "df", ["idf"], "id").select(
+        "id", "term", "tf", (F.col("tf") * F.col("idf")).alias("_w")
     )
     # A window per text is bounded by the terms of one text and needs a single shuffle.
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("id")))
     return weighted.select("id", "term", "tf", (F.col("_w") / norm).alias("w"))
-
-
-# --- TF-IDF and projection as ML stages ---------------------------------------------------
-
-
-def _terms_sql(text_col: str, ngram_range: tuple[int, int], analyzer: str, links: bool) -> list[str]:
-    lo, hi = ngram_range
-    source = text_col
-    if links:
-        source = f"regexp_replace({text_col}, r'{X.LINK}', '{X.LINK_MARK}')"
-    if analyzer == "word":
-        split, glue = f"regexp_extract_all(lower({source}), r'{X.TOKEN}', 0)", " "
-    elif analyzer == "char":
-        flat = f"regexp_replace(lower({source}), r'{X.WHITESPACE_RUN}', ' ')"
-        split, glue = f"filter(split({flat}, ''), c -> c != '')", ""
-    else:
-        raise ValueError(f"unknown analyzer {analyzer!r}")
-
-    def gram(n: int) -> str:
-        joined = ", ".join(["c", *[f"'{glue}', get(_units, i + {j})" for j in range(1, n)]])
-        return (
-            f"if(size(_units) >= {n}, transform(slice(_units, 1, size(_units) - {n - 1}), "
-            f"(c, i) -> concat({joined})), cast(array() as array<string>))"
-        )
-
-    grams = ", ".join(gram(n) for n in range(lo, hi + 1))
-    return [
-        f"SELECT *, {split} AS _units FROM __THIS__",
-        f"SELECT *, concat({grams}) AS _terms FROM __THIS__",
-    ]
-
-
-def text_features(
-    train: DataFrame,
-    text_col: str = "text",
-    out: str = "features",
-    min_df: int = 5,
-    ngram_range: tuple[int, int] = (1, 2),
-    analyzer: str = "word",
-    replace_links: bool = False,
-    n_components: int | None = None,
-) -> PipelineModel:
-    """Fit TF-IDF (and a projection) on training texts; all stages can be saved and loaded."""
-    stages: list[Transformer] = [
-        SQLTransformer(statement=s) for s in _terms_sql(text_col, ngram_range, analyzer, replace_links)
-    ]
-    terms = PipelineModel(stages).transform(train)
-    counter = CountVectorizer(
-        inputCol="_terms", outputCol="_tf", minDF=float(min_df), vocabSize=2**31 - 1
-    ).fit(terms)
-    # The library's idf lacks the "+ 1" of the wanted weight, so the weights are set here.
-    library_idf = IDF(inputCol="_tf", outputCol="_unused").fit(counter.transform(terms)).idf
-    weights = Vectors.dense([float(v) + 1.0 for v in library_idf.toArray()])
-    scaled = ElementwiseProduct(inputCol="_tf", outputCol="_scaled", scalingVec=weights)
-    unit_col = "_unit" if n_components else out
-    stages += [counter, scaled, Normalizer(p=2.0, inputCol="_scaled", outputCol=unit_col)]
-    if n_components:
-        stages += project(PipelineModel(stages).transform(train), unit_col, out, n_components).stages
-    return PipelineModel(stages)
-
-
-def project(df: DataFrame, col: str, out: str, n_components: int) -> PipelineModel:
-    """Fit principal components of a vector column; projections are centred on the fitted rows."""
-    features = len(df.select(col).first()[0])
-    if features > PCA_MAX_FEATURES:
-        raise ValueError(f"{features} features exceed {PCA_MAX_FEATURES}; raise min_df")
-    pca = PCA(k=min(n_components, features), inputCol=col, outputCol=f"_pc_{out}")
-    centre = StandardScaler(withMean=True, withStd=False, inputCol=f"_pc_{out}", outputCol=out)
-    return Pipeline(stages=[pca, centre]).fit(df)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -21,7 +21,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     MultilayerPerceptronClassifier,
-    NaiveBayes,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -29,8 +28,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtide.operators.evaluate import bootstrap_resample, metric_table, stratified_kfold
-from crowdtide.operators.features import text_features
+from crowdtide.operators import terms
 from crowdtide.operators.sentiment import argmax_class
+from crowdtide.operators.terms import TermModel, TextFeatures
 from crowdtide.scratch import materialize
 
 FEATURES, TARGET = "features", "target"
@@ -41,16 +41,16 @@ DEEPEST = 30  # the depth that Spark's trees can have
 # --- library learners ---------------------------------------------------------------------
 
 
-def naive_bayes_multinomial(train: DataFrame, alpha: float = 1.0):
-    return NaiveBayes(
-        modelType="multinomial", smoothing=alpha, featuresCol=FEATURES, labelCol=TARGET
-    ).fit(train)
+def naive_bayes_multinomial(train: DataFrame, alpha: float = 1.0) -> TermModel:
+    return terms.multinomial(train, alpha, TARGET)
 
 
-def naive_bayes_complement(train: DataFrame, alpha: float = 0.1):
-    return NaiveBayes(
-        modelType="complement", smoothing=alpha, featuresCol=FEATURES, labelCol=TARGET
-    ).fit(train)
+def naive_bayes_complement(train: DataFrame, alpha: float = 0.1) -> TermModel:
+    return terms.complement(train, alpha, TARGET)
+
+
+def naive_bayes_gaussian(train: DataFrame, var_smoothing: float = 4e-4) -> TermModel:
+    return terms.gaussian(train, var_smoothing, TARGET)
 
 
 def random_forest(
@@ -275,17 +275,55 @@ def mlp_ensemble(
 LEARNERS: dict[str, Callable[..., Any]] = {
     "naive_bayes_multinomial": naive_bayes_multinomial,
     "naive_bayes_complement": naive_bayes_complement,
+    "naive_bayes_gaussian": naive_bayes_gaussian,
     "svm": svm,
     "random_forest": random_forest,
     "adaboost": adaboost,
     "gradient_boosting": gradient_boosting,
     "mlp_ensemble": mlp_ensemble,
 }
+#: Learners that read sparse entries and need no vectors.
+OVER_TERMS = (naive_bayes_multinomial, naive_bayes_complement, naive_bayes_gaussian)
 
 
 # --- cross-validation ---------------------------------------------------------------------
 
 
+def _prepared_folds(
+    df: DataFrame, vectors: bool, feature_options: Mapping[str, Any] | None, k: int, seed: int, id_col: str,
+    text_col: str | None, counts: DataFrame | None,
+) -> Iterator[tuple[int, TextFeatures | None, DataFrame, DataFrame]]:
+    """(fold, features, train, test) of every fold, written; features are learned on the other folds only."""
+    folded = materialize(stratified_kfold(df, TARGET, id_col, k, seed), "folds")
+    options = dict(feature_options or {})
+    if text_col is not None:
+        folded = terms.numbered_rows(folded)
+        if counts is None:
+            counts = term_counts_of(folded, text_col, options)
+        else:
+            counts = counts.join(folded.select(id_col, terms.ROW), id_col).select(terms.ROW, "term", "tf")
+        counts = materialize(counts.join(folded.select(terms.ROW, "fold"), terms.ROW), "fold-terms")
+        folded = folded.select(id_col, terms.ROW, TARGET, "fold")
+    for fold in range(k):
+        parts = [folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)]
+        featurizer = None
+        if text_col is not None:
+            cut = [counts.filter(F.col("fold") != fold).drop("fold"), counts.filter(F.col("fold") == fold).drop("fold")]
+            featurizer = terms.text_features(parts[0], text_col, counts=cut[0], **options)
+            parts = [featurizer.joined(part.drop("fold"), own) for part, own in zip(parts, cut)]
+            if vectors:
+                parts = [featurizer.with_vectors(part, FEATURES).drop(terms.ENTRIES) for part in parts]
+        train, test = (materialize(part, "part") for part in parts)
+        yield fold, featurizer, train, test
+
+
+def _fold_metrics(fold: int, model: Any, test: DataFrame) -> DataFrame:
+    scored = model.transform(test).select(
+        F.col(TARGET).cast("int").alias(TARGET), F.col("prediction").cast("int").alias("prediction")
+    )
+    return materialize(metric_table(scored).select(F.lit(fold).alias("fold"), "*"), "fold")
+
+
 def cross_validate(
     df: DataFrame,
     learner: Callable[..., Any],
@@ -299,56 +337,64 @@ def cross_validate(
 ):
     """One row of metrics per fold; features and model are learned on the other folds only.
 
-    Without ``text_col`` the frame already has a ``features`` column. With ``keep_models`` the
-    fitted (features, model) pair of every fold is returned as well.
+    Texts are cut into terms once. Without ``text_col`` the frame already has a ``features`` column. With
+    ``keep_models`` the fitted (features, model) pair of every fold is returned as well.
     """
-    folded = materialize(stratified_kfold(df, TARGET, id_col, k, seed), "folds")
     rows, models = None, []
-    for fold in range(k):
-        train = folded.filter(F.col("fold") != fold)
-        test = folded.filter(F.col("fold") == fold)
-        featurizer = None
-        if text_col is not None:
-            featurizer = text_features(train, text_col, FEATURES, **(feature_options or {}))
-            train, test = (
-                featurizer.transform(part).select(id_col, TARGET, FEATURES) for part in (train, test)
-            )
-        train = train.persist()
-        try:
-            model = learner(train, **(learner_options or {}))
-            scored = model.transform(test).select(
-                F.col(TARGET).cast("int").alias(TARGET), F.col("prediction").cast("int").alias("prediction")
-            )
-            one = materialize(metric_table(scored).select(F.lit(fold).alias("fold"), "*"), "fold")
-        finally:
-            train.unpersist()
+    for fold, featurizer, train, test in _prepared_folds(
+        df, learner not in OVER_TERMS, feature_options, k, seed, id_col, text_col, None
+    ):
+        model = learner(train, **(learner_options or {}))
+        one = _fold_metrics(fold, model, test)
         rows = one if rows is None else rows.unionByName(one)
         models.append((featurizer, model))
     return (rows, models) if keep_models else rows
 
 
+def term_counts_of(df: DataFrame, text_col: str, feature_options: Mapping[str, Any]) -> DataFrame:
+    """Terms of numbered rows as some feature options cut them; the other options do not matter."""
+    cut = {n: v for n, v in feature_options.items() if n in ("ngram_range", "analyzer", "replace_links")}
+    return terms.counted_terms(df, text_col, **cut)
+
+
 def experiment_grid(
     df: DataFrame,
     learner: str,
     learner_grid: Mapping[str, Sequence[Any]] | None = None,
     feature_grid: Mapping[str, Sequence[Any]] | None = None,
-    **options: Any,
+    k: int = 5,
+    seed: int = 42,
+    id_col: str = "id",
+    text_col: str | None = "text",
 ) -> DataFrame:
-    """Cross-validate every combination of learner and feature parameters."""
+    """Cross-validate every combination of learner and feature parameters.
+
+    Texts are cut into terms once for all combinations that cut them alike, and a fold's features are
+    learned once for all learners.
+    """
 
     def combinations(grid: Mapping[str, Sequence[Any]] | None):
         names = list(grid or {})
         for values in itertools.product(*[(grid or {})[n] for n in names]):
             yield dict(zip(names, values))
 
-    table = None
+    rows = terms.numbered_rows(df) if text_col is not None else df
+    fit, table, cut = LEARNERS[learner], None, {}
     for feature_options in combinations(feature_grid):
-        for learner_options in combinations(learner_grid):
-            name = f"{learner} {learner_options} {feature_options}"
-            folds = cross_validate(
-                df, LEARNERS[learner], learner_options, feature_options, **options
-            ).select(F.lit(name).alias("Name"), "*")
-            table = folds if table is None else table.unionByName(folds)
+        counts = None
+        if text_col is not None:
+            way = str([feature_options.get(n) for n in ("ngram_range", "analyzer", "replace_links")])
+            if way not in cut:
+                found = term_counts_of(rows, text_col, feature_options)
+                cut[way] = materialize(found.join(rows.select(terms.ROW, id_col), terms.ROW).drop(terms.ROW), "terms")
+            counts = cut[way]
+        for fold, _, train, test in _prepared_folds(
+            rows.drop(terms.ROW), fit not in OVER_TERMS, feature_options, k, seed, id_col, text_col, counts
+        ):
+            for learner_options in combinations(learner_grid):
+                name = f"{learner} {learner_options} {feature_options}"
+                one = _fold_metrics(fold, fit(train, **learner_options), test).select(F.lit(name).alias("Name"), "*")
+                table = one if table is None else table.unionByName(one)
     return table
 
 
@@ -362,30 +408,37 @@ def best_fold_model(fold_metrics: DataFrame, models: Sequence[Any], metric: str
 class FittedClassifier:
     """Fitted features and a model of any kind, applied together."""
 
-    features: PipelineModel | None
+    features: TextFeatures | None
     model: Any
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.features.transform(df) if self.features else df)
+        if self.features is None:
+            return self.model.transform(df)
+        rows = self.features.transform(df)
+        if not isinstance(self.model, TermModel):
+            rows = self.features.with_vectors(rows, FEATURES)
+        return self.model.transform(rows).select(*df.columns, "prediction")
 
 
-def save_pipeline(spark: SparkSession, features: PipelineModel | None, model: Any, path: str) -> None:
+def save_pipeline(spark: SparkSession, features: TextFeatures | None, model: Any, path: str) -> None:
     """Store fitted features and model together.
 
-    Every Spark model goes to a folder of its own; what holds them together is one JSON row.
+    Every Spark model and table goes to a folder of its own; what holds them together is one JSON row.
     """
-    if isinstance(model, FourierSvmModel):
+    parts, about = [model], {}
+    if isinstance(model, TermModel):
+        model.save(f"{path}/terms")
+        parts = []
+    elif isinstance(model, FourierSvmModel):
         parts = [model.inner]
         about = {"seed": model.weights_seed, "components": model.components, "gamma": model.gamma}
     elif isinstance(model, BoostedTrees):
         parts, about = model.trees, {"votes": model.votes, "errors": model.errors, "classes": model.classes}
     elif isinstance(model, NetworkEnsemble):
-        parts, about = model.members, {}
-    else:
-        parts, about = [model], {}
+        parts = model.members
     about |= {"kind": type(model).__name__, "parts": len(parts), "features": features is not None}
     if features is not None:
-        features.write().overwrite().save(f"{path}/features")
+        features.save(f"{path}/features")
     for i, part in enumerate(parts):
         PipelineModel([part]).write().overwrite().save(f"{path}/part{i}")
     row = spark.createDataFrame([(json.dumps(about),)], "value string")
@@ -395,13 +448,15 @@ def save_pipeline(spark: SparkSession, features: PipelineModel | None, model: An
 def load_pipeline(spark: SparkSession, path: str) -> FittedClassifier:
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     parts = [PipelineModel.load(f"{path}/part{i}").stages[0] for i in range(about["parts"])]
-    if about["kind"] == "FourierSvmModel":
-        model: Any = FourierSvmModel(parts[0], about["seed"], about["components"], about["gamma"])
+    if about["kind"] == "TermModel":
+        model: Any = TermModel.load(spark, f"{path}/terms")
+    elif about["kind"] == "FourierSvmModel":
+        model = FourierSvmModel(parts[0], about["seed"], about["components"], about["gamma"])
     elif about["kind"] == "BoostedTrees":
         model = BoostedTrees(parts, about["votes"], about["errors"], about["classes"])
     elif about["kind"] == "NetworkEnsemble":
         model = NetworkEnsemble(parts)
     else:
         model = parts[0]
-    features = PipelineModel.load(f"{path}/features") if about["features"] else None
+    features = TextFeatures.load(spark, f"{path}/features") if about["features"] else None
     return FittedClassifier(features, model)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from crowdtide.scratch import materialize
 
 HASH_BUCKETS_HEX = 4  # hex digits of the hash that name a bucket: 65,536 buckets
+HOT_KEYS = 10_000  # as many keys at most can have more than such a part of all uses
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -110,6 +111,32 @@ def ordered_index(df: DataFrame, order: Sequence[str | Column], out: str, start:
     return numbered.withColumn(out, F.col("_seq") - 1 + F.lit(start).cast("long")).drop("_seq")
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, uses: str, values: list[str], spread: str) -> DataFrame:
+    """Rows with the table's values for their key; rows without one are dropped.
+
+    ``table`` is written, has a row per key, and counts the key's uses. At most ``HOT_KEYS`` keys can
+    have more than a ``HOT_KEYS``-th of all uses; only these are broadcast. Rows that have found
+    their key there are spread by ``spread`` in the join of the others, which no key dominates.
+    """
+    limit = table.agg(F.sum(uses) / HOT_KEYS).scalar()
+    small = table.filter(F.col(uses) > limit)
+    hot = F.broadcast(small.select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv")))
+    marked = rows.join(hot, F.col(key) == F.col("_hk"), "left")
+    kind = rows.schema[key].dataType
+    unmet = F.col("_hk").isNull()
+    cold = table.filter(F.col(uses) <= limit).select(
+        F.col(key).alias("_ck"), F.lit(0).cast("long").alias("_cs"), F.struct(*values).alias("_cv")
+    )
+    asked = marked.withColumn("_k", F.when(unmet, F.col(key)).otherwise(F.lit("0").cast(kind))).withColumn(
+        "_s", F.when(unmet, F.lit(0)).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1)))
+    )
+    found = asked.join(cold, (F.col("_k") == F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left")
+    value = F.coalesce("_hv", "_cv")
+    return found.select(*rows.columns, value.alias("_v")).filter(F.col("_v").isNotNull()).select(
+        *rows.columns, *[F.col(f"_v.{v}").alias(v) for v in values]
+    )
+
+
 def quantile_name(col: str, p: float) -> str:
     return f"{col}_q{round(p * 100)}"
 

@@ -9,6 +9,7 @@ from crowdtide.operators import bayes as B
 from crowdtide.operators import evaluate as E
 from crowdtide.operators import features as X
 from crowdtide.operators import models as M
+from crowdtide.operators import terms
 from crowdtide.operators.sentiment import predict_all
 from crowdtide.plans import tables as T
 from crowdtide.scratch import materialize, new_folder
@@ -190,38 +191,40 @@ def _fitted(learner, **options):
 def text_model(spark: SparkSession, folder: str) -> DataFrame:
     """Features and model learned on the labelled documents, stored, loaded, and applied to all."""
     docs = materialize(T.labelled_documents(spark, folder), "docs")
-    features = X.text_features(docs, min_df=5, ngram_range=(1, 1))
-    model = M.naive_bayes_multinomial(features.transform(docs))
+    features = terms.text_features(docs, min_df=5, ngram_range=(1, 2))
+    model = M.naive_bayes_multinomial(materialize(features.transform(docs), "train"))
     path = new_folder(spark, "model")
     M.save_pipeline(spark, features, model, path)
     return predict_all(M.load_pipeline(spark, path), T.documents(spark, folder)).select("id", "sentiment")
 
 
 def cross_validate(spark: SparkSession, folder: str) -> DataFrame:
-    docs = T.labelled_documents(spark, folder)
-    folds = M.cross_validate(
-        docs, M.naive_bayes_complement, feature_options={"min_df": 5, "ngram_range": (1, 1)}, k=3
-    )
-    return _plain_names(folds)
+    docs = materialize(T.labelled_documents(spark, folder), "docs")
+    options = {"min_df": 5, "ngram_range": (1, 2)}
+    return _plain_names(M.cross_validate(docs, M.naive_bayes_complement, feature_options=options))
+
+
+def cross_validate_gaussian(spark: SparkSession, folder: str) -> DataFrame:
+    """Densities over sparse words."""
+    docs = materialize(T.labelled_documents(spark, folder), "docs")
+    options = {"min_df": 10, "ngram_range": (1, 1)}
+    return _plain_names(M.cross_validate(docs, M.naive_bayes_gaussian, feature_options=options))
 
 
 def best_fold(spark: SparkSession, folder: str) -> DataFrame:
     """The best fold's model, applied to all vectors."""
-    rows = _features(spark, folder)
-    folds, models = M.cross_validate(
-        rows, M.random_forest, {"n_estimators": 10, "max_depth": 5}, k=3, text_col=None, keep_models=True
-    )
+    rows = materialize(_features(spark, folder), "rows")
+    folds, models = M.cross_validate(rows, M.naive_bayes_gaussian, text_col=None, keep_models=True)
     _, model = M.best_fold_model(folds, models)
     return model.transform(rows).select("id", F.col("prediction").cast("int").alias("prediction"))
 
 
+GRID = {"alpha": [0.1, 1.0]}, {"min_df": [5, 10], "ngram_range": [(1, 2)]}
+
+
 def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
-    docs = T.labelled_documents(spark, folder)
-    table = M.experiment_grid(
-        docs, "naive_bayes_multinomial", {"alpha": [0.1, 1.0]},
-        {"min_df": [5], "ngram_range": [(1, 1)]}, k=2,
-    )
-    return _plain_names(table)
+    docs = materialize(T.labelled_documents(spark, folder), "docs")
+    return _plain_names(M.experiment_grid(docs, "naive_bayes_multinomial", *GRID))
 
 
 def svm_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,6 +261,7 @@ QUERIES = {
     "mlp_ensemble": _fitted(M.mlp_ensemble),
     "text_model": text_model,
     "cross_validate": cross_validate,
+    "cross_validate_gaussian": cross_validate_gaussian,
     "best_fold_model": best_fold,
     "experiment_grid": experiment_grid,
 }
@@ -273,27 +277,33 @@ placed AS (
   SELECT l.id, l.target, n, b, row_number() OVER (PARTITION BY l.target ORDER BY md5(l.id || '|42'), l.id) - 1 AS r
   FROM labelled l JOIN before USING (target))"""
 
+_ROLES = """roles AS (
+  SELECT fold, t AS c, CASE WHEN t = p THEN 1 ELSE 0 END AS tp, CASE WHEN t <> p THEN 1 ELSE 0 END AS fn, 0 AS fp
+  FROM scored
+  UNION ALL SELECT fold, p, 0, 0, 1 FROM scored WHERE t <> p)"""
+
 _CONFUSION = f"""{_LABELS},
 scored AS (
   SELECT CAST(target AS VARCHAR) AS t, CAST(n_chars % 3 AS VARCHAR) AS p, CAST(n_chars % 5 AS INTEGER) AS fold
   FROM labelled JOIN documents d ON id = CAST(d.doc_id AS VARCHAR)),
-roles AS (
-  SELECT fold, t AS c, CASE WHEN t = p THEN 1 ELSE 0 END AS tp, CASE WHEN t <> p THEN 1 ELSE 0 END AS fn, 0 AS fp
-  FROM scored
-  UNION ALL SELECT fold, p, 0, 0, 1 FROM scored WHERE t <> p)"""
+{_ROLES}"""
 
 
-def _metrics_sql(key: str) -> str:
+def _cells_sql(key: str) -> str:
+    """Metrics ``m`` of the roles, per key if there is one."""
     select = f"{key}, " if key else ""
     group = f"GROUP BY {key}" if key else ""
-    return f"""{_CONFUSION},
-cells AS (SELECT {select}c, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp FROM roles GROUP BY {select}c),
+    return f"""cells AS (SELECT {select}c, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp FROM roles GROUP BY {select}c),
 f AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fn + fp, 0), 0) AS f1,
         coalesce(1.25 * tp / nullif(1.25 * tp + 0.25 * fn + fp, 0), 0) AS fh FROM cells),
 m AS (SELECT {select}sum(tp) / sum(tp + fn) AS "Accuracy", avg(f1) AS "F1_macro",
         sum(f1 * (tp + fn)) / sum(tp + fn) AS "F1_weighted", avg(fh) AS "F_half_macro" FROM f {group})"""
 
 
+def _metrics_sql(key: str) -> str:
+    return f"{_CONFUSION},\n{_cells_sql(key)}"
+
+
 _METRIC_NAMES = ("Accuracy", "F1_macro", "F1_weighted", "F_half_macro")
 _ROUNDED = ", ".join(f'round("{n}", 6) AS "{n}"' for n in _METRIC_NAMES)
 _SUMMARY = ", ".join(
@@ -317,6 +327,87 @@ _GAUSS = """cells AS (
   FROM embeddings),
 moments AS (SELECT label AS target, dim, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM cells GROUP BY 1, 2)"""
 
+_WORD_TERMS = """units AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS u FROM texts),
+spots AS (SELECT id, u, unnest(range(1, len(u) + 1)) AS i FROM units),
+uses AS (SELECT id, u[i] AS term FROM spots UNION ALL SELECT id, u[i] || ' ' || u[i + 1] FROM spots WHERE i < len(u))"""
+
+_SINGLE_WORDS = """uses AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM texts)"""
+
+
+def _folded_sql(uses: str, min_df: int, texts: str) -> str:
+    """Weights ``w`` (fold, id, kept, target, i, w): fitted without a fold, for its texts and the others."""
+    return f"""known AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS id, text, CASE WHEN toxic = 1 THEN 2 ELSE quality END AS target
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+sizes AS (SELECT target, count(*) AS n FROM known GROUP BY 1),
+before AS (SELECT target, coalesce(sum(n) OVER (ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM sizes),
+placed AS (
+  SELECT id, k.target, (b + row_number() OVER (PARTITION BY k.target ORDER BY md5(id || '|42'), id) - 1) % 5 AS own
+  FROM known k JOIN before USING (target)),
+texts AS ({texts}),
+{uses},
+tf AS (SELECT id, term, count(*) AS tf FROM uses GROUP BY 1, 2),
+folds AS (SELECT unnest(range(0, 5)) AS fold),
+n AS (SELECT fold, count(*) AS n FROM folds, placed WHERE own <> fold GROUP BY 1),
+df AS (SELECT fold, term, count(*) AS df FROM tf JOIN placed USING (id), folds WHERE own <> fold GROUP BY 1, 2 HAVING count(*) >= {min_df}),
+raw AS (SELECT fold, id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term) JOIN n USING (fold)),
+norms AS (SELECT fold, id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY 1, 2),
+w AS (
+  SELECT fold, id, own <> fold AS kept, target, term, x / norm AS w
+  FROM raw JOIN norms USING (fold, id) LEFT JOIN placed USING (id)),
+sums AS (SELECT fold, target, term, sum(w) AS s, sum(w * w) AS q FROM w WHERE kept GROUP BY 1, 2, 3),
+vocabulary AS (SELECT fold, term, sum(s) AS all_s, sum(q) AS all_q FROM sums GROUP BY 1, 2),
+classes AS (SELECT fold, target, count(*) AS rows FROM folds, placed WHERE own <> fold GROUP BY 1, 2),
+grid AS (
+  SELECT fold, c.target, v.term, coalesce(s, 0) AS s, coalesce(q, 0) AS q, all_s, all_q, rows
+  FROM vocabulary v JOIN classes c USING (fold) LEFT JOIN sums USING (fold, target, term)),
+totals AS (SELECT fold, target, sum(s) AS total, sum(all_s) AS everything, count(*) AS terms FROM grid GROUP BY 1, 2)"""
+
+
+_MULTINOMIAL = "SELECT fold, target, term, ln((s + {alpha}) / (total + {alpha} * terms)) AS a, 0.0 AS b FROM grid JOIN totals USING (fold, target)"
+_COMPLEMENT = """SELECT fold, target, term, -ln((all_s - s + {alpha}) / (everything - total + {alpha} * terms)) AS a, 0.0 AS b
+  FROM grid JOIN totals USING (fold, target)"""
+_PRIOR = "SELECT fold, target, ln(rows / n) AS base FROM classes JOIN n USING (fold)"
+
+#: Best class of every text and fold from coefficients ``fit`` and ``base``; ties go to the smaller class.
+_CHOSEN = """fit AS ({fit}),
+base AS ({base}),
+reached AS (
+  SELECT w.fold, w.id, f.target, sum(w.w * a + w.w * w.w * b) AS x FROM w JOIN fit f ON w.fold = f.fold AND w.term = f.term
+  GROUP BY 1, 2, 3),
+chosen AS (
+  SELECT base.fold, texts.id, base.target AS p FROM base CROSS JOIN texts
+  LEFT JOIN reached r ON r.fold = base.fold AND r.id = texts.id AND r.target = base.target
+  QUALIFY row_number() OVER (PARTITION BY base.fold, texts.id ORDER BY base + coalesce(x, 0) DESC, base.target) = 1)"""
+
+_OF_FOLDS = f"""scored AS (
+  SELECT CAST(target AS VARCHAR) AS t, CAST(p AS VARCHAR) AS p, CAST(fold AS INTEGER) AS fold
+  FROM chosen JOIN placed USING (id) WHERE own = fold),
+{_ROLES},
+{_cells_sql('fold')}"""
+
+
+def _cross_sql(fit: str, base: str, min_df: int, uses: str = _WORD_TERMS, extra: str = "") -> str:
+    return f"""WITH {_folded_sql(uses, min_df, "SELECT id, text FROM known")}{extra},
+{_CHOSEN.format(fit=fit, base=base)},
+{_OF_FOLDS}"""
+
+
+def _grid_sql() -> str:
+    parts = []
+    for min_df in GRID[1]["min_df"]:
+        for alpha in GRID[0]["alpha"]:
+            name = f"naive_bayes_multinomial {{'alpha': {alpha}}} {{'min_df': {min_df}, 'ngram_range': (1, 2)}}".replace("'", "''")
+            one = _cross_sql(_MULTINOMIAL.format(alpha=alpha), _PRIOR, min_df)
+            parts.append(f"""SELECT '{name}' AS "Name", * FROM ({one} SELECT fold, {_ROUNDED} FROM m)""")
+    return "\nUNION ALL\n".join(parts)
+
+
+#: Means and variances with implied zeros, and the densities of a text without any term.
+_DENSITIES = """,
+spread AS (SELECT v.fold, 4e-4 * max(all_q / n - pow(all_s / n, 2)) AS e FROM vocabulary v JOIN n USING (fold) GROUP BY 1),
+normal AS (SELECT g.fold, target, term, s / rows AS mean, q / rows - pow(s / rows, 2) + e AS var FROM grid g JOIN spread USING (fold))"""
+
 SQL = {
     **dict.fromkeys(("svm", "random_forest", "adaboost", "gradient_boosting", "mlp_ensemble"), _STEPS),
     "stratified_kfold": f"""WITH {_PLACED}
@@ -367,4 +458,39 @@ s AS (SELECT vec_id, target,
         - 0.5 * sum(ln(2 * pi() * (var + e)) + (x - mean) * (x - mean) / (var + e)) AS score
   FROM cells JOIN moments USING (dim), eps GROUP BY 1, 2)
 SELECT CAST(vec_id AS VARCHAR) AS id, arg_max(target, score) AS prediction FROM s GROUP BY vec_id""",
+    "text_model": f"""WITH {_folded_sql(_WORD_TERMS, 5, "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents").replace("(SELECT unnest(range(0, 5)) AS fold)", "(SELECT -1 AS fold)").replace("own <> fold AS kept", "own IS NOT NULL AS kept")},
+{_CHOSEN.format(fit=_MULTINOMIAL.format(alpha=1.0), base=_PRIOR)}
+SELECT id, ['negative', 'positive', 'neutral'][p + 1] AS sentiment FROM chosen""",
+    "cross_validate": f"{_cross_sql(_COMPLEMENT.format(alpha=0.1), 'SELECT fold, target, 0.0 AS base FROM classes', 5)} SELECT fold, {_ROUNDED} FROM m",
+    "cross_validate_gaussian": _cross_sql(
+        "SELECT fold, target, term, mean / var AS a, -0.5 / var AS b FROM normal",
+        "SELECT fold, target, ln(max(rows) / max(n)) - 0.5 * sum(ln(2 * pi() * var) + mean * mean / var) AS base "
+        "FROM normal JOIN classes USING (fold, target) JOIN n USING (fold) GROUP BY 1, 2",
+        10, _SINGLE_WORDS, _DENSITIES,
+    ) + f" SELECT fold, {_ROUNDED} FROM m",
+    "experiment_grid": _grid_sql(),
+    "best_fold_model": f"""WITH sizes AS (SELECT label AS target, count(*) AS n FROM embeddings GROUP BY 1),
+before AS (SELECT target, coalesce(sum(n) OVER (ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM sizes),
+placed AS (
+  SELECT vec_id AS id, label AS target, embedding,
+    (b + row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), CAST(vec_id AS VARCHAR)) - 1) % 5 AS own
+  FROM embeddings JOIN before ON target = label),
+points AS (SELECT id, target, own, generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM placed),
+folds AS (SELECT unnest(range(0, 5)) AS fold),
+spread AS (SELECT fold, 4e-4 * max(v) AS e FROM (
+  SELECT fold, dim, var_pop(x) AS v FROM points, folds WHERE own <> fold GROUP BY 1, 2) GROUP BY 1),
+normal AS (
+  SELECT fold, target, dim, avg(x) AS mean, var_pop(x) + max(e) AS var, count(*) AS rows
+  FROM points JOIN folds ON own <> fold JOIN spread USING (fold) GROUP BY 1, 2, 3),
+prior AS (SELECT fold, target, ln(rows / sum(rows) OVER (PARTITION BY fold)) AS prior
+  FROM (SELECT fold, target, max(rows) AS rows FROM normal GROUP BY 1, 2)),
+reached AS (
+  SELECT n.fold, c.id, n.target, sum(-0.5 * (ln(2 * pi() * var) + (x - mean) * (x - mean) / var)) AS x
+  FROM points c JOIN normal n USING (dim) GROUP BY 1, 2, 3),
+chosen AS (
+  SELECT r.fold, id, r.target AS p FROM reached r JOIN prior USING (fold, target)
+  QUALIFY row_number() OVER (PARTITION BY r.fold, id ORDER BY x + prior DESC, r.target) = 1),
+{_OF_FOLDS},
+best AS (SELECT fold FROM m ORDER BY round("F1_macro", 12) DESC, fold LIMIT 1)
+SELECT CAST(id AS VARCHAR) AS id, CAST(p AS INTEGER) AS prediction FROM chosen JOIN best USING (fold)""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtide.functions import text as X
 from crowdtide.operators import features as W
+from crowdtide.operators.terms import project
 from crowdtide.plans import tables as T
 
 KEYWORDS = ("the", "der", "les")
@@ -108,9 +109,9 @@ def pca(spark: SparkSession, folder: str) -> DataFrame:
     vectors = T.table(spark, folder, "embeddings").select(
         "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v")
     )
-    projected = W.project(vectors, "v", "p", 8).transform(vectors)
+    projected = project(vectors, "v", "p", 8).transform(vectors)
     cells = projected.select(F.posexplode(vector_to_array("p")).alias("dim", "x"))
-    return cells.groupBy("dim").agg(T.r6(F.avg("x")).alias("mean"), T.r6(F.var_samp("x")).alias("variance"))
+    return cells.groupBy("dim").agg((T.r6(F.avg("x")) + 0.0).alias("mean"), T.r6(F.var_samp("x")).alias("variance"))
 
 
 def pca_variance(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +119,7 @@ def pca_variance(spark: SparkSession, folder: str) -> DataFrame:
     vectors = T.table(spark, folder, "embeddings").select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("v")
     )
-    projected = W.project(vectors, "v", "p", 64).transform(vectors)
+    projected = project(vectors, "v", "p", 64).transform(vectors)
     cells = projected.select(F.posexplode(vector_to_array("p")).alias("dim", "x"))
     return cells.groupBy("dim").agg(F.var_samp("x").alias("v")).agg(T.r6(F.sum("v")).alias("variance"))
 
@@ -167,6 +168,30 @@ items AS (
   UNION ALL SELECT id, i, n, 4, 0, word FROM p WHERE hit AND (last IS NULL OR i - last >= {WINDOW + 1})),
 placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i, part, j) AS place FROM items)"""
 
+def _pca_sql(k: int, squarings: int = 14) -> str:
+    """Variances along the components: powers of the covariance by squaring, then deflation."""
+    parts = ["""x AS MATERIALIZED (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+y AS MATERIALIZED (SELECT vec_id, d, x - avg(x) OVER (PARTITION BY d) AS y FROM x),
+c0 AS MATERIALIZED (
+  SELECT a.d AS i, b.d AS j, sum(a.y * b.y) / (count(*) - 1) AS c FROM y a JOIN y b USING (vec_id) GROUP BY 1, 2)"""]
+    for n in range(k):
+        before = f"c{n}"
+        for p in range(squarings):
+            parts.append(f"""p{n}_{p} AS MATERIALIZED (
+  WITH s AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM {before} a JOIN {before} b ON a.j = b.i GROUP BY 1, 2)
+  SELECT i, j, c / (SELECT sum(c) FROM s WHERE i = j) AS c FROM s)""")
+            before = f"p{n}_{p}"
+        # a column of the power is the component, up to its length
+        parts.append(f"""v{n} AS MATERIALIZED (
+  WITH s AS (SELECT i, c AS v FROM {before} WHERE j = (SELECT arg_max(j, c) FROM {before} WHERE i = j))
+  SELECT i, v / (SELECT sqrt(sum(v * v)) FROM s) AS v FROM s),
+l{n} AS MATERIALIZED (SELECT sum(a.v * c * b.v) AS l FROM c{n} m JOIN v{n} a ON a.i = m.i JOIN v{n} b ON b.i = m.j),
+c{n + 1} AS MATERIALIZED (SELECT m.i, m.j, c - l * a.v * b.v AS c FROM c{n} m JOIN v{n} a ON a.i = m.i JOIN v{n} b ON b.i = m.j, l{n})""")
+    rows = " UNION ALL ".join(f"SELECT {n} AS dim, 0.0::DOUBLE AS mean, round(l, 6) AS variance FROM l{n}" for n in range(k))
+    return "WITH " + ",\n".join(parts) + "\n" + rows
+
+
 SQL = {
     "replace_links": r"""SELECT page_id, regexp_replace('see ' || url || ' now', 'http[s]*:\/\/[^\s]+', '[link]', 'g') AS text,
        md5(regexp_replace(html, 'http[s]*:\/\/[^\s]+', '[link]', 'g')) AS html_md5 FROM pages""",
@@ -199,6 +224,7 @@ short AS (SELECT id, string_agg(text, ' ' ORDER BY place) AS short FROM kept GRO
 final AS (SELECT l.id, CASE WHEN long THEN coalesce(short, '') ELSE t END AS s
   FROM linked l LEFT JOIN short s ON l.id = s.id)
 SELECT id, md5(s) AS text_md5, length(s) AS length FROM final""",
+    "pca": _pca_sql(8),
     "pca_variance": """WITH c AS (
   SELECT generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 v AS (SELECT var_samp(x) AS v FROM c GROUP BY dim)

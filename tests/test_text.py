@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from crowdtide.functions import text as X
 from crowdtide.operators import features as Fe
+from crowdtide.operators import terms as Te
 
 
 def _one(spark, text, column):
@@ -102,13 +103,14 @@ def test_ml_features_equal_long_form(spark):
     docs = spark.createDataFrame(
         [("1", "aa bb http://x.y"), ("2", "aa cc cc"), ("3", "bb")], "id string, text string"
     )
-    model = Fe.text_features(docs, min_df=1, ngram_range=(1, 2))
-    vocabulary = model.stages[2].vocabulary
+    model = Te.text_features(docs, min_df=1, ngram_range=(1, 2))
+    vocabulary = {r["i"]: r["term"] for r in model.terms.collect()}
+    assert [vocabulary[i] for i in range(len(vocabulary))] == sorted(vocabulary.values())
     long_form = {
         (r["id"], r["term"]): r["w"]
         for r in Fe.tfidf_transform(docs, Fe.tfidf_fit(docs, ngram_range=(1, 2)), ngram_range=(1, 2)).collect()
     }
-    for row in model.transform(docs).collect():
+    for row in model.with_vectors(model.transform(docs)).collect():
         vector = row["features"]
         cells = {(row["id"], vocabulary[i]): v for i, v in zip(vector.indices, vector.values)}
         assert cells == pytest.approx({k: v for k, v in long_form.items() if k[0] == row["id"]})
@@ -121,7 +123,7 @@ def test_projection_is_centred_and_ordered(spark):
     rows = spark.createDataFrame(
         [(Vectors.dense([rng.gauss(5, s) for s in (3, 1, 0.2)]),) for _ in range(200)], ["v"]
     )
-    got = [list(r["p"]) for r in Fe.project(rows, "v", "p", 2).transform(rows).collect()]
+    got = [list(r["p"]) for r in Te.project(rows, "v", "p", 2).transform(rows).collect()]
     for dim in range(2):
         assert abs(sum(g[dim] for g in got)) < 1e-6
     spread = [sum(g[d] ** 2 for g in got) for d in range(2)]
