@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     MultilayerPerceptronClassifier,
@@ -31,7 +30,8 @@ from crowdtide.operators.evaluate import bootstrap_resample, metric_table, strat
 from crowdtide.operators import terms
 from crowdtide.operators.sentiment import argmax_class
 from crowdtide.operators.terms import TermModel, TextFeatures
-from crowdtide.scratch import materialize
+from crowdtide.operators.pruning import prune_forest
+from crowdtide.scratch import Rounds, materialize
 
 FEATURES, TARGET = "features", "target"
 TREES_PER_PLAN = 25  # voting trees in one plan
@@ -59,15 +59,18 @@ def random_forest(
     min_samples_leaf: int = 2,
     criterion: str = "gini",
     max_features: float = 0.3,
+    ccp_alpha: float = 0.0,
     max_depth: int = DEEPEST,
+    bootstrap: bool = True,
     seed: int = 42,
 ):
-    """Forest of trees, as deep as Spark grows them (30); it has no cost-complexity pruning."""
-    return RandomForestClassifier(
+    """Forest of trees, as deep as Spark grows them (30), cut back by cost and complexity if wanted."""
+    forest = RandomForestClassifier(
         numTrees=n_estimators, minInstancesPerNode=min_samples_leaf, impurity=criterion,
-        featureSubsetStrategy=str(max_features), maxDepth=max_depth, seed=seed,
+        featureSubsetStrategy=str(float(max_features)), maxDepth=max_depth, bootstrap=bootstrap, seed=seed,
         featuresCol=FEATURES, labelCol=TARGET,
     ).fit(train)
+    return prune_forest(forest, ccp_alpha) if ccp_alpha > 0 else forest
 
 
 def gradient_boosting(
@@ -174,31 +177,35 @@ def adaboost(
     min_samples_leaf: int = 2,
     learning_rate: float = 0.1,
     criterion: str = "gini",
+    max_features: float = 0.3,
     max_depth: int = DEEPEST,
     id_col: str = "id",
     seed: int = 42,
 ) -> BoostedTrees:
     """Multi-class boosting: each tree fits weights raised where the last ones erred.
 
-    The weights are a column; every round writes the frame with its new weights, which sum to 1.
+    A tree is a forest of one without resampling, so that every node draws its share of the features.
+    The features are written once; a round writes ids, weights and errors only. Weights sum to 1.
     """
-    classes = train.agg(F.max(TARGET)).first()[0]
-    classes = int(classes) + 1
-    n = train.count()
-    rows = materialize(
-        train.select(id_col, FEATURES, TARGET).withColumn("weight", F.lit(1.0 / n)), "boost"
-    )
+    classes = int(train.agg(F.max(TARGET)).first()[0]) + 1
+    rows = materialize(train.select(id_col, FEATURES, TARGET), "boost")
+    n, rounds = rows.count(), Rounds(train.sparkSession, "weights")
+    weights = rows.select(id_col, F.lit(1.0 / n).alias("weight"))
     model = BoostedTrees(classes=classes)
     for number in range(n_estimators):
+        weighted = rows.join(weights, id_col) if number else rows.withColumn("weight", F.lit(1.0 / n))
         # Spark compares minInstancesPerNode with the row count, so weights keep their scale.
-        tree = DecisionTreeClassifier(
-            impurity=criterion, minInstancesPerNode=min_samples_leaf, maxDepth=max_depth,
-            weightCol="weight", featuresCol=FEATURES, labelCol=TARGET, seed=seed + number,
-        ).fit(rows)
-        marked = tree.transform(rows).select(
-            id_col, FEATURES, TARGET, "weight", (F.col("prediction") != F.col(TARGET)).alias("_wrong")
+        tree = RandomForestClassifier(
+            numTrees=1, bootstrap=False, impurity=criterion, minInstancesPerNode=min_samples_leaf, maxDepth=max_depth,
+            featureSubsetStrategy=str(float(max_features)), weightCol="weight", featuresCol=FEATURES, labelCol=TARGET,
+            seed=seed + number,
+        ).fit(weighted)
+        wrong = F.col("prediction") != F.col(TARGET)
+        marked, total = rounds.write(
+            tree.transform(weighted).select(id_col, "weight", wrong.alias("wrong")),
+            error=F.sum(F.when(F.col("wrong"), F.col("weight")).otherwise(0.0)) / F.sum("weight"),
         )
-        error = marked.agg(F.sum(F.when(F.col("_wrong"), F.col("weight")).otherwise(0.0))).first()[0]
+        error = total["error"]
         if error >= 1 - 1 / classes:
             if not model.trees:
                 raise ValueError("the first tree is no better than chance")
@@ -210,10 +217,8 @@ def adaboost(
         if error <= 0:
             break
         grown = error * math.exp(vote) + (1 - error)
-        factor = F.when(F.col("_wrong"), math.exp(vote)).otherwise(1.0) / grown
-        rows = materialize(
-            marked.select(id_col, FEATURES, TARGET, (F.col("weight") * factor).alias("weight")), "boost"
-        )
+        factor = F.when(F.col("wrong"), math.exp(vote)).otherwise(1.0) / grown
+        weights = marked.select(id_col, (F.col("weight") * factor).alias("weight"))
     return model
 
 

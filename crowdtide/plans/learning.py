@@ -188,6 +188,41 @@ def _fitted(learner, **options):
     return query
 
 
+#: Twentieths of the customers of each remainder of 4 that are of class 1.
+SHARES, ALPHA = (18, 9, 1, 11), 0.05
+BOOSTED_ROUNDS = 6
+
+
+def pruned_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """One whole tree over four values, where the weaker split falls to its cost."""
+    x, turn = F.pmod("c_custkey", F.lit(4)), F.pmod(F.floor(F.col("c_custkey") / 4), F.lit(20))
+    rows = T.table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        (turn < F.lit(list(SHARES))[x.cast("int")]).cast("int").alias("target"),
+        array_to_vector(F.array(x.cast("double"))).alias("features"),
+    )
+    rows = materialize(rows, "rows")
+    options = {"n_estimators": 1, "max_features": 1.0, "bootstrap": False}
+    whole, cut = (M.random_forest(rows, ccp_alpha=a, **options).transform(rows) for a in (0.0, ALPHA))
+    share = T.r6(vector_to_array("probability")[1])
+    return cut.select("id", F.col("prediction").cast("int").alias("pruned"), share.alias("share")).join(
+        whole.select("id", F.col("prediction").cast("int").alias("whole")), "id"
+    )
+
+
+def adaboost_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors and votes of trees of one split where no single split fits."""
+    nation = F.col("c_nationkey")
+    rows = T.table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), (F.pmod(nation * 7, F.lit(25)) < 11).cast("int").alias("target"),
+        array_to_vector(F.array(nation.cast("double"))).alias("features"),
+    )
+    model = M.adaboost(rows, BOOSTED_ROUNDS, learning_rate=1.0, max_features=1.0, max_depth=1)
+    found = [(n, e, v) for n, (e, v) in enumerate(zip(model.errors, model.votes))]
+    table = spark.createDataFrame(found, "round int, error double, vote double")
+    return table.select("round", T.r6("error").alias("error"), T.r6("vote").alias("vote"))
+
+
 def text_model(spark: SparkSession, folder: str) -> DataFrame:
     """Features and model learned on the labelled documents, stored, loaded, and applied to all."""
     docs = materialize(T.labelled_documents(spark, folder), "docs")
@@ -256,7 +291,9 @@ QUERIES = {
     "svm": _fitted(M.svm),
     "svm_features": svm_features,
     "random_forest": _fitted(M.random_forest),
-    "adaboost": _fitted(M.adaboost),
+    "adaboost": _fitted(M.adaboost, max_features=1.0),
+    "adaboost_rounds": adaboost_rounds,
+    "pruned_forest": pruned_forest,
     "gradient_boosting": _fitted(M.gradient_boosting),
     "mlp_ensemble": _fitted(M.mlp_ensemble),
     "text_model": text_model,
@@ -408,6 +445,29 @@ _DENSITIES = """,
 spread AS (SELECT v.fold, 4e-4 * max(all_q / n - pow(all_s / n, 2)) AS e FROM vocabulary v JOIN n USING (fold) GROUP BY 1),
 normal AS (SELECT g.fold, target, term, s / rows AS mean, q / rows - pow(s / rows, 2) + e AS var FROM grid g JOIN spread USING (fold))"""
 
+def _adaboost_sql() -> str:
+    """Rounds of the best split by weighted Gini impurity, over the weights of every nation and class."""
+    parts = ["""w0 AS MATERIALIZED (
+  SELECT c_nationkey AS x, CASE WHEN c_nationkey * 7 % 25 < 11 THEN 1 ELSE 0 END AS y, count(*) / (SELECT count(*) FROM customer) AS w
+  FROM customer GROUP BY 1, 2)"""]
+    side = "coalesce(sum(w) FILTER (x {} t AND y = {}), 0)"
+    for n in range(BOOSTED_ROUNDS):
+        parts.append(f"""s{n} AS MATERIALIZED (
+  SELECT t, {side.format('<=', 0)} AS l0, {side.format('<=', 1)} AS l1, {side.format('>', 0)} AS r0, {side.format('>', 1)} AS r1
+  FROM w{n}, (SELECT DISTINCT x AS t FROM w{n} WHERE x < (SELECT max(x) FROM w{n})) GROUP BY t),
+b{n} AS MATERIALIZED (
+  SELECT t, l1 > l0 AS l, r1 > r0 AS r FROM s{n}
+  ORDER BY 2 * l0 * l1 / (l0 + l1) + 2 * r0 * r1 / (r0 + r1), t LIMIT 1),
+m{n} AS MATERIALIZED (SELECT x, y, w, (CASE WHEN x <= t THEN l ELSE r END) <> (y = 1) AS wrong FROM w{n}, b{n}),
+e{n} AS MATERIALIZED (SELECT sum(w) FILTER (wrong) / sum(w) AS error, ln((1 - error) / error) AS vote FROM m{n}),
+w{n + 1} AS MATERIALIZED (
+  SELECT x, y, w * CASE WHEN wrong THEN exp(vote) ELSE 1 END / (error * exp(vote) + 1 - error) AS w FROM m{n}, e{n})""")
+    rows = " UNION ALL ".join(
+        f"SELECT {n} AS round, round(error, 6) AS error, round(vote, 6) AS vote FROM e{n}" for n in range(BOOSTED_ROUNDS)
+    )
+    return "WITH " + ",\n".join(parts) + "\n" + rows
+
+
 SQL = {
     **dict.fromkeys(("svm", "random_forest", "adaboost", "gradient_boosting", "mlp_ensemble"), _STEPS),
     "stratified_kfold": f"""WITH {_PLACED}
@@ -458,6 +518,17 @@ s AS (SELECT vec_id, target,
         - 0.5 * sum(ln(2 * pi() * (var + e)) + (x - mean) * (x - mean) / (var + e)) AS score
   FROM cells JOIN moments USING (dim), eps GROUP BY 1, 2)
 SELECT CAST(vec_id AS VARCHAR) AS id, arg_max(target, score) AS prediction FROM s GROUP BY vec_id""",
+    "adaboost_rounds": _adaboost_sql(),
+    "pruned_forest": f"""WITH c AS (
+  SELECT c_custkey, c_custkey % 4 AS x, CASE WHEN c_custkey // 4 % 20 < {list(SHARES)}[c_custkey % 4 + 1] THEN 1.0 ELSE 0.0 END AS y FROM customer),
+leaves AS (SELECT x = 0 AS first, x = 3 AS last, avg(y) AS p, count(*) / (SELECT count(*) FROM c) AS part FROM c GROUP BY 1, 2),
+risks AS (SELECT first, last, p, 2 * p * (1 - p) * part AS risk FROM leaves),
+rest AS (SELECT avg(y) AS p, 2 * avg(y) * (1 - avg(y)) * count(*) / (SELECT count(*) FROM c) AS risk FROM c WHERE x > 0),
+weak AS (SELECT rest.risk - (SELECT sum(risk) FROM risks WHERE NOT first) <= {ALPHA} AS falls, rest.p AS p FROM rest)
+SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(r.p > 0.5 AS INTEGER) AS whole,
+  CAST((CASE WHEN falls AND x > 0 THEN weak.p ELSE r.p END) > 0.5 AS INTEGER) AS pruned,
+  round(CASE WHEN falls AND x > 0 THEN weak.p ELSE r.p END, 6) AS share
+FROM c JOIN risks r ON r.first = (x = 0) AND r.last = (x = 3), weak""",
     "text_model": f"""WITH {_folded_sql(_WORD_TERMS, 5, "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents").replace("(SELECT unnest(range(0, 5)) AS fold)", "(SELECT -1 AS fold)").replace("own <> fold AS kept", "own IS NOT NULL AS kept")},
 {_CHOSEN.format(fit=_MULTINOMIAL.format(alpha=1.0), base=_PRIOR)}
 SELECT id, ['negative', 'positive', 'neutral'][p + 1] AS sentiment FROM chosen""",

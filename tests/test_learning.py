@@ -94,7 +94,7 @@ def test_gaussian_bayes(spark):
         (M.svm, {"components": 60, "max_iter": 20}),
         (M.random_forest, {"n_estimators": 5}),
         (M.gradient_boosting, {"n_estimators": 3}),
-        (M.adaboost, {"n_estimators": 4, "learning_rate": 1.0, "max_depth": 1}),
+        (M.adaboost, {"n_estimators": 4, "learning_rate": 1.0, "max_features": 1.0, "max_depth": 1}),
         (M.mlp_ensemble, {"n_models": 2, "layers": (6,), "epochs": 60}),
     ],
 )
