@@ -19,17 +19,17 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtide.operators.evaluate import bootstrap_resample, metric_table, stratified_kfold
+from crowdtide.operators.evaluate import bootstrap_resample, metric_table, stratified_kfold, train_val_split
 from crowdtide.operators import terms
 from crowdtide.operators.sentiment import argmax_class
 from crowdtide.operators.terms import TermModel, TextFeatures
+from crowdtide.operators.network import NetworkEnsemble, train_networks
 from crowdtide.operators.pruning import prune_forest
 from crowdtide.scratch import Rounds, materialize
 
@@ -225,56 +225,47 @@ def adaboost(
 # --- networks -----------------------------------------------------------------------------
 
 
-@dataclass
-class NetworkEnsemble:
-    """Mean of the members' probabilities."""
-
-    members: list
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        scored = df
-        for i, member in enumerate(self.members):
-            scored = member.transform(scored).withColumn(f"_p{i}", vector_to_array("probability"))
-            scored = scored.drop("prediction", "rawPrediction", "probability")
-        total = F.col("_p0")
-        for i in range(1, len(self.members)):
-            total = F.zip_with(total, F.col(f"_p{i}"), lambda a, b: a + b)
-        count = float(len(self.members))
-        mean = F.transform(total, lambda p: p / count)
-        kept = [c for c in scored.columns if not c.startswith("_p")]
-        return (
-            scored.withColumn("probability", mean)
-            .select(*kept, "probability")
-            .withColumn("prediction", argmax_class(F.col("probability")).cast("double"))
-        )
-
-
 def mlp_ensemble(
     train: DataFrame,
     n_models: int = 10,
     layers: Sequence[int] = (64,),
     epochs: int = 100,
     frac: float = 1.0,
+    activation: str = "relu",
+    dropout: float | None = None,
+    label_smoothing: float = 0.0,
+    learning_rate: float = 0.02,
+    patience: int | None = None,
+    val_size: float = 0.2,
     id_col: str = "id",
     seed: int = 42,
 ) -> NetworkEnsemble:
-    """Networks trained on resampled rows. Spark's networks have sigmoid layers and a batch
-    solver: no dropout, label smoothing, learning-rate schedule or early stop."""
-    width = len(train.select(FEATURES).first()[0])
-    classes = int(train.agg(F.max(TARGET)).first()[0]) + 1
-    members = []
+    """Networks trained on resampled rows, with Adam and a cosine-shaped learning rate.
+
+    Each member has its own sample with replacement, which the rows carry as weights. With ``patience`` the share
+    ``val_size`` of each class is held out from all samples, and a member stops when its loss there
+    no longer falls. A step is on all rows.
+    """
+    rows = materialize(train.select(F.col(id_col).alias("id"), vector_to_array(FEATURES).alias("x"), F.col(TARGET).cast("int").alias(TARGET)), "rows")
+    held = rows.withColumn("held", F.lit(False))
+    if patience is not None:
+        held = train_val_split(rows, TARGET, "id", val_size, seed).withColumn("held", F.col("split") == "val").drop("split")
+        held = materialize(held, "held")
+    width, classes = rows.agg(F.max(F.size("x")), F.max(TARGET)).first()
+    drawn = None
     for member in range(n_models):
-        sample = materialize(
-            bootstrap_resample(train.select(id_col, FEATURES, TARGET), TARGET, id_col, frac, seed, member),
-            "sample",
-        )
-        members.append(
-            MultilayerPerceptronClassifier(
-                layers=[width, *layers, classes], maxIter=epochs, seed=seed + member,
-                featuresCol=FEATURES, labelCol=TARGET,
-            ).fit(sample)
-        )
-    return NetworkEnsemble(members)
+        one = bootstrap_resample(held.filter(~F.col("held")).select("id", TARGET), TARGET, "id", frac, seed, member)
+        one = one.select(F.col("id").alias("_id"), F.lit(member).alias("member"))
+        drawn = one if drawn is None else drawn.unionByName(one)
+    times = drawn.groupBy("_id").agg(
+        F.array(*[F.count_if(F.col("member") == m).cast("double") for m in range(n_models)]).alias("weights")
+    )
+    none = F.array_repeat(F.lit(0.0), n_models)
+    weighted = held.join(times, F.col("id") == F.col("_id"), "left").withColumn("weights", F.coalesce("weights", none))
+    return train_networks(
+        weighted, [width, *layers, classes + 1], n_models, epochs, activation, dropout, label_smoothing, learning_rate,
+        patience=patience, seed=seed,
+    )
 
 
 LEARNERS: dict[str, Callable[..., Any]] = {
@@ -440,7 +431,8 @@ def save_pipeline(spark: SparkSession, features: TextFeatures | None, model: Any
     elif isinstance(model, BoostedTrees):
         parts, about = model.trees, {"votes": model.votes, "errors": model.errors, "classes": model.classes}
     elif isinstance(model, NetworkEnsemble):
-        parts = model.members
+        model.save(f"{path}/networks")
+        parts = []
     about |= {"kind": type(model).__name__, "parts": len(parts), "features": features is not None}
     if features is not None:
         features.save(f"{path}/features")
@@ -460,7 +452,7 @@ def load_pipeline(spark: SparkSession, path: str) -> FittedClassifier:
     elif about["kind"] == "BoostedTrees":
         model = BoostedTrees(parts, about["votes"], about["errors"], about["classes"])
     elif about["kind"] == "NetworkEnsemble":
-        model = NetworkEnsemble(parts)
+        model = NetworkEnsemble.load(spark, f"{path}/networks")
     else:
         model = parts[0]
     features = TextFeatures.load(spark, f"{path}/features") if about["features"] else None

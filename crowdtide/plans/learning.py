@@ -10,6 +10,7 @@ from crowdtide.operators import evaluate as E
 from crowdtide.operators import features as X
 from crowdtide.operators import models as M
 from crowdtide.operators import terms
+from crowdtide.operators.network import cosine_rate, train_networks
 from crowdtide.operators.sentiment import predict_all
 from crowdtide.plans import tables as T
 from crowdtide.scratch import materialize, new_folder
@@ -223,6 +224,21 @@ def adaboost_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return table.select("round", T.r6("error").alias("error"), T.r6("vote").alias("vote"))
 
 
+NETWORK_EPOCHS, SMOOTHING, RATE = 5, 0.1, 0.8
+
+
+def network_losses(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss of a network without hidden layers in every epoch of plain descent, from zero weights."""
+    nation = F.col("c_nationkey")
+    rows = T.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), F.array(nation / 25.0, F.pmod(nation, F.lit(5)) / 5.0).alias("x"),
+        F.pmod(F.floor(nation / 3), F.lit(3)).cast("int").alias("target"), F.array(F.lit(1.0)).alias("weights"), F.lit(False).alias("held"),
+    )
+    model = train_networks(rows, [2, 3], 1, NETWORK_EPOCHS, label_smoothing=SMOOTHING, learning_rate=RATE, optimizer="sgd", start=0.0)
+    table = spark.createDataFrame(list(enumerate(model.losses[0])), "epoch int, loss double")
+    return table.select("epoch", T.r6("loss").alias("loss"))
+
+
 def text_model(spark: SparkSession, folder: str) -> DataFrame:
     """Features and model learned on the labelled documents, stored, loaded, and applied to all."""
     docs = materialize(T.labelled_documents(spark, folder), "docs")
@@ -293,6 +309,7 @@ QUERIES = {
     "random_forest": _fitted(M.random_forest),
     "adaboost": _fitted(M.adaboost, max_features=1.0),
     "adaboost_rounds": adaboost_rounds,
+    "network_losses": network_losses,
     "pruned_forest": pruned_forest,
     "gradient_boosting": _fitted(M.gradient_boosting),
     "mlp_ensemble": _fitted(M.mlp_ensemble),
@@ -468,6 +485,25 @@ w{n + 1} AS MATERIALIZED (
     return "WITH " + ",\n".join(parts) + "\n" + rows
 
 
+def _descent_sql() -> str:
+    """Epochs of gradient descent over the customers of every nation; feature 2 is the constant."""
+    parts = ["""g AS MATERIALIZED (
+  SELECT c_nationkey AS nation, [c_nationkey / 25.0::DOUBLE, c_nationkey % 5 / 5.0::DOUBLE, 1.0::DOUBLE] AS x, c_nationkey // 3 % 3 AS target,
+    count(*) / (SELECT count(*) FROM customer) AS part FROM customer GROUP BY 1),
+w0 AS MATERIALIZED (SELECT f, c, 0.0::DOUBLE AS w FROM range(0, 3) a(f), range(0, 3) b(c))"""]
+    for n in range(NETWORK_EPOCHS):
+        rate = cosine_rate(RATE, n, NETWORK_EPOCHS)
+        parts.append(f"""z{n} AS MATERIALIZED (
+  SELECT nation, x, target, part, c, exp(sum(x[f + 1] * w)) AS e FROM g, w{n} GROUP BY 1, 2, 3, 4, 5),
+p{n} AS MATERIALIZED (
+  SELECT x, part, c, e / sum(e) OVER (PARTITION BY nation) AS p,
+    CASE WHEN c = target THEN {1 - SMOOTHING} ELSE 0 END + {SMOOTHING} / 3 AS y FROM z{n}),
+w{n + 1} AS MATERIALIZED (
+  SELECT w.f, w.c, w.w - {rate!r} * sum(part * (p - y) * x[w.f + 1]) AS w FROM w{n} w JOIN p{n} p ON w.c = p.c GROUP BY w.f, w.c, w.w)""")
+    rows = " UNION ALL ".join(f"SELECT {n} AS epoch, round(-sum(part * y * ln(p)), 6) AS loss FROM p{n}" for n in range(NETWORK_EPOCHS))
+    return "WITH " + ",\n".join(parts) + "\n" + rows
+
+
 SQL = {
     **dict.fromkeys(("svm", "random_forest", "adaboost", "gradient_boosting", "mlp_ensemble"), _STEPS),
     "stratified_kfold": f"""WITH {_PLACED}
@@ -519,6 +555,7 @@ s AS (SELECT vec_id, target,
   FROM cells JOIN moments USING (dim), eps GROUP BY 1, 2)
 SELECT CAST(vec_id AS VARCHAR) AS id, arg_max(target, score) AS prediction FROM s GROUP BY vec_id""",
     "adaboost_rounds": _adaboost_sql(),
+    "network_losses": _descent_sql(),
     "pruned_forest": f"""WITH c AS (
   SELECT c_custkey, c_custkey % 4 AS x, CASE WHEN c_custkey // 4 % 20 < {list(SHARES)}[c_custkey % 4 + 1] THEN 1.0 ELSE 0.0 END AS y FROM customer),
 leaves AS (SELECT x = 0 AS first, x = 3 AS last, avg(y) AS p, count(*) / (SELECT count(*) FROM c) AS part FROM c GROUP BY 1, 2),
