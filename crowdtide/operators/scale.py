@@ -7,13 +7,21 @@ The functions here split every group first and combine small per-part counts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from crowdtide.scratch import materialize
 
 HASH_BUCKETS_HEX = 4  # hex digits of the hash that name a bucket: 65,536 buckets
+ROWS_PER_RANGE = 5_000_000
+INTEGERS = ("byte", "short", "integer", "long")
 HOT_KEYS = 10_000  # as many keys at most can have more than such a part of all uses
 
 
@@ -71,44 +79,79 @@ def hash_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, out: s
     )
 
 
+def _ranges(df: DataFrame, order: Sequence[str | Column], values: dict[str, Column], partitions: int | None) -> DataFrame:
+    """Rows with values in sorted range partitions, as many as the session's or as the rows need."""
+    if partitions is None:
+        rows = df.count()
+        partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE))
+    ordered = [F.col(o) if isinstance(o, str) else o for o in order]
+    names = [f"_rt_o{i}" for i in range(len(ordered))]
+    marked = df.select("*", *[o.alias(n) for n, o in zip(names, ordered)], *[c.alias(n) for n, c in values.items()])
+    return marked.repartitionByRange(partitions, *names).sortWithinPartitions(*names).drop(*names)
+
+
+def _carried(parts: DataFrame, ends: dict[str, Column], names: list[str], columns: list[str]) -> DataFrame:
+    """Add to every row what the earlier ranges sum up to; ``parts`` is written and has ``_rt_part``."""
+    sums = materialize(parts.groupBy("_rt_part").agg(*[c.alias(f"_rt_end_{n}") for n, c in ends.items()]), "sums")
+    before = W.orderBy("_rt_part").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    starts = sums.select(
+        F.col("_rt_part").alias("_rt_from"), *[F.coalesce(F.sum(f"_rt_end_{n}").over(before), F.lit(0)).alias(f"_rt_start_{n}") for n in names]
+    )
+    return parts.join(starts, F.col("_rt_part") == F.col("_rt_from")).select(
+        *columns, *[(F.col(f"_rt_start_{n}") + F.col(f"_rt_sum_{n}")).alias(n) for n in names]
+    )
+
+
 def running_totals(
     df: DataFrame, order: Sequence[str | Column], totals: dict[str, Column], partitions: int | None = None
 ) -> DataFrame:
-    """Running sums over one global order, over range partitions.
+    """Running sums over one global order; the rows are shuffled once, into sorted ranges.
 
-    The sorted parts are written once, so the part numbers hold still while the part sums (one
-    row per partition) are turned into starting values. The order is rising and has no ties.
+    Each range sums as it streams by in Arrow batches and is written with its own sums; the ranges'
+    starting values (one row per range) are joined to it. Null values count as zero. The order is
+    rising and has no ties.
     """
-    spark = df.sparkSession
-    count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = [F.col(o) if isinstance(o, str) else o for o in order]
     names = list(totals)
-    parts = df.select(
-        "*",
-        *[o.alias(f"_o{i}") for i, o in enumerate(ordered)],
-        *[c.alias(f"_v_{n}") for n, c in totals.items()],
-    )
-    order_cols = [f"_o{i}" for i in range(len(ordered))]
-    parts = materialize(
-        parts.repartitionByRange(count, *order_cols).withColumn("_p", F.spark_partition_id()),
-        "ranges",
-    )
-    sums = materialize(parts.groupBy("_p").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names]), "sums")
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
-    starts = sums.select(
-        "_p", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in names]
-    )
-    upto = W.partitionBy("_p").orderBy(*order_cols).rowsBetween(W.unboundedPreceding, W.currentRow)
-    result = parts.select("*", *[F.sum(f"_v_{n}").over(upto).alias(n) for n in names]).join(starts, "_p")
-    return result.select(
-        *df.columns, *[(F.col(f"_t_{n}") + F.col(n)).alias(n) for n in names]
-    )
+    ranges = _ranges(df, order, {f"_rt_sum_{n}": F.coalesce(c, F.lit(0)) for n, c in totals.items()}, partitions)
+    kinds = {n: "long" if ranges.schema[f"_rt_sum_{n}"].dataType.typeName() in INTEGERS else "double" for n in names}
+    ranges = ranges.select(*df.columns, *[F.col(f"_rt_sum_{n}").cast(kinds[n]).alias(f"_rt_sum_{n}") for n in names])
+    made = StructType([*ranges.schema.fields])
+    for n in names:
+        made = made.add(f"_rt_value_{n}", kinds[n])
+    made = made.add("_rt_part", "integer")
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        sums = {n: pa.scalar(0, pa.int64() if kinds[n] == "long" else pa.float64()) for n in names}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = dict(zip(batch.schema.names, batch.columns))
+            for n in names:
+                columns[f"_rt_value_{n}"] = columns[f"_rt_sum_{n}"]
+                columns[f"_rt_sum_{n}"] = pc.cumulative_sum(columns[f"_rt_value_{n}"], start=sums[n])
+                sums[n] = columns[f"_rt_sum_{n}"][-1]
+            columns["_rt_part"] = pa.repeat(pa.scalar(part, pa.int32()), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in made.names], made.names)
+
+    parts = materialize(ranges.mapInArrow(add_up, made), "ranges")
+    return _carried(parts, {n: F.sum(f"_rt_value_{n}") for n in names}, names, df.columns)
 
 
 def ordered_index(df: DataFrame, order: Sequence[str | Column], out: str, start: int = 0) -> DataFrame:
-    """Number rows from ``start`` along a rising global order that has no ties."""
-    numbered = running_totals(df, order, {"_seq": F.lit(1).cast("long")})
-    return numbered.withColumn(out, F.col("_seq") - 1 + F.lit(start).cast("long")).drop("_seq")
+    """Number rows from ``start`` along a rising global order that has no ties, with one shuffle of the rows."""
+    place = F.monotonically_increasing_id()  # the range's number and, below 2^33, the place in it
+    ranges = _ranges(df, order, {}, None).withColumn("_rt_place", place)
+    parts = materialize(
+        ranges.select(
+            *df.columns,
+            F.shiftright("_rt_place", 33).cast("int").alias("_rt_part"),
+            (F.col("_rt_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(f"_rt_sum_{out}"),
+        ),
+        "ranges",
+    )
+    numbered = _carried(parts, {out: F.max(f"_rt_sum_{out}")}, [out], df.columns)
+    return numbered.withColumn(out, F.col(out) - 1 + F.lit(start).cast("long"))
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, uses: str, values: list[str], spread: str) -> DataFrame:
@@ -148,61 +191,103 @@ def quantiles(
     probs: Sequence[float],
     in_memory_values: int = 1_000_000,
     splits: int = 1_000,
+    also: dict[str, Column] | None = None,
+    accuracy: int = 4_000,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, columns ``<col>_q<percent>``.
-
-    Groups whose size is checked to stay under ``in_memory_values`` rows use the built-in
-    aggregate. Larger ones are cut at sketched split points; only the parts that hold a wanted
-    rank are kept and cut again, until every kept part fits, and the rank is read off there.
+    """Exact quantiles with linear interpolation, columns ``<col>_q<percent>``, in one way at every size.
+
+    The first pass takes a mergeable sketch per group, beside the aggregates ``also``. Its cuts lie
+    closely around the wanted ranks. The second pass counts the rows between cuts, and counts them by
+    value where the sketch's error allows a wanted rank; the exact counts then tell where the ranks
+    are. Should a sketch be worse than its bound, all values are counted instead. Where more than
+    ``in_memory_values`` different values share the part of a rank, it is cut again, until the rank
+    can be read off. Nulls are no values; groups without any keep their row, with nulls.
     """
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= in_memory_values:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        found = df.groupBy(*keys).agg(*[F.percentile(c, wanted).alias(f"_q_{c}") for c in cols])
-        return found.select(
-            *keys,
-            *[F.col(f"_q_{c}")[i].alias(quantile_name(c, p)) for c in cols for i, p in enumerate(probs)],
-        )
-    found = _quantiles_by_parts(df, keys, list(cols), list(probs), in_memory_values, splits)
-    if not keys:
-        return found
-    # Groups without any value have no parts; they keep their row, with nulls.
-    return _null_safe_join(sizes.drop("_n"), found, keys, "left")
-
-
-def _quantiles_by_parts(
-    df: DataFrame, keys: list[str], cols: list[str], probs: list[float], limit: int, splits: int
-) -> DataFrame:
-    points = [i / splits for i in range(1, splits)]
+    keys, cols, probs, also = list(keys), list(cols), [float(p) for p in probs], also or {}
     group = [*keys, "_c"]
-    # Long form, pre-aggregated: a value repeated a billion times is one row.
-    rows = (
-        df.select(
-            *keys,
-            F.explode(
-                F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])
-            ).alias("_e"),
-        )
-        .select(*keys, F.col("_e.c").alias("_c"), F.col("_e.v").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*group, "_v")
-        .agg(F.count(F.lit(1)).alias("_w"))
+    points = sorted({min(max(p + step / accuracy, 0.0), 1.0) for p in probs for step in (-3, 0, 3)})
+    numbers = {c: F.col(c).cast("double") for c in cols}
+    summary = materialize(
+        df.groupBy(*keys).agg(
+            *[c.alias(n) for n, c in also.items()],
+            *[F.count(v).alias(f"_n_{c}") for c, v in numbers.items()],
+            *[F.percentile_approx(v, points, accuracy).alias(f"_cuts_{c}") for c, v in numbers.items()],
+        ),
+        "sketches",
     )
-    rows = materialize(rows, "values")
+    sketches = summary.select(
+        *keys,
+        F.inline(F.array(*[
+            F.struct(F.lit(c).alias("_c"), F.col(f"_n_{c}").alias("_n"), F.col(f"_cuts_{c}").alias("_cuts")) for c in cols
+        ])),
+    ).filter("_n > 0")
+    # Ranks that may lie between two neighbouring cuts, by the error of their two ranks.
+    error = F.col("_n") / accuracy + 1
+    position = [(F.col("_n") - 1) * p for p in probs]
+    near = []
+    for low, high in zip([None, *points], [*points, None]):
+        above = [F.lit(True) if low is None else F.ceil(x) >= F.col("_n") * low - error for x in position]
+        under = [F.lit(True) if high is None else F.floor(x) <= F.col("_n") * high + error for x in position]
+        near.append(reduce(or_, [a & u for a, u in zip(above, under)]))
+    values = df.select(
+        *keys, F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), v.alias("_v")) for c, v in numbers.items()]))
+    ).filter(F.col("_v").isNotNull())
     wanted = (
-        rows.groupBy(*group)
-        .agg(F.sum("_w").alias("_n"))
-        .select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        sketches.select(*group, "_n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("_q"))
         .withColumn("_pos", (F.col("_n") - 1) * F.col("_q"))
         .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+        .select(*group, "_q", "_pos", "_rank")
+    )
+    ranks = wanted.select(*group, "_rank").distinct()
+    order = W.partitionBy(*group).orderBy("_part")  # a row between two cuts
+    for flags in (near, [F.lit(True)] * len(near)):
+        marked = _null_safe_join(values, sketches.select(*group, "_cuts", F.array(*flags).alias("_flags")), group)
+        counted = (
+            marked.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).cast("long"))
+            .withColumn("_near", F.element_at("_flags", (F.col("_part") + 1).cast("int")))
+            .groupBy(*group, "_part", "_near", F.when(F.col("_near"), F.col("_v")).alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_w"))
+        )
+        counted = materialize(counted, "values")
+        ends = (
+            counted.groupBy(*group, "_part", "_near")
+            .agg(F.sum("_w").alias("_pw"))
+            .withColumn("_end", F.sum("_pw").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        )
+        start = F.col("_end") - F.col("_pw")
+        located = materialize(
+            _null_safe_join(ranks, ends, group)
+            .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= start))
+            .select(*group, "_rank", (F.col("_rank") - start).alias("_left"), "_part", "_near"),
+            "ranks",
+        )
+        if located.filter(~F.col("_near")).isEmpty():
+            break
+    located = located.drop("_near")
+    held = located.select(*group, "_part").distinct()
+    rows = materialize(
+        _null_safe_join(counted.filter("_near").select(*group, "_v", "_w", "_part"), held, [*group, "_part"]), "values"
     )
-    wanted = materialize(wanted.select(*group, "_q", "_pos", "_rank"), "ranks")
-    ranks = wanted.select(*group, "_rank").distinct().withColumn("_left", F.col("_rank"))
-    # _part numbers the nested parts; all rows of a group start in one part.
-    rows = rows.withColumn("_part", F.lit(0).cast("long"))
-    ranks = ranks.withColumn("_part", F.lit(0).cast("long"))
+    found = _read_off(rows, located, wanted, keys, cols, probs, in_memory_values, splits)
+    if not keys:
+        one = found.select(F.struct(*found.columns).alias("_q")).scalar()
+        return summary.select(*also, one.alias("_q")).select(*also, "_q.*")
+    return _null_safe_join(summary.select(*keys, *also), found, keys, "left")
+
+
+def _read_off(
+    rows: DataFrame,
+    ranks: DataFrame,
+    wanted: DataFrame,
+    keys: list[str],
+    cols: list[str],
+    probs: list[float],
+    limit: int,
+    splits: int,
+) -> DataFrame:
+    """Values at the ranks; parts with more than ``limit`` different values are cut again first."""
+    points = [i / splits for i in range(1, splits)]
+    group = [*keys, "_c"]
     part = [*group, "_part"]
     while True:
         biggest = rows.groupBy(*part).count().agg(F.max("count")).first()[0] or 0

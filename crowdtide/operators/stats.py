@@ -46,9 +46,10 @@ def daily_quantiles(
 def join_stats(
     df: DataFrame, time_col: str, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.75), **sizes: int
 ) -> DataFrame:
-    """Volume, means and quantiles per day."""
-    spread = daily_quantiles(df, time_col, cols, probs, **sizes)
-    return daily_stats(df, time_col, cols).join(spread, "day")
+    """Volume, means and quantiles per day; rows without a time belong to no day."""
+    days = df.filter(F.col(time_col).isNotNull()).select(day_of(time_col).alias("day"), *cols)
+    means = {"vol": F.count(F.lit(1)), **{f"{c}_mean": F.avg(c) for c in cols}}
+    return quantiles(days, ["day"], cols, probs, also=means, **sizes)
 
 
 def calendar_days(stats: DataFrame, day_col: str = "day") -> DataFrame:
@@ -72,25 +73,22 @@ def fill_calendar(stats: DataFrame, day_col: str = "day") -> DataFrame:
 def column_stats(df: DataFrame, cols: Sequence[str], **sizes: int) -> DataFrame:
     """One row per column: mean, sample standard deviation, quartiles and maximum."""
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    basic = numbers.agg(
-        *[a for c in cols for a in (
-            F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.max(c).alias(f"{c}_max")
-        )]
-    )
+    basic = {}
+    for c in cols:
+        basic |= {f"{c}_mean": F.avg(c), f"{c}_std": F.stddev_samp(c), f"{c}_max": F.max(c)}
     quarters = (0.25, 0.5, 0.75)
-    spread = quantiles(numbers, [], cols, quarters, **sizes)
+    found = quantiles(numbers, [], cols, quarters, also=basic, **sizes)
     parts = [
         F.struct(
             F.lit(c).alias("column"),
             F.col(f"{c}_mean").alias("mean"),
             F.col(f"{c}_std").alias("std"),
-            *[F.col("spread")[quantile_name(c, p)].alias(f"q{round(p * 100)}") for p in quarters],
+            *[F.col(quantile_name(c, p)).alias(f"q{round(p * 100)}") for p in quarters],
             F.col(f"{c}_max").alias("max"),
         )
         for c in cols
     ]
-    one = spread.select(F.struct(*spread.columns).alias("spread"))
-    return basic.withColumn("spread", one.scalar()).select(F.inline(F.array(*parts)))
+    return found.select(F.inline(F.array(*parts)))
 
 
 def stack_metrics(*tables: DataFrame) -> DataFrame:

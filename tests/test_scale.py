@@ -79,3 +79,47 @@ def test_uniform_does_not_depend_on_partitions(spark):
     assert one == two
     values = np.array(list(one.values()))
     assert values.min() >= 0 and values.max() < 1 and abs(values.mean() - 0.5) < 0.02
+
+
+def test_a_sketch_beyond_its_bound_is_made_good(spark):
+    """With a made-up accuracy the cuts lie beside the ranks; the exact counts tell."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("x"))
+    worse = df.withColumn("x", F.when(F.col("x") < 15_000, F.lit(1.0)).otherwise(F.col("x")))
+    for table, want in ((df, 9999.5), (worse, 1.0)):
+        got = S.quantiles(table, [], ["x"], [0.5, 0.9], accuracy=50, in_memory_values=100, splits=7).first()
+        assert got["x_q50"] == want and got["x_q90"] == pytest.approx(17_999.1)
+
+
+def test_quantiles_of_nothing_and_aggregates_beside_them(spark):
+    empty = spark.createDataFrame([], "k string, x double")
+    got = S.quantiles(empty, [], ["x"], [0.5], also={"n": F.count(F.lit(1))}).collect()
+    assert [tuple(r) for r in got] == [(0, None)]
+    assert S.quantiles(empty, ["k"], ["x"], [0.5]).count() == 0
+    some = spark.createDataFrame([(None, 1.0), (None, 4.0), ("a", None)], "k string, x double")
+    got = S.quantiles(some, ["k"], ["x"], [0.5], also={"n": F.count(F.lit(1))}).collect()
+    assert {tuple(r) for r in got} == {(None, 2, 2.5), ("a", 1, None)}
+
+
+def test_running_sums_shuffle_the_rows_once(spark, monkeypatch):
+    """Falling sums, nulls and extra columns; the written ranges come from one exchange."""
+    plans = []
+    whole = S.materialize
+
+    def noted(df, label="step"):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return whole(df, label)
+
+    monkeypatch.setattr(S, "materialize", noted)
+    df = spark.range(300).select(
+        F.concat(F.lit("k"), F.lpad(F.col("id"), 4, "0")).alias("t"),
+        F.when(F.col("id") % 7 != 0, F.col("id") % 5 - 3).alias("_p"),
+        (F.col("id") / 8).alias("half"),
+    )
+    got = S.running_totals(df, ["t"], {"s": F.col("_p"), "h": F.col("half")}, partitions=9).orderBy("t").collect()
+    rows = df.orderBy("t").collect()
+    assert [r["s"] for r in got] == list(np.cumsum([r["_p"] or 0 for r in rows]))
+    assert [r["h"] for r in got] == pytest.approx(list(np.cumsum([r["half"] for r in rows])))
+    assert [r["i"] for r in S.ordered_index(df, ["t"], "i").orderBy("t").collect()] == list(range(300))
+    ranges = [p for label, p in plans if label == "ranges"]
+    assert len(ranges) == 2 and all(p.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in p for p in ranges)
+    assert S.running_totals(df.limit(0), ["t"], {"s": F.col("_p")}).count() == 0
