@@ -1,14 +1,14 @@
-"""Interpolated modified Kneser-Ney bigrams in sorted hash arrays.
+"""Interpolated modified Kneser-Ney n-grams of any order from two in sorted hash arrays.
 
-Counting is one Spark job with two shuffles. Tasks hash the words of whole texts, sum the bigrams of
-some million tokens at a time and send them to shards; a shard sums them and writes its bigrams as
-a sorted array of hashes beside an array of counts. What the shard knows of its words (total and
-number of followers by count of a word as context, number of predecessors and count of a word as a
-follower) goes to the word shards, which write sorted arrays too. All arrays lie in the shared
-folder. Scoring tasks map them into memory and look up sorted batches of hashes, so a task needs
-memory for its batch only, however large the model is.
+Tasks hash the words of whole texts, sum the n-grams of some million tokens at a time and send them to
+shards as codes into a small dictionary. A shard sums its n-grams and writes them as a sorted array of
+hashes beside an array of counts. For the order below it sends on the n-grams' ends (how often, and after
+how many different words) and their contexts (how often, and before how many words seen once, twice or
+more), whose shards do the same, down to the words. All arrays lie in the shared folder. Scoring tasks map
+them into memory and look up sorted batches of hashes, so a task needs memory for its batch only,
+however large the model is. A file that is missing or cut short is an error.
 
-Shards form a grid over context and follower, so a very common word spreads over a row or column
+Shards form a grid over context and last word, so a very common word spreads over a row or column
 of them, and a rare one meets few.
 """
 
@@ -44,8 +44,8 @@ def _hash_memo() -> frames.Memo:
     return frames.Memo(xxhash.xxh64_intdigest, 400_000)
 
 
-def token_hashes(texts: list[bytes], known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and tokens of all texts in one row, and every text's number of tokens."""
+def token_hashes(texts: list[bytes], known, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-gram that ends at every token, as one row of tokens per place, and every text's number of tokens."""
     lists = [words_of(t) for t in texts]
     sizes = np.array([len(w) + 1 for w in lists], np.int64)
     tokens = np.empty(int(sizes.sum()), _U8)
@@ -54,10 +54,14 @@ def token_hashes(texts: list[bytes], known) -> tuple[np.ndarray, np.ndarray, np.
     inner[ends] = False
     tokens[inner] = np.fromiter((known[w] for words in lists for w in words), np.uint64, int(inner.sum()))
     tokens[ends] = END
-    contexts = np.empty_like(tokens)
-    contexts[1:] = tokens[:-1]
-    contexts[ends - sizes + 1] = START
-    return contexts, tokens, sizes
+    place = np.arange(len(tokens)) - np.repeat(ends - sizes + 1, sizes)
+    grams = [tokens]
+    for back in range(1, order):
+        before = np.full(len(tokens), START, _U8)
+        before[back:] = tokens[:-back]
+        before[place < back] = START
+        grams.insert(0, before)
+    return grams, sizes
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -69,17 +73,36 @@ def bigram_hashes(contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(contexts) + tokens * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order, the place of one of each, and the values' sums."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, int)
-    return ordered[first], order[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+def gram_hashes(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the first word, of the first two, and so on to the whole n-grams."""
+    found = [words[0]]
+    for word in words[1:]:
+        found.append(bigram_hashes(found[-1], word))
+    return found
+
+
+def _folded(codes: np.ndarray, size: int) -> np.ndarray:
+    """One number per column of codes below ``size``, in the order of the columns."""
+    bits = np.uint64(max(1, int(size - 1).bit_length()))
+    key = codes[0].astype(np.uint64)
+    for row in codes[1:]:
+        if len(key) and int(key.max()).bit_length() + int(bits) > 63:
+            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        key = (key << bits) | row.astype(np.uint64)
+    return key
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, int)
+
+
+def _added(values: list[np.ndarray], firsts: np.ndarray) -> list[np.ndarray]:
+    return [np.add.reduceat(v, firsts) if len(firsts) else v[:0] for v in values]
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Shards of bigrams by context and follower, and of words."""
+    """Shards of n-grams by context and last word, and of words."""
 
     rows: int
     columns: int
@@ -89,6 +112,12 @@ class Grid:
         row = _mixed(contexts) % np.uint64(self.rows)
         return (row * np.uint64(self.columns) + _mixed(tokens) % np.uint64(self.columns)).astype(np.int64)
 
+    def of(self, words: list[np.ndarray], hashes: list[np.ndarray]) -> np.ndarray:
+        return self.shard(hashes[-2], words[-1]) if len(words) > 1 else self.word_shard(words[0])
+
+    def shards(self, level: int) -> int:
+        return self.rows * self.columns if level > 1 else self.words
+
     def word_shard(self, words: np.ndarray) -> np.ndarray:
         return ((words >> np.uint64(32)) * np.uint64(self.words) >> np.uint64(32)).astype(np.int64)
 
@@ -101,9 +130,9 @@ def _write(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(part, path)
 
 
-def _mapped(folder: str, name: str, kind) -> np.ndarray:
-    path = f"{folder}/{name}"
-    return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+def _mapped(path: str, kind) -> np.ndarray:
+    """A written array; one that is not there raises an error."""
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
 def mounted(folder: str) -> str:
@@ -114,57 +143,62 @@ def mounted(folder: str) -> str:
     return url.path
 
 
-WORD_COLUMNS = ("count", "before", "total", "n1", "n2", "n3")
+#: Of an n-gram below the highest order: how often it ends one of the order above, after how many different
+#: words, how often it is a context, and before how many words seen once, twice and more often.
+COLUMNS = ("count", "before", "total", "n1", "n2", "n3")
+
 
+def _store(folder: str, level: int, shard: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
+    """Write sorted hashes, their values in a byte each, and the places and values that need more."""
+    flat = np.stack(values, 1).ravel()
+    large = np.flatnonzero(flat >= 255)
+    _write(folder, f"{level}-{shard}.keys", keys)
+    _write(folder, f"{level}-{shard}.values", np.minimum(flat, 255).astype(np.uint8))
+    _write(folder, f"{level}-{shard}.large", np.stack([large, flat[large]], 1).astype(_U8))
 
-@lru_cache(maxsize=2)
-def _words(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = _mapped(folder, f"words-{shard}.keys", _U8)
-    return keys, _mapped(folder, f"words-{shard}.values", _U8).reshape(-1, len(WORD_COLUMNS))
+
+@lru_cache(maxsize=256)
+def _stored(folder: str, level: int, shard: int, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    path = f"{folder}/{level}-{shard}"
+    keys, values = _mapped(f"{path}.keys", _U8), _mapped(f"{path}.values", np.uint8)
+    if len(values) != len(keys) * columns:
+        raise OSError(f"{path}: {len(keys)} hashes but {len(values)} values")
+    return keys, values.reshape(-1, columns), _mapped(f"{path}.large", _U8).reshape(-1, 2)
 
 
 @dataclass
 class Model:
-    """Where the arrays lie, the corpus totals and the discounts for counts 1, 2 and more."""
+    """Where the arrays lie, the corpus totals and each order's discounts for counts 1, 2 and more."""
 
     folder: str
     grid: Grid
+    order: int
     tokens: int = 0
     types: int = 0
     bigrams: int = 0
-    high: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    low: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    rest: float = 1.0  # mass that continuation discounts free for unseen words
-
-    def words(self, hashes: np.ndarray) -> np.ndarray:
-        """Statistics of sorted distinct words, one row each; zeros for unknown ones."""
-        found = np.zeros((len(hashes), len(WORD_COLUMNS)), np.int64)
-        shards = self.grid.word_shard(hashes)
-        for s in np.unique(shards):
-            here = np.flatnonzero(shards == s)
-            keys, values = _words(self.folder, int(s))
-            at, hit = _places(keys, hashes[here])
-            found[here[hit]] = values[at[hit]]
-        return found
-
-    def counts(self, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Training counts of bigrams."""
-        found = np.zeros(len(tokens), np.int64)
-        shards = self.grid.shard(contexts, tokens)
-        keys = bigram_hashes(contexts, tokens)
-        order = np.lexsort((keys, shards))
-        edges = np.searchsorted(shards[order], np.arange(self.grid.rows * self.grid.columns + 1))
+    discounts: list[np.ndarray] = field(default_factory=list)
+    rest: float = 1.0  # mass that the discounts of words free for unseen ones
+
+    def find(self, words: list[np.ndarray]) -> np.ndarray:
+        """Stored values of n-grams, one row each; zeros for unknown ones."""
+        level, columns = len(words), 1 if len(words) == self.order else len(COLUMNS)
+        hashes = gram_hashes(words)
+        keys, first, inverse = np.unique(hashes[-1], return_index=True, return_inverse=True)
+        shards = self.grid.of([w[first] for w in words], [h[first] for h in hashes])
+        found = np.zeros((len(keys), columns), np.int64)
+        order = np.argsort(shards, kind="stable")
+        edges = np.searchsorted(shards[order], np.arange(self.grid.shards(level) + 1))
         for s in np.flatnonzero(np.diff(edges)):
             here = order[edges[s] : edges[s + 1]]
-            own = _mapped(self.folder, f"bigrams-{s}.keys", _U8)
+            own, values, large = _stored(self.folder, level, int(s), columns)
             at, hit = _places(own, keys[here])
-            small = _mapped(self.folder, f"bigrams-{s}.counts", np.uint8)[at[hit]].astype(np.int64)
-            large = small == 255
-            if large.any():
-                where = _mapped(self.folder, f"bigrams-{s}.large", _U8).reshape(-1, 2)
-                small[large] = where[np.searchsorted(where[:, 0], at[hit][large]), 1]
+            small = values[at[hit]].astype(np.int64)
+            row, column = np.nonzero(small == 255)
+            if len(row):
+                place = np.searchsorted(large[:, 0], (at[hit][row] * columns + column).astype(np.uint64))
+                small[row, column] = large[place, 1]
             found[here[hit]] = small
-        return found
+        return found[inverse]
 
 
 def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,120 +225,154 @@ def discounts(n: list[int]) -> np.ndarray:
 
 # --- counting -----------------------------------------------------------------------------
 
-_SHARD_ROWS = "shard int, u binary, v binary, c binary"
-_WORD_ROWS = "shard int, w binary, s binary"
-_TOTAL_ROWS = (
-    "tokens long, types long, bigrams long, n1 long, n2 long, n3 long, n4 long, t1 long, t2 long, t3 long, t4 long"
-)
-
-
-def _arrow(rows: list[dict], names: list[str], first: pa.DataType = pa.int32()) -> pa.RecordBatch:
-    kinds = [first] + [pa.binary()] * (len(names) - 1)
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip(names, kinds))))
-
-
-def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(column)] or [np.zeros(0, kind)])
-
-
-def _count(grid: Grid):
-    """Per task: bigrams of some million tokens, summed, sent to their shards ordered by context."""
-
-    def flush(contexts: list, tokens: list) -> Iterator[pa.RecordBatch]:
-        u, v = np.concatenate(contexts), np.concatenate(tokens)
-        _, first, (c,) = _sums(bigram_hashes(u, v), np.ones(len(u), np.int64))
-        u, v = u[first], v[first]
-        shards = grid.shard(u, v)
-        order = np.lexsort((u, shards))
-        edges = np.searchsorted(shards[order], np.arange(grid.rows * grid.columns + 1))
-        for s in np.flatnonzero(np.diff(edges)):
-            part = order[edges[s] : edges[s + 1]]
-            yield _arrow([{
-                "shard": int(s), "u": u[part].tobytes(), "v": v[part].tobytes(), "c": c[part].astype(_U4).tobytes(),
-            }], ["shard", "u", "v", "c"])
+#: n n-grams of a shard: a dictionary of hashes, the words as codes into it, and columns of values from ``at``.
+_ROWS = "shard int, n int, at int, words binary, codes binary, values binary"
+_ROW_SCHEMA = pa.schema([
+    ("shard", pa.int32()), ("n", pa.int32()), ("at", pa.int32()),
+    ("words", pa.binary()), ("codes", pa.binary()), ("values", pa.binary()),
+])
+
+
+def _least(values: np.ndarray) -> np.ndarray:
+    """The values in the narrowest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))).newbyteorder("<"))
+
+
+def _code_type(words: int):
+    return np.dtype("<u2") if words <= 1 << 16 else _U4
+
+
+def _sent(shards: np.ndarray, words: np.ndarray, codes: np.ndarray, values: list[np.ndarray], at: int) -> Iterator[dict]:
+    """Rows of n-grams for their shards, with the words that each shard's part needs."""
+    order = np.argsort(shards, kind="stable")
+    cuts = _firsts(shards[order])
+    for begin, end in zip(cuts, [*cuts[1:], len(order)]):
+        part = order[begin:end]
+        used, local = np.unique(codes[:, part], return_inverse=True)
+        yield {
+            "shard": int(shards[part[0]]), "n": len(part), "at": at, "words": words[used].astype(_U8).tobytes(),
+            "codes": local.astype(_code_type(len(used))).tobytes(),
+            "values": _least(np.stack([v[part] for v in values])).tobytes(),
+        }
+
+
+def _total_row(totals: np.ndarray) -> dict:
+    return {"shard": -1, "n": 0, "at": 0, "words": b"", "codes": b"", "values": totals.astype(_U8).tobytes()}
+
+
+def _received(table: pa.Table, level: int, columns: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All words of a shard in order, and its n-grams as codes with their values."""
+    rows = [r for r in table.to_batches() for r in zip(*[c for c in r.columns[1:]])]
+    rows = [(n.as_py(), at.as_py(), *[np.frombuffer(x.as_buffer(), np.uint8) for x in rest]) for n, at, *rest in rows]
+    rows = [r for r in rows if r[0]]
+    words = np.unique(np.concatenate([r[2].view(_U8) for r in rows] or [np.zeros(0, _U8)]))
+    size = sum(r[0] for r in rows)
+    codes = np.empty((level, size), np.uint32)
+    values = [np.zeros(size, np.int64) for _ in range(columns)]
+    begin = 0
+    for n, at, own, local, numbers in rows:
+        own = own.view(_U8)
+        part = slice(begin, begin + n)
+        codes[:, part] = np.searchsorted(words, own)[local.view(_code_type(len(own))).reshape(level, n)]
+        count = 1 if columns == 1 else (2 if at == 0 else 4)
+        for c, v in enumerate(numbers.view(f"<u{len(numbers) // (n * count)}").reshape(count, n)):
+            values[at + c][part] = v
+        begin += n
+    return words, codes, values
+
+
+def _count(grid: Grid, order: int):
+    """Per task: n-grams of some million tokens, summed, sent to their shards."""
+
+    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        words, codes = np.unique(np.concatenate([np.concatenate(row) for row in zip(*held)]), return_inverse=True)
+        codes = codes.reshape(order, -1)
+        key = _folded(codes, len(words))
+        by_key = np.argsort(key, kind="stable")
+        firsts = _firsts(key[by_key])
+        counts = np.diff(np.append(firsts, len(key)))
+        codes = codes[:, by_key[firsts]].astype(np.uint32)
+        grams = [words[c] for c in codes]
+        for row in _sent(grid.of(grams, gram_hashes(grams)), words, codes, [counts], 0):
+            yield pa.RecordBatch.from_pylist([row], schema=_ROW_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, contexts, tokens, held = _hash_memo(), [], [], 0
+        known, held, size = _hash_memo(), [], 0
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
-                u, v, _ = token_hashes(frames.byte_texts(whole.column("text").slice(begin, 1000)), known)
-                for at in range(0, len(u), FLUSH):
-                    contexts.append(u[at : at + FLUSH])
-                    tokens.append(v[at : at + FLUSH])
-                    held += len(contexts[-1])
-                    if held >= FLUSH:
-                        yield from flush(contexts, tokens)
-                        contexts, tokens, held = [], [], 0
+                grams, _ = token_hashes(frames.byte_texts(whole.column("text").slice(begin, 1000)), known, order)
+                for at in range(0, len(grams[-1]), FLUSH):
+                    held.append([g[at : at + FLUSH] for g in grams])
+                    size += len(held[-1][-1])
+                    if size >= FLUSH:
+                        yield from flush(held)
+                        held, size = [], 0
         if held:
-            yield from flush(contexts, tokens)
+            yield from flush(held)
 
     return run
 
 
-def _store_bigrams(folder: str, grid: Grid):
-    """Per shard: write the sorted bigrams; send words' statistics and counts of counts on."""
+def _totals_of(table: pa.Table) -> np.ndarray:
+    return np.sum([np.frombuffer(x.as_buffer(), _U8) for x in table.column("values") if len(x.as_buffer())], 0)
 
-    def run(key, table):
-        shard = key[0].as_py()
-        u, v, c = _joined(table, "u", _U8), _joined(table, "v", _U8), _joined(table, "c", _U4).astype(np.int64)
-        keys, first, (c,) = _sums(bigram_hashes(u, v), c)
-        u, v = u[first], v[first]
-        large = np.flatnonzero(c >= 255)
-        _write(folder, f"bigrams-{shard}.keys", keys)
-        _write(folder, f"bigrams-{shard}.counts", np.minimum(c, 255).astype(np.uint8))
-        _write(folder, f"bigrams-{shard}.large", np.stack([large, c[large]], 1).astype(_U8))
-        context, _, as_context = _sums(u, c, *_classes(c))
-        follower, _, as_follower = _sums(v, c, np.ones(len(c), np.int64))
-        rows = []
-        for words, columns, places in ((context, as_context, (2, 3, 4, 5)), (follower, as_follower, (0, 1))):
-            values = np.zeros((len(words), len(WORD_COLUMNS)), _U4 if c.sum() < 1 << 32 else _U8)
-            for p, x in zip(places, columns):
-                values[:, p] = x
-            edges = np.searchsorted(grid.word_shard(words), np.arange(grid.words + 1))
-            for s in np.flatnonzero(np.diff(edges)):
-                part = slice(edges[s], edges[s + 1])
-                wide = values[part]
-                rows.append({"shard": int(s), "w": words[part].tobytes(), "s": wide.tobytes()})
-        counts = np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(_U8)
-        rows.append({"shard": -1, "w": b"", "s": counts.tobytes()})
-        return pa.Table.from_batches([_arrow(rows, ["shard", "w", "s"])])
 
-    return run
+def _sum_totals(key, table):
+    return pa.Table.from_pylist([_total_row(_totals_of(table))], schema=_ROW_SCHEMA)
+
 
+def _stored_level(folder: str, grid: Grid, level: int, order: int):
+    """Per shard of an order: sum and write the n-grams; send ends and contexts to the order below.
 
-def _store_words(folder: str):
-    """Per word shard: write the sorted words; return corpus totals. Shard -1 sums counts of counts."""
+    Shard -1 adds up how many n-grams of each order occur once to four times, and the numbers of
+    tokens, words and pairs of neighbours.
+    """
 
     def run(key, table):
         shard = key[0].as_py()
-        names = [c.split()[0] for c in _TOTAL_ROWS.split(", ")]
-        total = dict.fromkeys(names, 0)
         if shard < 0:
-            n = _joined(table, "s", _U8).reshape(-1, 4).sum(0)
-            total |= {f"n{k + 1}": int(n[k]) for k in range(4)}
+            return _sum_totals(key, table)
+        words, codes, values = _received(table, level, 1 if level == order else len(COLUMNS))
+        folded = _folded(codes, len(words))
+        by_key = np.argsort(folded, kind="stable")
+        firsts = _firsts(folded[by_key])
+        values = _added([v[by_key] for v in values], firsts)
+        codes = codes[:, by_key[firsts]]
+        grams = [words[c] for c in codes]
+        hashes = gram_hashes(grams)[-1]
+        by_hash = np.argsort(hashes)
+        _store(folder, level, shard, hashes[by_hash], [v[by_hash] for v in values])
+        often = values[0] if level == order else values[1]
+        totals = np.zeros(4 * order + 3, np.int64)
+        totals[4 * level - 4 : 4 * level] = np.bincount(np.minimum(often, 5), minlength=6)[1:5]
+        rows = []
+        if level == 1:
+            totals[-3:] = values[0].sum(), (values[0] > 0).sum(), often.sum()
         else:
-            words, values = [], []
-            for w, s in zip(table.column("w"), table.column("s")):
-                words.append(np.frombuffer(w.as_buffer(), _U8))
-                wide = _U4 if len(s.as_buffer()) == len(words[-1]) * 4 * len(WORD_COLUMNS) else _U8
-                values.append(np.frombuffer(s.as_buffer(), wide).reshape(-1, len(WORD_COLUMNS)))
-            keys, _, sums = _sums(np.concatenate(words), *np.concatenate(values).astype(np.int64).T)
-            _write(folder, f"words-{shard}.keys", keys)
-            _write(folder, f"words-{shard}.values", np.stack(sums, 1).astype(_U8))
-            before = np.bincount(np.minimum(sums[1], 5), minlength=6)
-            total |= {"tokens": int(sums[0].sum()), "types": int((sums[0] > 0).sum()), "bigrams": int(sums[1].sum())}
-            total |= {f"t{k}": int(before[k]) for k in (1, 2, 3, 4)}
-        return pa.Table.from_pylist([total], schema=pa.schema([(n, pa.int64()) for n in names]))
+            live = often > 0
+            codes, often, count = codes[:, live], often[live], values[0][live]
+            context = _firsts(_folded(codes[:-1], len(words)))  # lie together in the order of the n-grams
+            seen = _added([often, *_classes(often)], context)
+            end = _folded(codes[1:], len(words))
+            by_end = np.argsort(end, kind="stable")
+            ends = _firsts(end[by_end])
+            ending = _added([count[by_end], np.ones(len(by_end), np.int64)], ends)
+            for part, sums, at in ((codes[:-1, context], seen, 2), (codes[1:, by_end[ends]], ending, 0)):
+                lower = [words[c] for c in part]
+                rows += _sent(grid.of(lower, gram_hashes(lower)), words, part, sums, at)
+        return pa.Table.from_pylist([*rows, _total_row(totals)], schema=_ROW_SCHEMA)
 
     return run
 
 
-def train(docs: DataFrame) -> Model:
-    """Count all texts of ``docs`` and store the model in the shared folder.
+def train(docs: DataFrame, order: int = 3) -> Model:
+    """Count all texts of ``docs`` and store the model of an order of at least two in the shared folder.
 
     Null texts count as empty ones, which have an end token only. Without rows every text gets
-    the uniform probability of an unknown word.
+    the uniform probability of an unknown word. Repeated rows count as often as they occur.
     """
+    if order < 2:
+        raise ValueError("the order is at least two")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
@@ -312,16 +380,21 @@ def train(docs: DataFrame) -> Model:
     side = max(1, round(shards**0.5))
     grid = Grid(side, -(-shards // side), max(1, -(-shards // 4)))
     folder = mounted(new_folder(spark, "kneser-ney"))
-    counted = texts.mapInArrow(_count(grid), _SHARD_ROWS)
-    words = counted.groupBy("shard").applyInArrow(_store_bigrams(folder, grid), _WORD_ROWS)
-    totals = words.groupBy("shard").applyInArrow(_store_words(folder), _TOTAL_ROWS)
-    sums = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals.columns]).first()
-    model = Model(folder, grid, sums["tokens"], sums["types"], sums["bigrams"])
+    rows = texts.mapInArrow(_count(grid, order), _ROWS)
+    none = F.lit(b"").cast("binary")
+    for level in range(order, 0, -1):
+        # Every shard gets a row, so that each writes its files, and one that is missing is an error.
+        every = spark.range(grid.shards(level)).select(
+            F.col("id").cast("int").alias("shard"), F.lit(0).alias("n"), F.lit(0).alias("at"),
+            none.alias("words"), none.alias("codes"), none.alias("values"),
+        )
+        rows = rows.union(every).groupBy("shard").applyInArrow(_stored_level(folder, grid, level, order), _ROWS)
+    found = np.frombuffer(rows.groupBy("shard").applyInArrow(_sum_totals, _ROWS).first()["values"], _U8)
+    counts = found[: 4 * order].reshape(order, 4).tolist()
+    model = Model(folder, grid, order, *[int(x) for x in found[-3:]], [discounts(n) for n in counts])
     if model.tokens:
-        t = [sums[f"t{k}"] for k in (1, 2, 3, 4)]
-        model.high = discounts([sums[f"n{k}"] for k in (1, 2, 3, 4)])
-        model.low = discounts(t)
-        model.rest = float(model.low @ [t[0], t[1], model.types - t[0] - t[1]]) / model.bigrams
+        once, twice = counts[0][:2]
+        model.rest = float(model.discounts[0] @ [once, twice, model.types - once - twice]) / model.bigrams
     return model
 
 
@@ -332,36 +405,51 @@ def _discounted(counts: np.ndarray, discount: np.ndarray) -> np.ndarray:
     return np.maximum(counts - np.concatenate([[0.0], discount])[np.minimum(counts, 3)], 0.0)
 
 
-def probabilities(model: Model, contexts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kneser-Ney probability and training count of every token after its context."""
-    both, inverse = np.unique(np.concatenate([contexts, tokens]), return_inverse=True)
-    stats = model.words(both)
-    context, token = stats[inverse[: len(contexts)]], stats[inverse[len(contexts) :]]
-    low = model.rest / (model.types + 1)
+def probabilities(model: Model, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Kneser-Ney probability and training count of the last word of every n-gram after its context."""
+    words = model.find(grams[-1:])
+    count, p = words[:, 0], np.full(len(words), model.rest / (model.types + 1))
     if model.bigrams:
-        low = low + _discounted(token[:, 1], model.low) / model.bigrams
-    seen = np.flatnonzero((context[:, 2] > 0) & (token[:, 0] > 0))
-    counts = np.zeros(len(tokens), np.int64)
-    counts[seen] = model.counts(contexts[seen], tokens[seen])
-    total = np.maximum(context[:, 2], 1)
-    backoff = (context[:, 3:6] @ model.high) / total
-    high = _discounted(counts, model.high) / total + backoff * low
-    return np.where(context[:, 2] > 0, high, low), token[:, 0]
+        p += _discounted(words[:, 1], model.discounts[0]) / model.bigrams
+    stats = words
+    for level in range(2, model.order + 1):
+        whole, context = grams[-level:], grams[-level:-1]
+        # The context is mostly the n-gram of the order below that ends one token before.
+        known = np.zeros(len(p), bool)
+        known[1:] = gram_hashes(context)[-1][1:] == gram_hashes(grams[1 - level :])[-1][:-1]
+        seen = np.empty_like(stats)
+        seen[1:] = stats[:-1]
+        seen[~known] = model.find([c[~known] for c in context])
+        if level < model.order:
+            stats = model.find(whole)
+            often = stats[:, 1]
+        else:
+            often = np.zeros(len(p), np.int64)
+            at = np.flatnonzero((seen[:, 2] > 0) & (count > 0))
+            often[at] = model.find([w[at] for w in whole])[:, 0]
+        total = np.maximum(seen[:, 2], 1)
+        discount = model.discounts[level - 1]
+        high = _discounted(often, discount) / total + (seen[:, 3:6] @ discount) / total * p
+        p = np.where(seen[:, 2] > 0, high, p)
+    return p, count
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    """The kept columns with n_tokens, n_known, base_score, score (log10) and perplexity of whole texts."""
+    """The kept columns with n_tokens, n_known, base_score, score (log10) and perplexity of whole texts.
+
+    Null texts are empty ones; repeated rows are scored each.
+    """
 
     class Work:
         def __init__(self):
             self.known = _hash_memo()
 
         def __call__(self, batch: pa.RecordBatch) -> dict:
-            contexts, tokens, sizes = token_hashes(frames.byte_texts(batch.column("text")), self.known)
-            columns = [np.empty(len(tokens)) for _ in range(3)]
-            for begin in range(0, len(tokens), FLUSH):
+            grams, sizes = token_hashes(frames.byte_texts(batch.column("text")), self.known, model.order)
+            columns = [np.empty(len(grams[-1])) for _ in range(3)]
+            for begin in range(0, len(grams[-1]), FLUSH):
                 part = slice(begin, begin + FLUSH)
-                p, count = probabilities(model, contexts[part], tokens[part])
+                p, count = probabilities(model, [g[part] for g in grams])
                 columns[0][part] = np.log10(p)
                 columns[1][part] = np.log10((count + 1) / (model.tokens + model.types + 1))
                 columns[2][part] = count > 0

@@ -247,12 +247,15 @@ def test_packing_keeps_every_id_once(spark, docs_of, saved, monkeypatch):
 # --- Kneser-Ney ---------------------------------------------------------------------------
 
 
-def plain_model(texts):
-    """Interpolated modified Kneser-Ney with plain dictionaries; returns p(token | context)."""
-    pairs = Counter()
-    for t in texts:
-        tokens = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + ["end"]
-        pairs.update(zip(["start", *tokens], tokens))
+def plain_model(texts, order=2):
+    """Modified Kneser-Ney in dictionaries: probability of an n-gram's last word, and the tokens' counts."""
+    grams = [Counter() for _ in range(order + 1)]
+    for text in texts:
+        tokens = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()) + ["end"]
+        padded = ["start"] * (order - 1) + tokens
+        grams[order].update(tuple(padded[i : i + order]) for i in range(len(tokens)))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
 
     def cuts(counts):
         n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
@@ -260,68 +263,102 @@ def plain_model(texts):
         d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] and y else 0.5 for k in (1, 2, 3)]
         return [0.0, *(min(max(x, 0.0), k) for k, x in enumerate(d, 1))]
 
-    before = Counter(v for _, v in pairs)
-    high, low = cuts(pairs.values()), cuts(before.values())
-    free = sum(low[min(c, 3)] for c in before.values()) / len(pairs)
+    cut = [None, *(cuts(g.values()) for g in grams[1:])]
+    pairs = sum(grams[1].values())
+    free = sum(cut[1][min(c, 3)] for c in grams[1].values()) / pairs
     followers = {}
-    for (u, v), c in pairs.items():
-        followers.setdefault(u, {})[v] = c
-
-    def p(u, v):
-        base = max(before[v] - low[min(before[v], 3)], 0) / len(pairs) + free / (len(before) + 1)
-        if u not in followers:
-            return base
-        own, total = followers[u], sum(followers[u].values())
-        c = own.get(v, 0)
-        return max(c - high[min(c, 3)], 0) / total + sum(high[min(x, 3)] for x in own.values()) / total * base
+    for level in grams[2:]:
+        for gram, c in level.items():
+            followers.setdefault(gram[:-1], []).append(c)
+
+    def p(gram):
+        d, c = cut[len(gram)], grams[len(gram)][gram]
+        if len(gram) == 1:
+            return max(c - d[min(c, 3)], 0) / pairs + free / (len(grams[1]) + 1)
+        own = followers.get(gram[:-1])
+        if own is None:
+            return p(gram[1:])
+        return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in own) * p(gram[1:])) / sum(own)
 
     tokens = Counter()
-    for (_, v), c in pairs.items():
-        tokens[v] += c
+    for gram, c in grams[order].items():
+        tokens[gram[-1]] += c
     return p, tokens
 
 
 CORPUS = ["the cat sat on the mat", "The dog sat on the log", "a cat and a dog", "", None, "the the the the", "on the mat the cat sat", "x"]
 
 
-def test_scores_equal_a_plain_model(spark, docs_of, saved, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "TOKENS_PER_SHARD", 12)
-    rows = [(i, CORPUS[i % len(CORPUS)] if i % 5 else f"{CORPUS[i % 3]} word{i}") for i in range(60)] + [(None, "the cat")]
-    held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    p, tokens = plain_model([t for i, t in rows if not held[i]])
-    total, types = sum(tokens.values()), len(tokens)
-    got = kneser_ney.op6_kneser_ney(spark, saved(documents=docs_of(rows, ("shard", "score")))).collect()
+def check_scores(got, rows, held, order):
+    p, tokens = plain_model([t for i, t in rows if not held[i]], order)
+    total, types, texts = sum(tokens.values()), len(tokens), dict(rows)
     assert len(got) == len(rows)
-    texts = dict(rows)
     for r in got:
         own = re.findall(rb"[^\x20\x09-\x0D]+", (texts[r["doc_id"]] or "").encode().lower()) + ["end"]
-        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(own), total)
-        assert r["n_known"] == sum(t in tokens for t in own)
+        padded = ["start"] * (order - 1) + own
+        assert r["n_tokens"] == len(own) and r["n_known"] == sum(t in tokens for t in own)
         assert np.isclose(r["base_score"], sum(np.log10((tokens[t] + 1) / (total + types + 1)) for t in own), atol=1e-9)
-        assert np.isclose(r["score"], sum(np.log10(p(u, v)) for u, v in zip(["start", *own], own)), atol=1e-9)
+        want = sum(np.log10(p(tuple(padded[i : i + order]))) for i in range(len(own)))
+        assert np.isclose(r["score"], want, atol=1e-9)
+    return total
+
+
+ROWS = [(i, CORPUS[i % len(CORPUS)] if i % 5 else f"{CORPUS[i % 3]} word{i}") for i in range(60)] + [(None, "the cat")]
+HELD = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in ROWS}
+
+
+def test_scores_equal_a_plain_model(spark, docs_of, saved, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TOKENS_PER_SHARD", 12)
+    got = kneser_ney.op6_kneser_ney(spark, saved(documents=docs_of(ROWS, ("shard", "score")))).collect()
+    total = check_scores(got, ROWS, HELD, 3)
+    assert all((r["held_out"], r["train_tokens"]) == (HELD[r["doc_id"]], total) for r in got)
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_other_orders_and_small_batches(spark, docs_of, monkeypatch, order):
+    monkeypatch.setattr(kneser_ney, "TOKENS_PER_SHARD", 60)
+    monkeypatch.setattr(kneser_ney, "FLUSH", 17)
+    docs = docs_of(ROWS)
+    model = kneser_ney.train(docs.filter(docs.doc_id.isin([i for i in HELD if i is not None and not HELD[i]])), order)
+    rows = ROWS[:-1]
+    check_scores(kneser_ney.score(docs.filter("doc_id is not null"), model, ("doc_id",)).collect(), rows, HELD, order)
 
 
 def test_probabilities_sum_to_one(spark, docs_of):
     rows = list(enumerate(CORPUS * 3))
     model = kneser_ney.train(docs_of(rows))
-    p, tokens = plain_model([t for _, t in rows])
+    _, tokens = plain_model([t for _, t in rows])
     words = [xxhash.xxh64_intdigest(w) for w in tokens if w != "end"]
     every = np.array([*words, int(kneser_ney.END), 12345], np.uint64)
-    for context in (xxhash.xxh64_intdigest(b"the"), int(kneser_ney.START), 999):
-        found, _ = kneser_ney.probabilities(model, np.full(len(every), context, np.uint64), every)
+    the, start = xxhash.xxh64_intdigest(b"the"), int(kneser_ney.START)
+    for context in ((the, the), (start, start), (start, the), (999, the), (the, 999), (999, 999)):
+        found, _ = kneser_ney.probabilities(model, [*(np.full(len(every), c, np.uint64) for c in context), every])
         assert np.isclose(found.sum(), 1.0) and (found > 0).all()
 
 
 def test_counts_above_a_byte_and_empty_tables(spark, docs_of, saved):
-    model = kneser_ney.train(docs_of([(1, "a b " * 500)]))
+    model = kneser_ney.train(docs_of([(1, "a b " * 500)]), 2)
     a, b = (np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in (b"a", b"b"))
-    assert model.counts(a, b)[0] == 500 and model.counts(b, a)[0] == 499 and model.tokens == 1001
+    assert model.find([a, b])[0, 0] == 500 and model.find([b, a])[0, 0] == 499 and model.tokens == 1001
+    assert model.find([a])[0].tolist() == [500, 2, 500, 0, 0, 1] and model.find([b - 1])[0].tolist() == [0] * 6
     assert kneser_ney.op6_kneser_ney(spark, saved(documents=docs_of([]))).count() == 0
     only = [(i, "all held out") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
     got = kneser_ney.op6_kneser_ney(spark, saved(documents=docs_of(only))).collect()
     assert {(r["score"], r["train_tokens"]) for r in got} == {(0.0, 0)}
 
 
+def test_lost_files_are_errors(spark, docs_of):
+    model = kneser_ney.train(docs_of([(1, "a b a c")]))
+    word = np.array([xxhash.xxh64_intdigest(b"a")], np.uint64)
+    model.folder += "-gone"
+    with pytest.raises(FileNotFoundError):
+        model.find([word])
+    with pytest.raises(ValueError):
+        kneser_ney.train(docs_of([(1, "a")]), 1)
+    with pytest.raises(ValueError):
+        kneser_ney.mounted("hdfs://somewhere/folder")
+
+
 # --- SentencePiece ------------------------------------------------------------------------
 
 
