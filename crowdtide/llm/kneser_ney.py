@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crowdtide.llm import frames
 from crowdtide.scratch import new_folder
 
-FLUSH = 1_500_000
+FLUSH = 3_000_000
+SLICE = 1_500_000
 TOKENS_PER_SHARD = 4_000_000
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n<s>", b"\n</s>"))  # no word holds a newline
 _U8 = np.dtype("<u8")
@@ -143,9 +144,15 @@ def mounted(folder: str) -> str:
     return url.path
 
 
-#: Of an n-gram below the highest order: how often it ends one of the order above, after how many different
-#: words, how often it is a context, and before how many words seen once, twice and more often.
-COLUMNS = ("count", "before", "total", "n1", "n2", "n3")
+#: Of an n-gram below the highest order: after how many different words it occurs, how often it is a context,
+#: before how many words seen once, twice and more often, and how often it ends a longer n-gram.
+COLUMNS = ("before", "total", "n1", "n2", "n3", "count")
+ENDS, CONTEXTS = (0, 5), (1, 2, 3, 4)
+
+
+def _width(level: int, order: int) -> int:
+    """Stored columns: an n-gram of the highest order has its count only; counts of others are asked of words."""
+    return 1 if level == order else len(COLUMNS) - (level > 1)
 
 
 def _store(folder: str, level: int, shard: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
@@ -181,7 +188,7 @@ class Model:
 
     def find(self, words: list[np.ndarray]) -> np.ndarray:
         """Stored values of n-grams, one row each; zeros for unknown ones."""
-        level, columns = len(words), 1 if len(words) == self.order else len(COLUMNS)
+        level, columns = len(words), _width(len(words), self.order)
         hashes = gram_hashes(words)
         keys, first, inverse = np.unique(hashes[-1], return_index=True, return_inverse=True)
         shards = self.grid.of([w[first] for w in words], [h[first] for h in hashes])
@@ -225,7 +232,7 @@ def discounts(n: list[int]) -> np.ndarray:
 
 # --- counting -----------------------------------------------------------------------------
 
-#: n n-grams of a shard: a dictionary of hashes, the words as codes into it, and columns of values from ``at``.
+#: n n-grams of a shard: a dictionary of hashes, the words as codes into it, and its ends (0) or contexts (1) with their values.
 _ROWS = "shard int, n int, at int, words binary, codes binary, values binary"
 _ROW_SCHEMA = pa.schema([
     ("shard", pa.int32()), ("n", pa.int32()), ("at", pa.int32()),
@@ -233,26 +240,31 @@ _ROW_SCHEMA = pa.schema([
 ])
 
 
-def _least(values: np.ndarray) -> np.ndarray:
-    """The values in the narrowest type that holds them."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))).newbyteorder("<"))
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest ones first, compressed."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
 
 
-def _code_type(words: int):
-    return np.dtype("<u2") if words <= 1 << 16 else _U4
+def _unpacked(data: pa.Buffer, kind: np.dtype, rows: int, n: int) -> np.ndarray:
+    raw = pa.Codec("zstd", compression_level=1).decompress(data, rows * n * kind.itemsize)
+    planes = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(rows, n)
 
 
 def _sent(shards: np.ndarray, words: np.ndarray, codes: np.ndarray, values: list[np.ndarray], at: int) -> Iterator[dict]:
-    """Rows of n-grams for their shards, with the words that each shard's part needs."""
+    """Rows of n-grams for their shards, with the words that each shard's part needs, the commonest first."""
     order = np.argsort(shards, kind="stable")
     cuts = _firsts(shards[order])
     for begin, end in zip(cuts, [*cuts[1:], len(order)]):
         part = order[begin:end]
-        used, local = np.unique(codes[:, part], return_inverse=True)
+        used, local, uses = np.unique(codes[:, part], return_inverse=True, return_counts=True)
+        by_use = np.argsort(-uses, kind="stable")
+        place = np.empty(len(used), _U4)
+        place[by_use] = np.arange(len(used))
         yield {
-            "shard": int(shards[part[0]]), "n": len(part), "at": at, "words": words[used].astype(_U8).tobytes(),
-            "codes": local.astype(_code_type(len(used))).tobytes(),
-            "values": _least(np.stack([v[part] for v in values])).tobytes(),
+            "shard": int(shards[part[0]]), "n": len(part), "at": at, "words": words[used[by_use]].astype(_U8).tobytes(),
+            "codes": _packed(place[local]), "values": _packed(np.stack([v[part] for v in values]).astype(_U8)),
         }
 
 
@@ -260,23 +272,22 @@ def _total_row(totals: np.ndarray) -> dict:
     return {"shard": -1, "n": 0, "at": 0, "words": b"", "codes": b"", "values": totals.astype(_U8).tobytes()}
 
 
-def _received(table: pa.Table, level: int, columns: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _received(table: pa.Table, level: int, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """All words of a shard in order, and its n-grams as codes with their values."""
-    rows = [r for r in table.to_batches() for r in zip(*[c for c in r.columns[1:]])]
-    rows = [(n.as_py(), at.as_py(), *[np.frombuffer(x.as_buffer(), np.uint8) for x in rest]) for n, at, *rest in rows]
-    rows = [r for r in rows if r[0]]
-    words = np.unique(np.concatenate([r[2].view(_U8) for r in rows] or [np.zeros(0, _U8)]))
-    size = sum(r[0] for r in rows)
+    rows = [r for r in zip(*(table.column(c) for c in table.column_names[1:])) if r[0].as_py()]
+    own = [np.frombuffer(r[2].as_buffer(), _U8) for r in rows]
+    words = np.unique(np.concatenate(own or [np.zeros(0, _U8)]))
+    size = sum(r[0].as_py() for r in rows)
     codes = np.empty((level, size), np.uint32)
-    values = [np.zeros(size, np.int64) for _ in range(columns)]
+    values = [np.zeros(size, np.int64) for _ in range(1 if level == order else len(COLUMNS))]
     begin = 0
-    for n, at, own, local, numbers in rows:
-        own = own.view(_U8)
+    for (n, at, _, local, numbers), known in zip(rows, own):
+        n = n.as_py()
         part = slice(begin, begin + n)
-        codes[:, part] = np.searchsorted(words, own)[local.view(_code_type(len(own))).reshape(level, n)]
-        count = 1 if columns == 1 else (2 if at == 0 else 4)
-        for c, v in enumerate(numbers.view(f"<u{len(numbers) // (n * count)}").reshape(count, n)):
-            values[at + c][part] = v
+        codes[:, part] = np.searchsorted(words, known)[_unpacked(local.as_buffer(), _U4, level, n)]
+        places = (0,) if level == order else (ENDS, CONTEXTS)[at.as_py()]
+        for place, v in zip(places, _unpacked(numbers.as_buffer(), _U8, len(places), n)):
+            values[place][part] = v
         begin += n
     return words, codes, values
 
@@ -285,13 +296,14 @@ def _count(grid: Grid, order: int):
     """Per task: n-grams of some million tokens, summed, sent to their shards."""
 
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        words, codes = np.unique(np.concatenate([np.concatenate(row) for row in zip(*held)]), return_inverse=True)
-        codes = codes.reshape(order, -1)
+        # The words of contexts are tokens too, but for those before the first tokens of a piece.
+        words = np.unique(np.concatenate([x for grams in held for x in (grams[-1], *(g[:order] for g in grams), [START])]))
+        codes = np.stack([np.searchsorted(words, np.concatenate(place)).astype(np.uint32) for place in zip(*held)])
         key = _folded(codes, len(words))
         by_key = np.argsort(key, kind="stable")
         firsts = _firsts(key[by_key])
         counts = np.diff(np.append(firsts, len(key)))
-        codes = codes[:, by_key[firsts]].astype(np.uint32)
+        codes = codes[:, by_key[firsts]]
         grams = [words[c] for c in codes]
         for row in _sent(grid.of(grams, gram_hashes(grams)), words, codes, [counts], 0):
             yield pa.RecordBatch.from_pylist([row], schema=_ROW_SCHEMA)
@@ -332,7 +344,7 @@ def _stored_level(folder: str, grid: Grid, level: int, order: int):
         shard = key[0].as_py()
         if shard < 0:
             return _sum_totals(key, table)
-        words, codes, values = _received(table, level, 1 if level == order else len(COLUMNS))
+        words, codes, values = _received(table, level, order)
         folded = _folded(codes, len(words))
         by_key = np.argsort(folded, kind="stable")
         firsts = _firsts(folded[by_key])
@@ -341,23 +353,23 @@ def _stored_level(folder: str, grid: Grid, level: int, order: int):
         grams = [words[c] for c in codes]
         hashes = gram_hashes(grams)[-1]
         by_hash = np.argsort(hashes)
-        _store(folder, level, shard, hashes[by_hash], [v[by_hash] for v in values])
-        often = values[0] if level == order else values[1]
+        _store(folder, level, shard, hashes[by_hash], [v[by_hash] for v in values[: _width(level, order)]])
+        often, count = values[0], values[0 if level == order else 5]
         totals = np.zeros(4 * order + 3, np.int64)
         totals[4 * level - 4 : 4 * level] = np.bincount(np.minimum(often, 5), minlength=6)[1:5]
         rows = []
         if level == 1:
-            totals[-3:] = values[0].sum(), (values[0] > 0).sum(), often.sum()
+            totals[-3:] = count.sum(), (count > 0).sum(), often.sum()
         else:
             live = often > 0
-            codes, often, count = codes[:, live], often[live], values[0][live]
+            codes, often, count = codes[:, live], often[live], count[live]
             context = _firsts(_folded(codes[:-1], len(words)))  # lie together in the order of the n-grams
             seen = _added([often, *_classes(often)], context)
             end = _folded(codes[1:], len(words))
             by_end = np.argsort(end, kind="stable")
             ends = _firsts(end[by_end])
-            ending = _added([count[by_end], np.ones(len(by_end), np.int64)], ends)
-            for part, sums, at in ((codes[:-1, context], seen, 2), (codes[1:, by_end[ends]], ending, 0)):
+            ending = _added([np.ones(len(by_end), np.int64), count[by_end]], ends)
+            for part, sums, at in ((codes[:-1, context], seen, 1), (codes[1:, by_end[ends]], ending, 0)):
                 lower = [words[c] for c in part]
                 rows += _sent(grid.of(lower, gram_hashes(lower)), words, part, sums, at)
         return pa.Table.from_pylist([*rows, _total_row(totals)], schema=_ROW_SCHEMA)
@@ -408,9 +420,9 @@ def _discounted(counts: np.ndarray, discount: np.ndarray) -> np.ndarray:
 def probabilities(model: Model, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Kneser-Ney probability and training count of the last word of every n-gram after its context."""
     words = model.find(grams[-1:])
-    count, p = words[:, 0], np.full(len(words), model.rest / (model.types + 1))
+    count, p = words[:, 5], np.full(len(words), model.rest / (model.types + 1))
     if model.bigrams:
-        p += _discounted(words[:, 1], model.discounts[0]) / model.bigrams
+        p += _discounted(words[:, 0], model.discounts[0]) / model.bigrams
     stats = words
     for level in range(2, model.order + 1):
         whole, context = grams[-level:], grams[-level:-1]
@@ -422,15 +434,15 @@ def probabilities(model: Model, grams: list[np.ndarray]) -> tuple[np.ndarray, np
         seen[~known] = model.find([c[~known] for c in context])
         if level < model.order:
             stats = model.find(whole)
-            often = stats[:, 1]
+            often = stats[:, 0]
         else:
             often = np.zeros(len(p), np.int64)
-            at = np.flatnonzero((seen[:, 2] > 0) & (count > 0))
+            at = np.flatnonzero((seen[:, 1] > 0) & (count > 0))
             often[at] = model.find([w[at] for w in whole])[:, 0]
-        total = np.maximum(seen[:, 2], 1)
+        total = np.maximum(seen[:, 1], 1)
         discount = model.discounts[level - 1]
-        high = _discounted(often, discount) / total + (seen[:, 3:6] @ discount) / total * p
-        p = np.where(seen[:, 2] > 0, high, p)
+        high = _discounted(often, discount) / total + (seen[:, 2:5] @ discount) / total * p
+        p = np.where(seen[:, 1] > 0, high, p)
     return p, count
 
 
@@ -447,8 +459,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
         def __call__(self, batch: pa.RecordBatch) -> dict:
             grams, sizes = token_hashes(frames.byte_texts(batch.column("text")), self.known, model.order)
             columns = [np.empty(len(grams[-1])) for _ in range(3)]
-            for begin in range(0, len(grams[-1]), FLUSH):
-                part = slice(begin, begin + FLUSH)
+            for begin in range(0, len(grams[-1]), SLICE):
+                part = slice(begin, begin + SLICE)
                 p, count = probabilities(model, [g[part] for g in grams])
                 columns[0][part] = np.log10(p)
                 columns[1][part] = np.log10((count + 1) / (model.tokens + model.types + 1))
