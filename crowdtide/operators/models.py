@@ -13,8 +13,6 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -22,11 +20,12 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtide.operators.evaluate import bootstrap_resample, metric_table, stratified_kfold, train_val_split
 from crowdtide.operators import terms
+from crowdtide.operators.kernels import Landmarks, cell_spread, choose
 from crowdtide.operators.sentiment import argmax_class
 from crowdtide.operators.terms import TermModel, TextFeatures
 from crowdtide.operators.network import NetworkEnsemble, train_networks
@@ -95,54 +94,34 @@ def gradient_boosting(
 
 
 @dataclass
-class FourierSvmModel:
-    """Linear model per class on random Fourier features of the radial kernel."""
+class KernelSvmModel:
+    """Linear model per class on a radial kernel's features by landmarks."""
 
     inner: Any
-    weights_seed: int
-    components: int
-    gamma: float
-
-    def features(self, df: DataFrame) -> DataFrame:
-        seed, components, gamma = self.weights_seed, self.components, self.gamma
-
-        @F.pandas_udf("array<double>")
-        def fourier(rows: pd.Series) -> pd.Series:
-            if rows.empty:
-                return pd.Series([], dtype=object)
-            x = np.stack(rows.to_numpy())
-            rng = np.random.default_rng(seed)
-            w = rng.normal(scale=math.sqrt(2 * gamma), size=(x.shape[1], components))
-            phase = rng.uniform(0, 2 * math.pi, components)
-            return pd.Series(list(np.cos(x @ w + phase) * math.sqrt(2 / components)))
-
-        return df.withColumn("_fourier", array_to_vector(fourier(vector_to_array(FEATURES))))
+    landmarks: Landmarks
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.inner.transform(self.features(df)).drop("_fourier")
+        return self.inner.transform(self.landmarks.features(df, FEATURES, "_kernel")).drop("_kernel")
 
 
 def svm(
     train: DataFrame, C: float = 10 / 3, components: int = 500, max_iter: int = 100, seed: int = 42
-) -> FourierSvmModel:
+) -> KernelSvmModel:
     """Support vector machine with a radial kernel, as an approximation.
 
-    The kernel is replaced by random Fourier features and the solver by linear machines, one
-    per class; the kernel width is 1 / (features · variance of all cells).
+    The kernel is that of at most ``components`` landmark rows and the solver is linear machines, one
+    per class; the kernel width is 1 / (features · variance of all cells). The features are written
+    once for all classes.
     """
-    cells = train.select(F.explode(vector_to_array(FEATURES)).alias("x"))
-    n, width, variance = train.select(
-        F.count(F.lit(1)).alias("n"), F.first(F.size(vector_to_array(FEATURES))).alias("d")
-    ).withColumn("v", cells.agg(F.var_pop("x")).scalar()).first()
-    model = FourierSvmModel(None, seed, components, 1.0 / (width * max(variance, 1e-12)))
+    n, width, variance = cell_spread(train, FEATURES)
+    landmarks = choose(train, FEATURES, components, n, 1.0 / (width * max(variance, 1e-12)), seed)
     machine = LinearSVC(
-        regParam=1.0 / (C * n), maxIter=max_iter, featuresCol="_fourier", labelCol=TARGET,
+        regParam=1.0 / (C * n), maxIter=max_iter, featuresCol="_kernel", labelCol=TARGET,
         standardization=False,
     )
-    model.inner = OneVsRest(classifier=machine, parallelism=4, featuresCol="_fourier", labelCol=TARGET).fit(
-        model.features(train)
-    )
-    return model
+    rows = materialize(landmarks.features(train.select(FEATURES, TARGET), FEATURES, "_kernel").drop(FEATURES), "kernel")
+    fitted = OneVsRest(classifier=machine, parallelism=4, featuresCol="_kernel", labelCol=TARGET).fit(rows)
+    return KernelSvmModel(fitted, landmarks)
 
 
 # --- boosting by reweighting --------------------------------------------------------------
@@ -425,9 +404,9 @@ def save_pipeline(spark: SparkSession, features: TextFeatures | None, model: Any
     if isinstance(model, TermModel):
         model.save(f"{path}/terms")
         parts = []
-    elif isinstance(model, FourierSvmModel):
-        parts = [model.inner]
-        about = {"seed": model.weights_seed, "components": model.components, "gamma": model.gamma}
+    elif isinstance(model, KernelSvmModel):
+        parts, about = [model.inner], {"gamma": model.landmarks.gamma}
+        model.landmarks.save(spark, f"{path}/landmarks")
     elif isinstance(model, BoostedTrees):
         parts, about = model.trees, {"votes": model.votes, "errors": model.errors, "classes": model.classes}
     elif isinstance(model, NetworkEnsemble):
@@ -447,8 +426,8 @@ def load_pipeline(spark: SparkSession, path: str) -> FittedClassifier:
     parts = [PipelineModel.load(f"{path}/part{i}").stages[0] for i in range(about["parts"])]
     if about["kind"] == "TermModel":
         model: Any = TermModel.load(spark, f"{path}/terms")
-    elif about["kind"] == "FourierSvmModel":
-        model = FourierSvmModel(parts[0], about["seed"], about["components"], about["gamma"])
+    elif about["kind"] == "KernelSvmModel":
+        model = KernelSvmModel(parts[0], Landmarks.load(spark, f"{path}/landmarks", about["gamma"]))
     elif about["kind"] == "BoostedTrees":
         model = BoostedTrees(parts, about["votes"], about["errors"], about["classes"])
     elif about["kind"] == "NetworkEnsemble":

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crowdtide.operators import bayes as B
 from crowdtide.operators import evaluate as E
 from crowdtide.operators import features as X
+from crowdtide.operators import kernels
 from crowdtide.operators import models as M
 from crowdtide.operators import terms
 from crowdtide.operators.network import cosine_rate, train_networks
@@ -279,12 +280,17 @@ def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def svm_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean of the random features' squares; near 1 / components for every row."""
+    """Kernel values of all rows with five of 60 landmarks, as products of the features."""
     rows = _features(spark, folder)
-    model = M.FourierSvmModel(None, 42, 100, 1.0)
-    wide = model.features(rows).select("id", vector_to_array("_fourier").alias("f"))
-    norm = F.aggregate("f", F.lit(0.0), lambda total, x: total + x * x)
-    return wide.select("id", F.round(norm, 3).alias("norm"))
+    chosen = materialize(rows.orderBy(F.md5("id"), "id").limit(60).select("id", "features"), "chosen")
+    landmarks = kernels.Landmarks.of(chosen.orderBy(F.md5("id"), "id").select(*kernels.entries("features")), 0.5)
+    few = landmarks.features(chosen.orderBy(F.md5("id"), "id").limit(5), "features", "_k")
+    few = few.select(F.struct(F.col("id").alias("landmark"), vector_to_array("_k").alias("z")).alias("l"))
+    five = few.agg(F.collect_list("l")).scalar()
+    wide = landmarks.features(rows, "features", "_k").select("id", vector_to_array("_k").alias("x"))
+    both = wide.select("id", "x", F.inline(five))
+    product = F.aggregate(F.zip_with("x", "z", lambda x, z: x * z), F.lit(0.0), lambda total, x: total + x)
+    return both.select("id", "landmark", T.r6(product).alias("kernel"))
 
 
 QUERIES = {
@@ -506,6 +512,11 @@ w{n + 1} AS MATERIALIZED (
 
 SQL = {
     **dict.fromkeys(("svm", "random_forest", "adaboost", "gradient_boosting", "mlp_ensemble"), _STEPS),
+    "svm_features": """WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+z AS (SELECT id AS landmark, e AS l FROM v ORDER BY md5(id), id LIMIT 5)
+SELECT id, landmark, round(exp(-0.5 * (list_dot_product(e, e) + list_dot_product(l, l) - 2 * list_dot_product(e, l))), 6)
+       AS kernel
+FROM v, z""",
     "stratified_kfold": f"""WITH {_PLACED}
 SELECT id, target, CAST((b + r) % 5 AS INTEGER) AS fold FROM placed""",
     "stratified_kfold_ordered": f"""WITH {_LABELS},
