@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crowdtide.functions.zeta import best_gamma, draw, ks_distance, scaled_hurwitz, tail_sizes
 from crowdtide.operators.graph_metrics import degree_histogram, degrees
-from crowdtide.operators.scale import uniform
+from crowdtide.operators.scale import digest_uniform
 from crowdtide.scratch import materialize
 
 CANDIDATES_PER_ROW = 64
@@ -218,7 +218,7 @@ def draw_power_law(rows: DataFrame, id_col: str, gamma: float, kmin: int, seed:
     def inverse(u: pd.Series) -> pd.Series:
         return pd.Series(draw(u.to_numpy(), gamma, kmin))
 
-    return rows.withColumn("k", inverse(uniform(seed, F.col(id_col))))
+    return rows.withColumn("k", inverse(digest_uniform(seed, F.col(id_col))))
 
 
 def bootstrap_histogram(fits: DataFrame, col: str, bins: int = 20) -> DataFrame:

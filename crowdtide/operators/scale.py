@@ -48,6 +48,12 @@ def uniform(seed: int, *cols: Column) -> Column:
     return bits.cast("double") * F.lit(2.0**-53)
 
 
+def digest_uniform(seed: int, id_col: Column) -> Column:
+    """Uniform number in [0, 1) from an MD5 digest, which every SQL engine can repeat."""
+    bits = F.conv(F.substring(seeded_hash(id_col, seed), 1, 13), 16, 10).cast("double")
+    return bits * F.lit(2.0**-52)
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, out: str) -> DataFrame:
     """Position (from 0) of each row within its keys, in seeded random order.
 

@@ -452,6 +452,13 @@ FROM ks ORDER BY ks, xmin LIMIT 1"""
 
 
 SQL = {
+    "sample_power_law": """WITH s AS (SELECT k, power(CAST(k AS DOUBLE), -2.5) AS w FROM range(5, 1048576) r(k)),
+t AS (SELECT k, sum(w) OVER (ORDER BY k DESC) + power(1048576.0, -1.5) / 1.5 + power(1048576.0, -2.5) / 2
+             + 2.5 * power(1048576.0, -3.5) / 12 AS beyond FROM s),
+u AS (SELECT CAST('0x' || substr(md5(CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) || '|42'), 1, 13) AS BIGINT)
+             / 4503599627370496.0 AS u FROM lineitem),
+d AS (SELECT (1 - u) * (SELECT max(beyond) FROM t) AS target FROM u)
+SELECT t.k, count(*) AS n FROM d ASOF JOIN t ON d.target <= t.beyond GROUP BY 1""",
     "fit_power_law": _POWER_LAW,
     "follower_edges": f"WITH {_FOLLOW} SELECT source, target FROM follow",
     "retweet_edges": f"WITH {_RETWEET} SELECT source, target, count(*) AS weight FROM retweet GROUP BY 1, 2",
