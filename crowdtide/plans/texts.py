@@ -146,6 +146,7 @@ QUERIES = {
     "pca_variance": pca_variance,
 }
 
+# The link, mention, bracket and punctuation patterns in the SQL below are fixed values, as in functions/text.py.
 _TOKENS = """tokens AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, lang,
          regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS u FROM documents)"""
