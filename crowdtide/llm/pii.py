@@ -8,14 +8,16 @@ separators and shape of the full span, and the characters around it. A segment h
 outside is a segment of kind "none". The field is trained by maximum likelihood.
 
 Only tokens near a trigger (a digit, ``@`` or a bracketed "at") can lie in a candidate, so all others
-are "none" for certain and the programme runs on the islands around triggers: the result is that of
-the whole text.
+are "none" for certain and the programme runs on the islands of ``LONGEST`` tokens around triggers,
+however long these tokens are: the result is that of the whole text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -37,7 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|AT)[)\]]")
+_TRIGGER = re.compile(r"[0-9]+|@|[(\[](?:at|AT)[)\]]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.DOTALL)
 _START = re.compile(r"[A-Za-z0-9+(]")
 _AT = re.compile(r"@| ?[(\[](?:at|AT)[)\]] ?")
@@ -229,18 +231,46 @@ def _gradient(field: Field, isle: Island, gold: dict, d_weights: np.ndarray, d_f
     np.add.at(d_weights, isle.features.ravel(), np.repeat(joint.sum(1), isle.features.shape[1], axis=0))
 
 
-def islands(text: str) -> list[tuple[int, int]]:
-    """Stretches around triggers, at least ``REACH`` characters to either side."""
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order of their start; those that touch become one."""
     found: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        start, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for start, end in spans:
         if found and start <= found[-1][1]:
-            found[-1][1] = end
+            found[-1][1] = max(found[-1][1], end)
         else:
             found.append([start, end])
     return [(a, b) for a, b in found]
 
 
+def _ahead(text: str, at: int) -> int:
+    """End of the ``LONGEST`` tokens after a token edge."""
+    for m in islice(_TOKEN.finditer(text, at), LONGEST):
+        at = m.end()
+    return at
+
+
+def _back(text: str, at: int) -> int:
+    """Start of the ``LONGEST`` tokens before a token edge; tokens are the same read backwards."""
+    window = 8 * LONGEST
+    while True:
+        low = max(0, at - window)
+        ends = [m.end() for m in islice(_TOKEN.finditer(text[low:at][::-1]), LONGEST)]
+        if low == 0 or ends[-1] < at - low:  # the last token does not go on before the window
+            return at - ends[-1] if ends else at
+        window *= 4
+
+
+def islands(text: str) -> list[tuple[int, int]]:
+    """Stretches of ``LONGEST`` tokens to either side of triggers; none begins or ends in a token."""
+    near = _merged((m.start(), m.end() + LONGEST) for m in _TRIGGER.finditer(text))
+    return _merged((_back(text, a), _ahead(text, b - LONGEST)) for a, b in near)
+
+
+def _surroundings(text: str) -> list[tuple[int, int]]:
+    """Stretches of ``REACH`` characters to either side of triggers, as examples of plain text."""
+    return _merged((max(0, m.start() - REACH), min(len(text), m.end() + REACH)) for m in _TRIGGER.finditer(text))
+
+
 def _free(spans: list[tuple[str, int, int]], start: int, end: int) -> list[tuple[int, int]]:
     """What the base spans leave of a stretch."""
     left, at = [], start
@@ -357,7 +387,7 @@ def contexts(texts: list[str], most: int = 150) -> list[tuple[str, int, int, str
             cut, stop = max(0, a - 20), min(len(text), b + 20)
             if b - a <= 64 and not any(s[1] < stop and s[2] > cut for s in spans if s != (kind, a, b)):
                 found.append((text[cut:stop], a - cut, b - cut, kind))
-        for a, b in islands(text):
+        for a, b in _surroundings(text):
             if b - a <= 400 and not any(s[1] < b and s[2] > a for s in spans):
                 clear.append((text[a:b], 0, b - a, ""))
     step = max(1, len(found) // most)
@@ -383,7 +413,8 @@ def find(docs: DataFrame, field: Field, keep: tuple[str, ...]) -> DataFrame:
     """The kept columns with ``base`` and ``spans``: arrays of (kind, start, end) in code points.
 
     ``spans`` holds the base spans and those added by the field; both are ordered by kind as
-    listed, then by start. Whole texts are read; null and empty texts have none.
+    listed, then by start. Whole texts are read; null and empty texts have none. Repeated rows are
+    searched each, and an empty table gives no rows.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

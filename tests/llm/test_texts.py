@@ -1,6 +1,7 @@
 """Operators over documents: brute force, exact round trips and defined results for odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -174,6 +175,24 @@ def test_decoding_and_gradient_against_all_segmentations():
     assert np.allclose(got, want) and len(every) > 50
 
 
+def test_islands_give_the_spans_of_whole_texts(pii_field):
+    long, rng = "x" * 60, random.Random(11)
+    words = ["the", long, "12 345", "+49", "555-0100", "(at)", "[AT]", "@", "mail.example.com", "\n", "é", "9" * 30, "a.b", "  ", "?"]
+    texts = [f"write to {long} (at) {long}.example.com or call", f"{long}[at]{long}.com", long * 10 + "[at]b.com", "", long]
+    texts += [" ".join(rng.choice(words) for _ in range(n)) for n in range(1, 90)]
+    for text in texts:
+        base = pii.base_spans(text)
+        whole = [
+            (pii.KINDS[k], a, b)
+            for start, end in pii._free(base, 0, len(text))
+            for k, a, b in pii_field.decode(pii.island(text, start, end))
+        ]
+        assert pii.add_spans(text, base, pii_field) == whole, text
+    start = len("write to ")
+    found = pii.add_spans(texts[0], [], pii_field)
+    assert [s[0] for s in found] == ["email"] and found[0][1] <= start and found[0][2] >= start + 60 + len(" (at) ") + 60
+
+
 def test_pii_query(spark, docs_of, saved):
     rows = [(i, t) for i, t in enumerate(HARD)] + [(3, HARD[3]), (None, HARD[0])]
     got = pii.op2_pii(spark, saved(documents=docs_of(rows, ("base", "spans")))).collect()
