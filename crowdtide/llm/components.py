@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdtide.scratch import Rounds
 
 
+SALTS = 256
+
+
+def with_least(rows: DataFrame, key: str, least: Column, name: str, salt: Column) -> DataFrame:
+    """``rows`` with the least value of each key as ``name``; rows of a null key are dropped.
+
+    A key's rows are dealt by ``salt`` to ``SALTS`` parts. Each part finds its least value, the parts of a key
+    (at most ``SALTS`` rows) agree on one, and it goes back to the parts: no task gets all rows of a key.
+    """
+    dealt = rows.filter(F.col(key).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
+    parts = dealt.groupBy(key, "_salt").agg(F.min(least).alias("_part"))
+    whole = parts.groupBy(key).agg(F.collect_list("_salt").alias("_salts"), F.min("_part").alias(name))
+    back = whole.select(key, F.explode("_salts").alias("_salt"), name)
+    return dealt.join(back, [key, "_salt"]).drop("_salt")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    known = with_least(both, "a", F.least("a", "b"), "m", F.col("b"))
+    return known.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    inner = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return inner.union(least.select("a", F.col("m").alias("b")))
+    known = with_least(down, "a", F.col("b"), "m", F.col("b"))
+    inner = known.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return inner.union(known.select("a", F.col("m").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,8 +41,8 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has columns ``a`` and ``b``; repeated links, loops and nulls are ignored. Each
     round is written to the shared folder, so lineage stays short and a lost executor costs at
-    most one round. Rounds go on until every link points at the root of a star. A hub is a key
-    of many light rows, which adaptive execution splits; it is never collected.
+    most one round. Rounds go on until every link points at the root of a star. The links of a hub are
+    dealt to many tasks; they never meet in one.
     """
     rounds = Rounds(links.sparkSession, "components")
     stars = links.select("a", "b").filter("a <> b").distinct()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crowdtide.llm import frames
-from crowdtide.llm.components import components
+from crowdtide.llm.components import components, with_least
 from crowdtide.scratch import materialize
 
 SEED = 42
@@ -134,8 +134,8 @@ def groups(
     labelled = distinct.join(found, distinct["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
-    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(labelled.join(ids, "root").select("fp", "component_id"), "classes")
+    known = with_least(labelled, "root", F.col("least"), "component_id", F.col("fp"))
+    named = materialize(known.select("fp", "component_id"), "classes")
     return fps.join(named, "fp")
 
 

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from crowdtide.llm import kneser_ney, packing, pii, sentence_pieces, simhash
+from crowdtide.llm.components import components, with_least
 
 ODD = ["", " ", None, "a", "a b", "A  b\t\n c", "é 日本 ▁ \x00 x", "word " * 30_000, "<|endoftext|> z", "\n\n", "x" * 40_000]
 
@@ -86,6 +87,32 @@ def test_manhattan_is_a_lower_bound(spark):
         assert r["m"] == sum(abs(p - q) for p, q in zip(counts(a), counts(b))) <= (a ^ b).bit_count()
 
 
+def test_components_of_hubs_and_chains(spark):
+    hub = [(5000, i) for i in range(5001, 9000)] + [(i, 12_000) for i in range(5001, 7000)]
+    chain = [(i, i + 1) for i in range(100)] + [(300, 300), (None, 4), (7, None), (50, 51)]
+    frame = spark.createDataFrame(hub + chain, "a long, b long")
+    got = {r["node"]: r["component"] for r in components(frame).collect()}
+    assert got == dict.fromkeys([*range(5000, 9000), 12_000], 5000) | dict.fromkeys(range(101), 0)
+
+
+def test_a_hub_is_dealt_to_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        rows = spark.range(8000).select(F.lit(1).alias("k"), "id")
+        found = with_least(rows, "k", F.col("id"), "m", F.col("id")).withColumn("task", F.spark_partition_id())
+        tasks = found.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(t["n"] for t in tasks) == 8000 and {t["m"] for t in tasks} == {0}
+    assert max(t["n"] for t in tasks) < 2000
+
+
 def test_null_ids_and_an_empty_table(spark, docs_of, saved):
     folder = saved(documents=docs_of([(None, "same words here"), (None, "same words here"), (4, "same words here")]))
     assert {r["component_id"] for r in simhash.op10_simhash(spark, folder).collect()} == {4}
