@@ -449,7 +449,7 @@ def probabilities(model: Model, grams: list[np.ndarray]) -> tuple[np.ndarray, np
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     """The kept columns with n_tokens, n_known, base_score, score (log10) and perplexity of whole texts.
 
-    Null texts are empty ones; repeated rows are scored each.
+    Null texts are empty ones; repeated rows are scored each, and an empty table gives no rows.
     """
 
     class Work:

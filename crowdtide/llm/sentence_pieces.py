@@ -115,7 +115,8 @@ def encode(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("
     """The kept columns with ``ids``, ``n_fallback`` and ``ids_crc32`` of whole texts; null texts are empty.
 
     The checksum is over little-endian 32-bit ids. The model's scores weigh the pieces; where they
-    are merge ranks, the logarithm of the rank does, by Zipf's law.
+    are merge ranks, the logarithm of the rank does, by Zipf's law. Repeated rows are encoded each, and
+    an empty table gives no rows.
     """
     path = model or default_model()
 
