@@ -72,15 +72,22 @@ def term_predict(
     """
     if priors is None:
         priors = fitted.select("target").distinct().withColumn("prior", F.lit(0.0))
-    scores = (
-        features.join(fitted, "term")
-        .groupBy("id", "target")
-        .agg(F.sum(F.col("w") * F.col("logp")).alias("score"))
-        .join(priors, "target")
-        .withColumn("score", F.col("score") + F.col("prior"))
-    )
-    best = F.min(F.struct((-F.col("score")).alias("s"), "target"))
-    chosen = scores.groupBy("id").agg(best["target"].alias("prediction"))
+    priors = materialize(priors, "priors")
+    classes = priors.filter("target IS NOT NULL").groupBy("target").agg(F.max("prior").alias("prior")).orderBy("target").collect()
+    # A term is one row with a number per class, so its uses meet it once and are summed as they come.
+    logp = [F.max(F.when(F.col("target") == F.lit(c["target"]), F.col("logp"))).alias(f"_l{n}") for n, c in enumerate(classes)]
+    of_term = materialize(fitted.groupBy("term").agg(F.count(F.lit(1)).alias("_rows"), *logp), "term-scores")
+    sums = [F.sum(F.col("w") * F.col(f"_l{n}")).alias(f"_s{n}") for n in range(len(classes))]
+    scores = features.join(of_term, "term").groupBy("id").agg(F.count(F.lit(1)).alias("_rows"), *sums)
+    kind = priors.schema["target"].dataType
+    ways = [F.lit(None).cast(f"struct<s:double,target:{kind.simpleString()}>")] + [
+        F.when(
+            F.col(f"_s{n}").isNotNull(),
+            F.struct((-(F.col(f"_s{n}") + F.lit(c["prior"]))).alias("s"), F.lit(c["target"]).cast(kind).alias("target")),
+        )
+        for n, c in enumerate(classes)
+    ]
+    chosen = scores.select("id", F.array_min(F.array(*ways))["target"].alias("prediction"))
     usual = priors.agg(F.min(F.struct((-F.col("prior")).alias("s"), "target"))["target"]).scalar()
     everyone = (features if ids is None else ids).select("id").distinct()
     return everyone.join(chosen, "id", "left").select("id", F.coalesce("prediction", usual).alias("prediction"))
