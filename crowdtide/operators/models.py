@@ -34,6 +34,7 @@ from crowdtide.scratch import Rounds, materialize
 
 FEATURES, TARGET = "features", "target"
 TREES_PER_PLAN = 25  # voting trees in one plan
+DRAWS_PER_TASK = 10_000_000  # draws (rows times trees) of a forest that a task holds
 DEEPEST = 30  # the depth that Spark's trees can have
 
 
@@ -63,7 +64,13 @@ def random_forest(
     bootstrap: bool = True,
     seed: int = 42,
 ):
-    """Forest of trees, as deep as Spark grows them (30), cut back by cost and complexity if wanted."""
+    """Forest of trees, as deep as Spark grows them (30), cut back by cost and complexity if wanted.
+
+    Spark keeps a row's draws for all trees beside it, so large tables are dealt to more tasks.
+    """
+    tasks = -(-train.count() * n_estimators // DRAWS_PER_TASK)
+    if tasks > train.rdd.getNumPartitions():
+        train = train.repartition(tasks)
     forest = RandomForestClassifier(
         numTrees=n_estimators, minInstancesPerNode=min_samples_leaf, impurity=criterion,
         featureSubsetStrategy=str(float(max_features)), maxDepth=max_depth, bootstrap=bootstrap, seed=seed,

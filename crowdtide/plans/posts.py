@@ -15,6 +15,7 @@ from crowdtide.sources.messages import header_field, header_lines, read_messages
 from crowdtide.sources.schemas import POST_COLUMNS
 
 PER_OBJECT = 1000  # entries per written JSON object
+FILES_PER_TASK = 2000  # written mail files
 
 
 def _object_of(id_col: str) -> Column:
@@ -109,7 +110,9 @@ def read_messages_query(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("\n\nbody\n"),
     )
     files = suppliers.select(F.col("s_suppkey").alias("box"), raw.alias("value"))
-    files.write.partitionBy("box").text(path)
+    # A file takes far longer than its few bytes, so many tasks write them; a box stays with one.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-suppliers.count() // FILES_PER_TASK))
+    files.repartition(tasks, "box").write.partitionBy("box").text(path)
     lines = header_lines(F.col("raw"))
     return read_messages(spark, path).select(
         header_field(lines, "from").alias("sender"),

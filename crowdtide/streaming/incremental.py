@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crowdtide.operators.graph_build import accumulate_weights
+from crowdtide.operators.scale import in_tasks
 from crowdtide.sources.schemas import EDGES
 
+ROWS_PER_SUM = 1_000_000  # rows that a task sums up
+
 
 def update_graph(
     posts: DataFrame,
@@ -31,7 +34,7 @@ def update_graph(
     """
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        weights = accumulate_weights(edges_of(batch))
+        weights = _summed(edges_of(batch))
         weights.write.mode("overwrite").parquet(f"{out}/first={number}/last={number}")
 
     return (
@@ -42,6 +45,11 @@ def update_graph(
     )
 
 
+def _summed(edges: DataFrame) -> DataFrame:
+    """Weights per edge, in tasks that grow in number with the rows and not in memory."""
+    return accumulate_weights(in_tasks(edges, "source", "target", rows=ROWS_PER_SUM))
+
+
 def _tables(spark: SparkSession, out: str) -> tuple[DataFrame, int]:
     """Rows of the tables that count, and the last batch: a sum from 0 on replaces what it covers."""
     rows = spark.read.schema(f"{EDGES}, first long, last long").parquet(out)
@@ -53,7 +61,7 @@ def _tables(spark: SparkSession, out: str) -> tuple[DataFrame, int]:
 
 def read_graph(spark: SparkSession, out: str) -> DataFrame:
     """Edge weights summed over all batches."""
-    return accumulate_weights(_tables(spark, out)[0].select("source", "target", "weight"))
+    return _summed(_tables(spark, out)[0].select("source", "target", "weight"))
 
 
 def compact_graph(spark: SparkSession, out: str) -> None:
@@ -70,7 +78,7 @@ def compact_graph(spark: SparkSession, out: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
     aside = f"{out}/_sum-{uuid.uuid4().hex}"
-    accumulate_weights(rows.select("source", "target", "weight")).write.parquet(aside)
+    _summed(rows.select("source", "target", "weight")).write.parquet(aside)
     before = [s.getPath() for s in files.listStatus(path(f"{out}/first=0"))]
     files.rename(path(aside), path(f"{out}/first=0/last={last}"))
     for table in [*before, *(path(f"{out}/first={n}") for n in old if n > 0)]:
