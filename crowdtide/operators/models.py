@@ -36,6 +36,7 @@ FEATURES, TARGET = "features", "target"
 TREES_PER_PLAN = 25  # voting trees in one plan
 DRAWS_PER_TASK = 10_000_000  # draws (rows times trees) of a forest that a task holds
 DEEPEST = 30  # the depth that Spark's trees can have
+LEARNED_PER_TASK = 50_000  # rows that a task of an iterative learner holds
 
 
 # --- library learners ---------------------------------------------------------------------
@@ -171,15 +172,22 @@ def adaboost(
     """Multi-class boosting: each tree fits weights raised where the last ones erred.
 
     A tree is a forest of one without resampling, so that every node draws its share of the features.
-    The features are written once; a round writes ids, weights and errors only. Weights sum to 1.
+    Weights sum to 1. A round joins them to the features once, by a shuffle, and writes the rows that the
+    tree reads several times; a table of weights is small on disk, but a broadcast would send it through the driver.
     """
     classes = int(train.agg(F.max(TARGET)).first()[0]) + 1
     rows = materialize(train.select(id_col, FEATURES, TARGET), "boost")
-    n, rounds = rows.count(), Rounds(train.sparkSession, "weights")
-    weights = rows.select(id_col, F.lit(1.0 / n).alias("weight"))
-    model = BoostedTrees(classes=classes)
+    n, spark = rows.count(), train.sparkSession
+    tasks = max(1, -(-n // LEARNED_PER_TASK))
+    dealt = rows.repartition(tasks, id_col)
+    tables, rounds = Rounds(spark, "weighted"), Rounds(spark, "weights")
+    weights, model = None, BoostedTrees(classes=classes)
     for number in range(n_estimators):
-        weighted = rows.join(weights, id_col) if number else rows.withColumn("weight", F.lit(1.0 / n))
+        if weights is None:
+            weighted = dealt.withColumn("weight", F.lit(1.0 / n))
+        else:
+            weighted = dealt.join(weights.repartition(tasks, id_col).hint("merge"), id_col).coalesce(tasks)
+        weighted, _ = tables.write(weighted)
         # Spark compares minInstancesPerNode with the row count, so weights keep their scale.
         tree = RandomForestClassifier(
             numTrees=1, bootstrap=False, impurity=criterion, minInstancesPerNode=min_samples_leaf, maxDepth=max_depth,
