@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 DIRECT_TERMS = 12
+KS_CELLS = 1_000_000  # values of tails that are compared at a time
 EXACT = 2.0**52
 # Bernoulli numbers B2, B4, … B12 over their factorials.
 BERNOULLI = (
@@ -71,13 +72,31 @@ def tail_sizes(values, counts):
     return np.cumsum(counts[::-1])[::-1], np.cumsum(logs[::-1])[::-1]
 
 
-def ks_distance(values, counts, start, gamma):
-    """Largest gap between data and model CDF over the tail ``values[start:]``."""
-    x = values[start:]
-    data = np.cumsum(counts[start:]) / counts[start:].sum()
-    beyond = ((x + 1) / x[0]) ** -gamma * scaled_hurwitz(gamma, x + 1) / scaled_hurwitz(gamma, x[0])
-    model = 1 - beyond
-    return float(np.abs(data - model).max())
+def ks_distances(values, counts, starts, gammas, cells=KS_CELLS):
+    """Largest gap between data and model CDF over each tail ``values[start:]``.
+
+    The tails are laid end to end, up to ``cells`` values (one tail at least) at a time.
+    """
+    starts, gammas = np.asarray(starts, int), np.asarray(gammas, float)
+    upto, found, begin = np.cumsum(counts), np.empty(len(starts)), 0
+    while begin < len(starts):
+        ends = np.cumsum(len(values) - starts[begin:])
+        end = begin + max(1, int(np.searchsorted(ends, cells, side="right")))
+        start, gamma = starts[begin:end], gammas[begin:end]
+        sizes = len(values) - start
+        first = np.cumsum(sizes) - sizes
+
+        def along(one):
+            return np.repeat(one, sizes)  # noqa: B023
+
+        place = np.arange(sizes.sum()) - along(first - start)
+        before = upto[start] - counts[start]
+        data = (upto[place] - along(before)) / along(upto[-1] - before)
+        x, least, g = values[place], values[start], along(gamma)
+        beyond = ((x + 1) / along(least)) ** -g * scaled_hurwitz(g, x + 1) / along(scaled_hurwitz(gamma, least))
+        found[begin:end] = np.maximum.reduceat(np.abs(data - (1 - beyond)), first)
+        begin = end
+    return found
 
 
 def draw(uniform, gamma, kmin):

@@ -13,12 +13,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crowdtide.functions.zeta import best_gamma, draw, ks_distance, scaled_hurwitz, tail_sizes
+from crowdtide.functions.zeta import best_gamma, draw, ks_distances, scaled_hurwitz, tail_sizes
 from crowdtide.operators.graph_metrics import degree_histogram, degrees
 from crowdtide.operators.scale import digest_uniform
 from crowdtide.scratch import materialize
 
-CANDIDATES_PER_ROW = 64
+CANDIDATES_PER_ROW = 64  # of one histogram, whose rows are spread over tasks
+CANDIDATES_PER_REPLICATE = 4_096  # of a replicate, which lies in one task: numpy is slow on short arrays
 FIT = "xmin long, gamma double, ks double, ntail long"
 
 
@@ -36,10 +37,10 @@ def _fit_candidates(values: np.ndarray, counts: np.ndarray, first: int, last: in
     sizes, log_sums = tail_sizes(values, counts)
     picked = slice(first, last)
     gammas = best_gamma(values[picked], sizes[picked], log_sums[picked])
-    for i, gamma in zip(range(first, last), gammas):
-        if np.isnan(gamma):  # no exponent fits this tail
-            continue
-        yield int(values[i]), float(gamma), ks_distance(values, counts, i, gamma), int(sizes[i])
+    fine = ~np.isnan(gammas)  # where no exponent fits the tail there is no fit
+    starts, gammas = np.arange(first, last)[fine], gammas[fine]
+    for i, gamma, ks in zip(starts, gammas, ks_distances(values, counts, starts, gammas)):
+        yield int(values[i]), float(gamma), float(ks), int(sizes[i])
 
 
 def _candidate_count(values: np.ndarray, xmax: int | None) -> int:
@@ -57,7 +58,8 @@ def candidate_fits(histograms: DataFrame, xmax: int | None = None) -> DataFrame:
     numbers are spread over tasks that each get a copy; the rows of a bootstrap are spread already.
     """
     keys = [c for c in histograms.columns if c not in ("values", "counts")]
-    chunks = F.floor((F.size("values") - 1) / CANDIDATES_PER_ROW).cast("int")
+    most = CANDIDATES_PER_REPLICATE if keys else CANDIDATES_PER_ROW
+    chunks = F.floor((F.size("values") - 1) / most).cast("int")
     if keys:
         rows = histograms.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks)))
     else:
@@ -76,8 +78,8 @@ def candidate_fits(histograms: DataFrame, xmax: int | None = None) -> DataFrame:
             for row in batch.itertuples(index=False):
                 values = np.asarray(row.values_, float)
                 counts = np.asarray(row.counts_, float)
-                first = row.chunk * CANDIDATES_PER_ROW
-                last = min(first + CANDIDATES_PER_ROW, _candidate_count(values, xmax))
+                first = row.chunk * most
+                last = min(first + most, _candidate_count(values, xmax))
                 if first < last:
                     head = [getattr(row, k) for k in keys]
                     out += [[*head, *f] for f in _fit_candidates(values, counts, first, last)]
