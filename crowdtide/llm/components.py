@@ -24,7 +24,7 @@ def with_least(rows: DataFrame, key: str, least: Column, name: str, salt: Column
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     known = with_least(both, "a", F.least("a", "b"), "m", F.col("b"))
     return known.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
@@ -32,8 +32,8 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     known = with_least(down, "a", F.col("b"), "m", F.col("b"))
-    inner = known.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return inner.union(known.select("a", F.col("m").alias("b")))
+    own, inner = (F.struct(F.col(end).alias("a"), F.col("m").alias("b")) for end in ("a", "b"))
+    return known.select(F.inline(F.when(F.col("b") == F.col("m"), F.array(own)).otherwise(F.array(own, inner))))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -42,10 +42,11 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has columns ``a`` and ``b``; repeated links, loops and nulls are ignored. Each
     round is written to the shared folder, so lineage stays short and a lost executor costs at
     most one round. Rounds go on until every link points at the root of a star. The links of a hub are
-    dealt to many tasks; they never meet in one.
+    dealt to many tasks; they never meet in one. The links are written before the first round: a round
+    reads its links several times, and a plan that holds each of these readings takes much of the driver.
     """
     rounds = Rounds(links.sparkSession, "components")
-    stars = links.select("a", "b").filter("a <> b").distinct()
+    stars, _ = rounds.write(links.select("a", "b").filter("a <> b").distinct())
     before = None
     while True:
         stars = _small_star(_large_star(stars)).filter("a <> b").distinct()

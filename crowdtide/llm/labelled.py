@@ -7,6 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from crowdtide.llm import frames
+
 
 @dataclass
 class Sample:
@@ -58,7 +60,10 @@ def sample(
         if (y == c).any():
             weights[y == c] = totals[c] / (y == c).sum()
     weights /= weights.mean() if len(weights) else 1.0
-    return Sample(list(found[list(columns)].itertuples(index=False, name=None)), y, weights)
+    rows = list(found[list(columns)].itertuples(index=False, name=None))
+    del found
+    frames.give_back()
+    return Sample(rows, y, weights)
 
 
 def _fitting(docs: DataFrame, ids: DataFrame, order: Column, characters: int) -> DataFrame:

@@ -124,7 +124,9 @@ def fit(data: Sample, epochs: int = 40, rate: float = 0.03, decay: float = 1e-3,
 
 def train(docs: DataFrame, labels: DataFrame, trained: Column | None = None, most: int = SAMPLE) -> Model:
     """Fit on at most ``most`` labelled documents of at most ``LONGEST`` characters."""
-    return fit(sample(docs, labels, "quality", trained, most, LONGEST, ("text", "n_chars")))
+    model = fit(sample(docs, labels, "quality", trained, most, LONGEST, ("text", "n_chars")))
+    frames.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:

@@ -108,6 +108,7 @@ def fit(data: Sample, epochs: int = 100, rate: float = 0.1, decay: float = 1e-4)
     )
     words, feature_word = len(numbers), np.repeat(np.arange(len(numbers), dtype=np.int32), per_word)
     del numbers
+    frames.give_back()
     telling = _telling(feature, feature_word, words, entry_word, sentence_doc[entry_sentence], y)[feature]
     feature, feature_word = feature[telling], feature_word[telling]
     weights, bias = np.zeros(BUCKETS), BIAS
@@ -130,7 +131,9 @@ def fit(data: Sample, epochs: int = 100, rate: float = 0.1, decay: float = 1e-4)
 
 def train(docs: DataFrame, labels: DataFrame, trained: Column | None = None, most: int = SAMPLE) -> Model:
     """Fit on at most ``most`` labelled documents of any length, ``CHARACTERS`` characters in all."""
-    return fit(sample(docs, labels, "toxic", trained, most, None, characters=CHARACTERS))
+    model = fit(sample(docs, labels, "toxic", trained, most, None, characters=CHARACTERS))
+    frames.give_back()
+    return model
 
 
 def _score(text: str, word: frames.Memo, bias: float) -> tuple[float, list[tuple[int, int, float]], int]:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from crowdtide.llm import kneser_ney, packing, pii, sentence_pieces, simhash
-from crowdtide.llm.components import components, with_least
+from crowdtide.llm.components import _large_star, _small_star, components, with_least
 
 ODD = ["", " ", None, "a", "a b", "A  b\t\n c", "é 日本 ▁ \x00 x", "word " * 30_000, "<|endoftext|> z", "\n\n", "x" * 40_000]
 
@@ -444,3 +444,10 @@ def test_pieces_round_trip(spark, docs_of, saved, pieces):
             raw, fallen = pieces.encode(t or "")
             assert (by[i]["n_ids"], by[i]["n_fallback"], by[i]["ids_crc32"]) == (len(raw) // 4, fallen, zlib.crc32(raw))
     assert sentence_pieces.op3_sentence_pieces(spark, saved(documents=docs_of([]))).count() == 0
+
+
+def test_a_round_of_stars_reads_its_links_few_times(spark):
+    links = spark.range(40).selectExpr("id + 1 AS a", "id AS b")
+    round_plan = _small_star(_large_star(links))._jdf.queryExecution().optimizedPlan().toString()
+    assert round_plan.count("Range (") <= 4
+    assert {tuple(r) for r in components(links).collect()} == {(n, 0) for n in range(41)}
