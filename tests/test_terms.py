@@ -107,6 +107,27 @@ def test_grid_equals_single_runs(spark):
         assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, one.collect()))
 
 
+@pytest.mark.parametrize("name", ["naive_bayes_multinomial", "naive_bayes_complement", "naive_bayes_gaussian"])
+def test_folds_at_once_equal_single_folds(spark, monkeypatch, name):
+    """All folds share one table of terms and one of cells; a class of one text is unknown to its own fold."""
+    monkeypatch.setattr(scale, "HOT_IN_PLACE", 12)
+    kind = F.when(F.col("id") == 7, 3).otherwise(F.pmod("id", F.lit(3))).cast("int")
+    words = [F.concat(F.lit(f"w{n}"), F.floor(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(9)) / (kind + 1))) for n in range(6)]
+    docs = materialize(spark.range(80).select(
+        F.col("id").cast("string").alias("id"), kind.alias("target"),
+        F.when(F.col("id") == 11, "").otherwise(F.concat_ws(" ", F.lit("all"), *words)).alias("text"),
+    ))
+    options = {"min_df": 3, "ngram_range": (1, 2)}
+    single, _ = M.cross_validate(docs, M.LEARNERS[name], None, options, k=3, keep_models=True)
+    plain = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    want = plain(single)
+    written = []
+    monkeypatch.setattr(Te, "materialize", lambda df, label="step": written.append(label) or materialize(df, label))
+    got = M.cross_validate(docs, M.LEARNERS[name], None, options, k=3)
+    assert got.columns == single.columns and plain(got) == want
+    assert written.count("terms") == written.count("cells") == 1
+
+
 def _wide(seed, rows=300, features=120, rank=4):
     """Sparse rows of a few strong directions and noise."""
     rng = np.random.default_rng(seed)
