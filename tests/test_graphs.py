@@ -24,6 +24,21 @@ def test_pagerank_and_hits_hand_cases(spark):
     assert _scores(scores, "AuthorityScore") == pytest.approx({"a": 0, "b": 0.5, "c": 0.5})
 
 
+def test_hits_moves_no_shares_to_few_authorities(spark, monkeypatch):
+    """Scores of few nodes are broadcast to one table of edges; of many, a second one is hashed by target."""
+    rng, made = random.Random(3), []
+    edges = _edges(spark, [(f"c{rng.randrange(20)}", f"s{rng.randrange(6)}", rng.randrange(1, 5)) for _ in range(80)])
+    links = K.Links
+    monkeypatch.setattr(K, "Links", lambda *a, **b: made.append(a[1]) or links(*a, **b))
+    few = K.hits(edges)
+    assert made == ["source"]
+    monkeypatch.setattr(K, "SMALL_SIDE", 5)
+    many = K.hits(edges)
+    assert made[1:] == ["source", "target"]
+    for col in ("HubScore", "AuthorityScore"):
+        assert _scores(few, col) == pytest.approx(_scores(many, col), abs=1e-9)
+
+
 def test_hub_pieces_do_not_change_scores(spark):
     """A node with a third of all edges is cut into pieces of five."""
     rng = random.Random(5)

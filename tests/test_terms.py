@@ -128,6 +128,23 @@ def test_folds_at_once_equal_single_folds(spark, monkeypatch, name):
     assert written.count("terms") == written.count("cells") == 1
 
 
+def test_texts_are_scored_without_gathered_entries(spark, monkeypatch):
+    monkeypatch.setattr(scale, "HOT_IN_PLACE", 12)
+    words = [F.concat(F.lit(f"w{n}"), F.pmod(F.xxhash64("id", F.lit(n)), F.lit(9))) for n in range(6)]
+    docs = materialize(spark.range(60).select(
+        "id", F.pmod("id", F.lit(3)).cast("int").alias("target"),
+        F.when(F.col("id") > 4, F.concat_ws(" ", F.lit("all"), *words)).alias("text"),
+    ))
+    features = Te.text_features(docs.filter("id % 4 > 0"), min_df=3)
+    train = materialize(features.transform(docs.filter("id % 4 > 0")))
+    for learner in (M.naive_bayes_complement, M.naive_bayes_gaussian):
+        model = learner(train)
+        got = M.FittedClassifier(features, model).transform(docs)
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+        plain = model.transform(materialize(features.transform(docs)))
+        assert sorted(r[::3] for r in got.collect()) == sorted(tuple(r) for r in plain.select("id", "prediction").collect())
+
+
 def _wide(seed, rows=300, features=120, rank=4):
     """Sparse rows of a few strong directions and noise."""
     rng = np.random.default_rng(seed)
